@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 from .common import table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark, sf_dir):
+    return quality.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, packing, quality, sharding
 from .common import table
 from .sql import ORACLES
 
@@ -19,6 +19,12 @@ def op10_quality(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

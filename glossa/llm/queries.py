@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding
+from . import minhash, mixing, packing, quality, sharding
 from .common import table
 from .sql import ORACLES
 
@@ -19,6 +19,10 @@ def op10_quality(spark, sf_dir):
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.query(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     import public_tokenizers
 

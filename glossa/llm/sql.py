@@ -53,6 +53,23 @@ mix AS (SELECT doc_id, rnk, size, source_size, target,
 """
 
 
+def near_duplicate_rows(n: int, documents: str = "documents") -> str:
+    """WITH RECURSIVE clause up to `near`: doc_id, n_shingles, component_id; shingles of n words, similarity of 0.8."""
+    return f"""
+nd_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM {documents}),
+nd_sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN generate_series(1, len(w) - {n - 1})]) END AS s FROM nd_words),
+nd_size AS (SELECT doc_id, len(s) AS n FROM nd_sets),
+nd_long AS (SELECT doc_id, unnest(s) AS t FROM nd_sets),
+nd_both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM nd_long a JOIN nd_long b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+nd_link AS (SELECT x, y FROM nd_both JOIN nd_size p ON p.doc_id = x JOIN nd_size q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+nd_edge AS (SELECT x, y FROM nd_link UNION ALL SELECT y, x FROM nd_link),
+nd_reach AS (SELECT doc_id AS x, doc_id AS y FROM {documents} UNION SELECT r.x, e.y FROM nd_reach r JOIN nd_edge e ON r.y = e.x),
+near AS (SELECT z.doc_id, z.n AS n_shingles, c.component_id FROM nd_size z JOIN (SELECT x, min(y) AS component_id FROM nd_reach GROUP BY x) c ON c.x = z.doc_id)
+"""
+
+
 ORACLES = {
+    "op8_minhash": f"WITH RECURSIVE {near_duplicate_rows(4)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op7_mixing": f"WITH {mixing_rows()} SELECT doc_id, size, source_size, target, taken FROM mix",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, sharding
+from . import minhash, mixing, packing, quality, sharding, substrings
 from .common import table
 from .sql import ORACLES
 
@@ -11,6 +11,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark, sf_dir):
+    return substrings.query(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, sharding, substrings
+from . import minhash, mixing, packing, quality, sharding, substrings, warc
 from .common import table
 from .sql import ORACLES
 
@@ -15,6 +15,10 @@ def op3_substrings(spark, sf_dir):
     return substrings.query(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 

@@ -70,6 +70,13 @@ near AS (SELECT z.doc_id, z.n AS n_shingles, c.component_id FROM nd_size z JOIN
 
 
 ORACLES = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS stored FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM stored AND stored IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM stored THEN stored END AS refers_to FROM m""",
     "op8_minhash": f"WITH RECURSIVE {near_duplicate_rows(4)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
     "op7_mixing": f"WITH {mixing_rows()} SELECT doc_id, size, source_size, target, taken FROM mix",
 }

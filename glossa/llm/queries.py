@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, sharding, substrings, warc
+from . import lines, minhash, mixing, packing, quality, sharding, substrings, warc
 from .common import table
 from .sql import ORACLES
 
@@ -19,6 +19,10 @@ def op4_warc(spark, sf_dir):
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op5_lines(spark, sf_dir):
+    return lines.query(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 

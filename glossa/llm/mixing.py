@@ -83,7 +83,11 @@ def apportioned(df: DataFrame, group: list[str], party: str, votes: str, house:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): how many of its words, repeats counted, the mix takes of each document."""
+    """(doc_id, source, size, source_size, target, taken, copies) of each document.
+
+    `taken`: how many of its words, repeats counted, the mix takes; `copies`: how often it takes the middle one, for
+    mixing by whole documents.
+    """
     recs = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "mix-records")
     recs = recs.withColumn("draw", _draw("doc_id"))
     sizes = recs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -121,7 +125,10 @@ def mixed(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, block_words:
         return f"(({full} * words + {picked} * (({x}) * blocks - {j} * words)) div blocks)"
 
     taken = F.expr(f"CASE WHEN words > 0 AND size > 0 THEN (quota div blocks) * size + {drawn('upto')} - {drawn('upto - size')} ELSE 0L END")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    middle = "((upto - size + size div 2) * blocks div words)"
+    chosen = f"((({middle} + 1) * (quota % blocks) + start) div blocks - ({middle} * (quota % blocks) + start) div blocks)"
+    copies = F.expr(f"CASE WHEN words > 0 AND size > 0 THEN (quota div blocks) + {chosen} ELSE 0L END")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import lines, minhash, mixing, packing, quality, sharding, substrings, warc
 from .common import table
 from .sql import ORACLES
@@ -41,9 +43,16 @@ def op9_packing(spark, sf_dir):
     return packing.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLES.items() if name in queries()}
+    found = dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

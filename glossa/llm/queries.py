@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import lines, minhash, mixing, packing, quality, sharding, substrings, warc
+from . import lines, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -13,6 +13,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substrings(spark, sf_dir):
     return substrings.query(table(spark, sf_dir, "documents"))
 

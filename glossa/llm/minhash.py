@@ -7,8 +7,10 @@ chance falls below the chosen miss probability. Survivors are confirmed on the f
 
 A bucket need not list all its pairs, since only the groups matter: first everyone is compared with the bucket's
 smallest member, then, where groups still meet in a bucket, with a member drawn by the bucket's key, and last
-every pair of members that belong to different groups. The last round leaves nothing out, so the first two only save
-work. Groups come from repeated minimum labels with pointer jumping. Every step writes its table to the shared
+every pair of members of different groups that can reach the threshold at all. For that round, shingles are counted
+over the members that are left: one that a single group holds is in no intersection that matters, which bounds each
+member's share of any. The bound is exact, so no link is left out; it rules out the pairs of edited copies that
+are too far from each other, of which a large group has a great many. Groups come from repeated minimum labels with pointer jumping. Every step writes its table to the shared
 folder; no links, groups or fingerprints reach the driver.
 
 Cases: null texts and texts without words have an empty set and are linked with nothing, as are rows with a null id;
@@ -170,6 +172,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
     return both.mapInArrow(run, pairs.select("x", "y").schema)
 
 
+def free_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(node, n_shingles, shared): of the nodes (node, label), how many shingles each has, and how many of them other labels have too."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
+            for a, b in groups(raw):
+                key, count = shingles(raw[a:b], n)
+                end = np.cumsum(count)
+                own = [np.unique(key[e - c : e]) for e, c in zip(end.tolist(), count.tolist(), strict=True)]
+                row = np.repeat(np.arange(a, b), [len(x) for x in own])
+                cols = [batch.column(c).take(pa.array(row)) for c in ("node", "label")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(own).astype(np.int64))], names=["node", "label", "shingle"])
+
+    rows = texts.join(open_, "node").select("node", "label", "text").mapInArrow(run, f"node {kind}, label {kind}, shingle long")
+    rows = written(rows, "open-shingles")
+    several = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", F.lit(1).alias("shared"))
+    return rows.join(several, "shingle", "left").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("shared").alias("shared"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links (x, y) lead to, for every node with a link."""
     spark = links.sparkSession
@@ -214,8 +237,12 @@ def grouped(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD) -> DataFram
         open_ = at.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot")).where("a <> b")
         at = written(at.join(open_.select("band", "pivot"), "band"), "open")
         if last:
-            other = at.select("band", F.col("node").alias("y"), F.col("label").alias("other"))
-            pairs = at.withColumnRenamed("node", "x").join(other, "band").where("x < y AND label <> other")
+            free = written(free_shingles(at.select("node", "label").distinct(), texts, n), "free-shingles")
+            at = at.join(free.where(100 * F.col("shared") >= threshold * F.col("n")), "node")
+            other = at.select("band", *[F.col(c).alias(o) for c, o in (("node", "y"), ("label", "other"), ("n", "n_other"), ("shared", "shared_other"))])
+            most = F.least("shared", "shared_other")
+            reach = 100 * most >= threshold * (F.col("n") + F.col("n_other") - most)
+            pairs = at.withColumnRenamed("node", "x").join(other, "band").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & reach)
         else:
             pivots = at.where("node = pivot").select("band", F.col("node").alias("y"), F.col("label").alias("other")).distinct()
             pairs = at.withColumnRenamed("node", "x").join(pivots, "band").where("label <> other")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import lines, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
+from . import images, lines, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -29,6 +29,10 @@ def op5_lines(spark, sf_dir):
     return lines.query(table(spark, sf_dir, "documents"))
 
 
+def op6_images(spark, sf_dir):
+    return images.query(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 

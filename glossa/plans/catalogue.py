@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators import editor, extract, markup, render
+from ..operators import facts as FA
 from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import textlines as L
@@ -117,7 +119,7 @@ tiers AS (SELECT q.query_id, lim, category, cat_ord, seq, id, display, split_par
     FROM q, corpus JOIN dim USING (category)),
 hits AS (SELECT tiers.*, CASE WHEN tier = 2 THEN s END AS s FROM tiers LEFT JOIN scores ON scores.query_id = tiers.query_id AND scores.name = tiers.id WHERE tier < 2 OR s IS NOT NULL),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS matches_total, row_number() OVER (PARTITION BY query_id ORDER BY tier, s DESC NULLS LAST, cat_ord, seq, id) AS rank FROM hits)
-SELECT query_id::INTEGER AS query_id, rank::INTEGER AS rank, category, id, display, sub_kind, tier::INTEGER AS tier, least(s / 1000.0, 1.0)::DOUBLE AS score, matches_total FROM ranked WHERE rank <= lim"""
+SELECT query_id::INTEGER AS query_id, rank::INTEGER AS rank, category, id, display, sub_kind, tier::INTEGER AS tier, CASE WHEN s IS NOT NULL THEN least(s / 1000.0, 1.0)::DOUBLE END AS score, matches_total FROM ranked WHERE rank <= lim"""
 
 
 @query(SEARCH_SQL)
@@ -388,3 +390,139 @@ def diagnostics_upsert(spark, sf):
     events = T.table(spark, sf, "events")
     results = events.select(F.col("user_id").alias("doc_key"), F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("line"), F.col("event_type").alias("msg"))
     return E.diagnostics(results, events.groupBy(F.col("user_id").alias("doc_key")).agg(F.count(F.lit(1)).alias("n_lines")))
+
+
+# -- facts, markup, rendering ------------------------------------------------------------------------------------------
+
+
+@query()
+def line_facts(spark, sf):
+    return FA.facts_of_lines(T.scripts(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
+
+
+@query()
+def doc_facts(spark, sf):
+    return FA.analyzed(T.scripts(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
+
+
+@query()
+def ctx_at(spark, sf):
+    lines = T.scripts(spark, sf)
+    points = lines.select("doc_id", (F.col("line_start") + F.least(F.length("text"), F.lit(8))).alias("offset"))
+    return FA.context_at(FA.analyzed(lines), points)
+
+
+@query(f"WITH s AS ({T.SCRIPTS_SQL}) SELECT doc_id, line_no, strpos(text, 'noglob') - 1 AS span_start, 6 AS length, 'keyword' AS type FROM s WHERE starts_with(text, 'noglob') UNION ALL SELECT doc_id, line_no, strpos(text, 'echo') - 1, 4, 'builtin' FROM s WHERE starts_with(text, 'echo') UNION ALL SELECT doc_id, line_no, strpos(text, 'command') - 1, 7, 'keyword' FROM s WHERE starts_with(text, 'noglob command')")
+def semantic_tokens(spark, sf):
+    lines = T.scripts(spark, sf).where(F.startswith("text", F.lit("noglob")) | F.startswith("text", F.lit("echo")))
+    builtins = spark.createDataFrame([("echo",), ("cat",)], "id string")
+    rows = FA.semantic_tokens(FA.facts_of_lines(lines), builtins).where("NOT (type = 'builtin' AND span_start > 0)")
+    return rows.select("doc_id", "line_no", "span_start", F.col("length").cast("long").alias("length"), "type")
+
+
+@query(f"WITH s AS ({T.SCRIPTS_SQL}) SELECT doc_id, line_no, 6 AS char_no, nullif(regexp_extract(substr(text, 1, 6), '[^\\s;&|()<>{{}}\"''`$=]*$', 0) || regexp_extract(substr(text, 7), '^[^\\s;&|()<>{{}}\"''`$=]*', 0), '') AS token FROM s")
+def token_ranges(spark, sf):
+    lines = T.scripts(spark, sf)
+    return editor.token_at(lines.select("doc_id", "line_no", F.lit(6).alias("char_no")), lines).select("doc_id", "line_no", "char_no", "token")
+
+
+@query()
+def completion_items(spark, sf):
+    lines = T.scripts(spark, sf)
+    points = lines.where("line_no % 7 = 3").select("doc_id", (F.col("line_start") + 1).alias("offset"), F.substring("text", 1, 1).alias("typed"))
+    names = spark.createDataFrame([("builtin", "echo"), ("builtin", "source"), ("reserved_word", "function"), ("option", "autoview"), ("cond_op", "-f")], "category string, id string")
+    return editor.completions(points, FA.analyzed(lines), lines, names)
+
+
+#: A manual made of nations and regions: a section a region, an entry a nation, every third as a name for the next one.
+_MANUAL = "CASE WHEN n_nationkey % 3 = 0 THEN 'xitem(tt(' || n_name || ') var(n' || n_nationkey || '))' ELSE 'item(tt(' || n_name || ') var(n' || n_nationkey || '))(Turn `tt(' || n_name || ')'' on .)' END"
+
+
+def _manual(spark, sf) -> DataFrame:
+    nation, region = T.table(spark, sf, "nation"), T.table(spark, sf, "region")
+    rows = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("r_name", "n_nationkey", F.expr(_MANUAL.replace("''", "\\'")).alias("e"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "e"))), lambda x: x["e"]), "\n")
+    return rows.groupBy("r_name").agg(items.alias("i")).select(F.concat("r_name", F.lit(".yo")).alias("file"), F.concat(F.lit("sect("), "r_name", F.lit(")\nstartitem()\n"), "i", F.lit("\nenditem()\n")).alias("value"))
+
+
+@query("""SELECT r_name || '.yo' AS file, CASE WHEN n_nationkey % 3 = 0 THEN 'xitem' ELSE 'item' END AS kind, n_name || ' n' || n_nationkey AS header,
+    CASE WHEN n_nationkey % 3 <> 0 THEN 'Turn `' || n_name || '` on.' END AS body, r_name AS section, 1 AS depth, 'tt:' || n_name || ',var:n' || n_nationkey AS tokens
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def markup_entries(spark, sf):
+    e = markup.entries(_manual(spark, sf)).where(F.col("kind").isin("item", "xitem"))
+    tokens = F.array_join(F.transform("header_tokens", lambda t: F.concat(t["kind"], F.lit(":"), t["text"])), ",")
+    return e.select("file", "kind", "header", "body", "section", F.col("item_depth").alias("depth"), tokens.alias("tokens"))
+
+
+@query("""WITH e AS (SELECT r_name || '.yo' AS file, n_nationkey AS k, n_name || ' n' || n_nationkey AS head, n_nationkey % 3 <> 0 AS closes, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT *, coalesce(sum(closes::INTEGER) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+c AS (SELECT *, max(CASE WHEN closes THEN head END) OVER (PARTITION BY file, run) AS leader FROM g)
+SELECT file, head, leader, (CASE WHEN closes THEN 0 ELSE row_number() OVER (PARTITION BY file, run ORDER BY k) END)::INTEGER AS place FROM c WHERE leader IS NOT NULL""")
+def alias_groups(spark, sf):
+    e = markup.entries(_manual(spark, sf)).where(F.col("kind").isin("item", "xitem"))
+    rows = markup.alias_groups(e, F.col("header"))
+    heads = rows.where("_place = 0").select("file", "_group", F.col("header").alias("leader"))
+    return rows.join(heads, ["file", "_group"]).select("file", F.col("header").alias("head"), "leader", F.col("_place").alias("place"))
+
+
+@query("SELECT 'all.yo' AS file, CASE WHEN r_regionkey % 2 = 0 THEN 'sect' ELSE 'subsect' END AS level, r_name AS name, lead(r_name) OVER (ORDER BY r_regionkey) AS before, CASE WHEN r_regionkey % 2 = 0 THEN lead(r_name, 2) OVER (ORDER BY r_regionkey) END AS before_sect FROM region")
+def section_extents(spark, sf):
+    one = F.expr("concat(if(r_regionkey % 2 = 0, 'sect(', 'subsect('), r_name, ')\\n\\ntext tt(x)\\n')")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", one.alias("s")))), lambda x: x["s"]), "")
+    e = markup.entries(T.table(spark, sf, "region").agg(text.alias("value")).withColumn("file", F.lit("all.yo")))
+    heads = markup.section_extents(e)
+    name = heads.select(F.col("start").alias("_p"), F.col("name").alias("_n"))
+    rows = heads.join(name.select(F.col("_p").alias("end"), F.col("_n").alias("before")), "end", "left").join(name.select(F.col("_p").alias("sect_end"), F.col("_n").alias("before_sect")), "sect_end", "left")
+    return rows.select("file", "level", "name", "before", "before_sect")
+
+
+#: A manual with a part of every kind of record, in the manual's notation; written for these queries.
+MINIATURE = {
+    "options.yo": "sect(Zle)\nstartitem()\nitem(tt(BEEP) (tt(PLUS()B)) <D>)(\nBeep. See tt(NO_BEEP) and $BEEP.\n)\nenditem()\nsect(Option Aliases)\nstartitem()\nitem(tt(RING))(\ntt(BEEP)\n)\nenditem()\nsect(Default set)\nstartsitem()\nsitem(tt(-b))(NO_BEEP)\nendsitem()\n",
+    "redirect.yo": "startitem()\nitem(tt(<) var(word))(Read.)\nitem(tt(>&) var(number))(Copy.)\nenditem()\n",
+    "expn.yo": "sect(Process Substitution)\nText.\nsect(Event Designators)\nstartitem()\nitem(tt(!!))(Last.)\nitem(tt(!)var(n))(Line.)\nenditem()\n",
+    "arith.yo": "startsitem()\nsitem(tt(PLUS() -))(unary plus, minus)\nsitem(tt(PLUS() -))(addition)\nendsitem()\n",
+    "jobs.yo": "sect(Jobs)\nstartsitem()\nsitem(tt(%)var(number))(By number.)\nsitem(tt(%)var(string))(By name.)\nendsitem()\n",
+}
+#: Its records, derived by hand from the rules.
+MINIATURE_IDS = [("option", "beep", 0, None), ("option", "ring", 1, None), ("redir", "< word", 0, None), ("redir", ">& number", 1, None), ("process_subst", "<(...)", 0, None), ("process_subst", ">(...)", 1, None), ("process_subst", "=(...)", 2, None), ("history", "!!", 0, "event-designator"), ("history", "!n", 1, "event-designator"), ("arith_op", "+", 0, "overloaded"), ("arith_op", "-", 1, "overloaded"), ("job_spec", "%number", 0, "number"), ("job_spec", "%string", 1, "string")]
+
+
+def _miniature(spark) -> DataFrame:
+    return markup.entries(spark.createDataFrame(list(MINIATURE.items()), "file string, value string"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
+def corpus_extract(spark, sf):
+    return extract.corpus(_miniature(spark)).select("category", "id", "seq", "sub_kind")
+
+
+_BEEP = "`BEEP`\n\n```zsh\nsetopt beep          # on\nunsetopt beep        # off\nset +b               # on\nset -b               # off\nset +B               # on\nset -B               # off\n```\n\n**Default in zsh: `on`**\n\nBeep. See **`NO_BEEP`** and $BEEP.\n\n_Option category:_ Zle"
+_RING = "`RING`\n\n```zsh\nsetopt ring          # on\nunsetopt ring        # off\n```\n\n**Default in zsh: `off`**\n\n**`BEEP`**\n\n_Alias of:_ `BEEP`\n\n_Option category:_ Option Aliases"
+
+
+@query(f"SELECT * FROM (VALUES ('beep', 'BEEP', {_sql_text(_BEEP)}), ('ring', 'RING', {_sql_text(_RING)})) v(id, display, markdown)")
+def render_option(spark, sf):
+    return render.rendered(_miniature(spark)).where("category = 'option'").select("id", "display", "markdown")
+
+
+@query("""WITH n AS (SELECT DISTINCT n_name FROM nation) SELECT o_orderkey AS k, 'see ' || CASE WHEN n_name IS NULL THEN t ELSE '**`' || t || '`**' END || ' not `' || t || '` or $' || t || ' here' AS body
+    FROM (SELECT o_orderkey, 'NATION_' || (o_custkey % 40) AS t FROM orders) LEFT JOIN n ON n_name = t""")
+def option_refs(spark, sf):
+    token = F.concat(F.lit("NATION_"), (F.col("o_custkey") % 40).cast("string"))
+    rows = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("see "), token, F.lit(" not `"), token, F.lit("` or $"), token, F.lit(" here")).alias("body"))
+    return render.option_refs(rows, ["k"], "body", T.options(spark, sf))
+
+
+@query(r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (SELECT doc_id, line, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM l),
+o AS (SELECT doc_id, bool_or(NOT fence AND NOT inside AND (length(line) - length(replace(line, '`', ''))) % 2 = 1) AS odd FROM f GROUP BY doc_id),
+r AS (SELECT doc_id, [regexp_matches(text, '\b(?:See|see|described in|noted in) (?:\\ )?\.'), regexp_matches(text, '(?m)\\$'), regexp_matches(text, '\b(?:tt|var|example|manref|noderef)\('), odd, regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]+\+\('), regexp_matches(text, ',\s*,')] AS hits FROM documents JOIN o USING (doc_id))
+SELECT doc_id AS id, (i - 1)::INTEGER AS ord FROM (SELECT doc_id, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM r) WHERE h""")
+def qa_suspicious(spark, sf):
+    return render.suspicious(T.table(spark, sf, "documents"), "doc_id", "text").select("id", "ord")
+
+
+@query()
+def dump_files(spark, sf):
+    return render.dump_text(render.ref_docs(render.rendered(_miniature(spark))))

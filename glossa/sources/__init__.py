@@ -1 +1 @@
-
+"""Reading and writing: manual folders, artifacts, snippets."""

@@ -21,13 +21,13 @@ def resolve_prefix(tokens: DataFrame, groups: DataFrame, longest: int = 4) -> Da
     ops = groups.groupBy("group_op").agg(F.collect_list(F.struct("sig", X.tail_kind(X.trim(F.expr("substring(sig, length(group_op) + 1)"))).alias("kind"))).alias("docs"))
     body = X.without_fd("raw")
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(body))), lambda n: F.substring(body, F.lit(1), n))
-    t = tokens.withColumn("_id", F.monotonically_increasing_id()).withColumn("_body", body)
-    hit = t.where(F.length("_body") > 0).select("_id", "_body", F.explode(prefixes).alias("group_op")).join(ops, "group_op")
-    best = hit.groupBy("_id").agg(F.max_by(F.struct("_body", "group_op", "docs"), F.length("group_op")).alias("b"))
+    t = tokens.withColumn("_row", F.monotonically_increasing_id()).withColumn("_body", body)
+    hit = t.where(F.length("_body") > 0).select("_row", "_body", F.explode(prefixes).alias("group_op")).join(ops, "group_op")
+    best = hit.groupBy("_row").agg(F.max_by(F.struct("_body", "group_op", "docs"), F.length("group_op")).alias("b"))
     rest = X.tail_kind(F.expr("substring(b._body, length(b.group_op) + 1)"))
     same = F.filter("b.docs", lambda d: d["kind"] == F.col("_rest"))
-    best = best.withColumn("_rest", rest).select("_id", F.when(F.size("b.docs") == 1, F.col("b.docs")[0]["sig"]).when(F.size(same) == 1, F.get(same, F.lit(0))["sig"]).alias("sig"))
-    return t.join(best, "_id", "left").drop("_id", "_body")
+    best = best.withColumn("_rest", rest).select("_row", F.when(F.size("b.docs") == 1, F.col("b.docs")[0]["sig"]).when(F.size(same) == 1, F.get(same, F.lit(0))["sig"]).alias("sig"))
+    return t.join(best, "_row", "left").drop("_row", "_body")
 
 
 def resolve(tokens: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFr
 def apportioned(df: DataFrame, group: list[str], party: str, votes: str, house: str, out: str) -> DataFrame:
     """`df` with `out`: the seats of each party of a group, by highest quotients; ties go to the lower party.
 
-    `house` holds the group's seats in each of its rows; parties without votes get none.
+    `house` holds the group's seats in each of its rows; parties are numbers, and those without votes get none.
     """
     of = Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(0))
     every = df.columns
@@ -77,7 +77,7 @@ def apportioned(df: DataFrame, group: list[str], party: str, votes: str, house:
     able = (F.col(votes) > 0) & ((F.col("_m") > 0) | (F.col("_q") >= F.col("_e")))
     long = long.withColumn("_quotient", F.when(able, F.when(F.col("_m") < 0, lost).otherwise(won)))
     order = Window.partitionBy(*[F.col(c) for c in group]) if group else Window.partitionBy(F.lit(0))
-    long = long.withColumn("_rank", F.row_number().over(order.orderBy(F.col("_quotient").desc_nulls_last(), F.col(party))))
+    long = long.withColumn("_rank", F.row_number().over(order.orderBy(F.col("_quotient").desc_nulls_last(), F.when(F.col("_m") < 0, -F.col(party)).otherwise(F.col(party)))))
     taken = F.sum(F.when(F.col("_rank") <= F.abs("_m"), F.signum("_m")).otherwise(0)).cast("long")
     return long.groupBy(*every, "_q").agg(taken.alias("_d")).withColumn(out, F.col("_q") + F.col("_d")).drop("_q", "_d")
 

@@ -12,7 +12,7 @@ _MIX_HOUSE = """
 {g}_d AS (SELECT *, unnest(generate_series(1, greatest(1, CAST(abs(m) AS BIGINT)))) AS e FROM {g}_c),
 {g}_e AS (SELECT *, CASE WHEN votes > 0 AND m > 0 THEN votes / (2 * (q + e) - 1)
                         WHEN votes > 0 AND m < 0 AND q >= e THEN -votes / (2 * (q - e) + 1) END AS quotient FROM {g}_d),
-{g}_f AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quotient DESC NULLS LAST, party) AS place FROM {g}_e),
+{g}_f AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quotient DESC NULLS LAST, CASE WHEN m < 0 THEN -party ELSE party END) AS place FROM {g}_e),
 {g}_g AS (SELECT grp, party, any_value(q) + CAST(sum(CASE WHEN place <= abs(m) THEN sign(m) ELSE 0 END) AS BIGINT) AS seats FROM {g}_f GROUP BY grp, party)
 """
 

@@ -40,17 +40,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def keys(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, key, probe): the index and probe keys of long lines. `probe` is false for a line's own segments."""
     parts = edits + 1
-    rows = []
-    for gap in range(edits + 1):  # how much longer the probing line is than the indexed one
-        for i in range(parts):
-            size = f"((n - {gap}) div {parts} + if({i} >= {parts} - (n - {gap}) % {parts}, 1, 0))"
-            at = f"({i} * ((n - {gap}) div {parts}) + greatest(0, {i} - {parts} + (n - {gap}) % {parts}))"
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1):
-                probe = "true" if gap or shift else "false"
-                fits = f"n - {gap} >= {min_chars} and {at} + {shift} >= 0 and {at} + {shift} + {size} <= n"
-                rows.append(f"if({fits}, named_struct('key', xxhash64(n - {gap}, {i}, substring(line, {at} + {shift} + 1, {size})), 'probe', {probe}), null)")
+    specs = [
+        (gap, i, shift, "true" if gap or shift else "false")
+        for gap in range(parts)  # how much longer the probing line is than the indexed one
+        for i in range(parts)
+        for shift in range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1)
+    ]
+    listed = ", ".join(f"named_struct('gap', {g}, 'i', {i}, 'shift', {d}, 'probe', {p})" for g, i, d, p in specs)
+    # The places become rows first, so that one small expression over plain columns makes all keys, in compiled code.
+    m = "(n - s.gap)"
+    size = f"({m} div {parts} + if(s.i >= {parts} - {m} % {parts}, 1, 0))"
+    at = f"(s.i * ({m} div {parts}) + greatest(0, s.i - {parts} + {m} % {parts}) + s.shift)"
     long = lines.select("h1", "line", F.char_length("line").alias("n")).where(F.col("n") >= min_chars)
-    return long.select("h1", F.explode(F.expr(f"array_compact(array({', '.join(rows)}))")).alias("k")).select("h1", "k.key", "k.probe")
+    long = long.withColumn("flat", F.octet_length("line") == F.col("n"))  # then bytes are characters, and cutting them out needs no count
+    rows = long.select("h1", "line", "n", "flat", F.explode(F.expr(f"array({listed})")).alias("s"))
+    rows = rows.where(F.expr(f"{m} >= {min_chars} and {at} >= 0 and {at} + {size} <= n"))
+    key = lambda text: f"xxhash64({m}, s.i, substring({text}, {at} + 1, {size}))"
+    return rows.select("h1", F.expr(f"if(flat, {key('cast(line as binary)')}, {key('line')})").alias("key"), "s.probe")
 
 
 def letter_counts(line: str = "line") -> Column:
@@ -112,9 +118,9 @@ def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     keyed = keys(lines, edits, min_chars)
     sums = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.bool_and("probe").alias("only_probes"))
     shared = written(sums.where("a <> b AND NOT only_probes").select("key"), "line-keys")
-    members = written(keyed.join(shared, "key", "left_semi").distinct(), "line-members")
+    members = written(keyed.join(shared.hint("merge"), "key", "left_semi").distinct(), "line-members")
     wanted = written(members.select("h1").distinct(), "line-names")
-    texts = lines.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("line").alias("line"))
+    texts = lines.join(wanted.hint("merge"), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("line").alias("line"))
     texts = written(texts.withColumn("letters", letter_counts()), "line-texts")
 
     facts = texts.select("h1", "h2", "letters", F.char_length("line").alias("n"), "place")

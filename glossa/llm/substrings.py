@@ -41,7 +41,7 @@ SIDE = 34
 GROUP = 1 << 20
 #: Texts longer than this are cut into overlapping parts; positions in a part have 24 bits.
 PART = 8 << 20
-TASK_BLOCK, DOC_BLOCK, RUN_BLOCK, SHARD = 48 << 20, 12 << 20, 24 << 20, 2 << 20
+TASK_BLOCK, DOC_BLOCK, RUN_BLOCK, SHARD = 24 << 20, 6 << 20, 12 << 20, 2 << 20
 NULL_ID = -(1 << 63)
 
 #: Columns of packed blocks.

@@ -19,6 +19,7 @@ there are none); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,6 +60,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Rows:
+    """The table rows of some words: of each word, of all their strings one after the other, and how many each has."""
+
+    word: np.ndarray
+    flat: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(found: list[tuple[int, list[int]]]) -> Rows:
+        size = np.array([len(g) for _, g in found], np.int64)
+        flat = np.fromiter((x for _, g in found for x in g), np.int32, int(size.sum()))
+        return Rows(np.array([w for w, _ in found], np.int32), flat, size)
+
+    def take(self, at: np.ndarray) -> Rows:
+        size = self.size[at]
+        first = (np.cumsum(self.size) - self.size)[at]
+        flat = self.flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return Rows(self.word[at], flat, size)
+
+
 @dataclass
 class Model:
     word: np.ndarray
@@ -67,16 +89,14 @@ class Model:
     scale: tuple[float, float, float] = (1.0, 0.0, 0.0)
     constant: float | None = None
 
-    def inputs(self, rows: list[tuple[int, list[int]]]) -> np.ndarray:
+    def inputs(self, rows: Rows) -> np.ndarray:
         """The input vectors of some words."""
-        if not rows:
+        if not len(rows.word):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        flat = np.concatenate([np.asarray(g) for _, g in rows])
-        size = np.array([len(g) for _, g in rows])
-        first = np.cumsum(size) - size
-        chars = np.add.reduceat(self.char[flat], first) / size[:, None]
-        chars[:, 0] = np.maximum.reduceat(self.char[flat, 0], first)
-        return np.concatenate((self.word[[w for w, _ in rows]], chars), axis=1).astype(np.float32)
+        first = np.cumsum(rows.size) - rows.size
+        chars = np.add.reduceat(self.char[rows.flat], first) / rows.size[:, None]
+        chars[:, 0] = np.maximum.reduceat(self.char[rows.flat, 0], first)
+        return np.concatenate((self.word[rows.word], chars), axis=1).astype(np.float32)
 
 
 def _direction(net, d: str, a: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -158,18 +178,18 @@ def fresh_net(rng) -> dict[str, np.ndarray]:
     return net | {"Wa": make(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, np.float32), "va": make(ATTENTION), "wo": make(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
 
 
-def log_odds(docs: list[set[int]], labels: np.ndarray) -> np.ndarray:
+def log_odds(docs: Iterator[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """By table row: how much likelier it is in a toxic text, drawn towards 0 where it is rare."""
     counts = np.zeros((2, TABLE))
     for rows, y in zip(docs, labels, strict=True):
-        counts[int(y), list(rows)] += 1
+        counts[int(y), np.unique(rows)] += 1
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
     seen = counts.sum(axis=0)
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     return np.where(seen >= 3, odds * seen / (seen + 3), 0)
 
 
-def _dense(words: list[int], spans: list[tuple[int, int]], out: np.ndarray, mask: np.ndarray, at: int) -> None:
+def _dense(words: list[int] | np.ndarray, spans: list[tuple[int, int]], out: np.ndarray, mask: np.ndarray, at: int) -> None:
     for k, (a, b) in enumerate(spans, at):
         out[: b - a, k] = words[a:b]
         mask[: b - a, k] = 1
@@ -182,16 +202,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         return Model(np.zeros((1, 1)), np.zeros((1, 1)), constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     names: dict[str, int] = {}
-    rows: list[tuple[int, list[int]]] = []
-    docs: list[list[int]] = []
+    word_rows, flat, sizes = array("i"), array("i"), array("i")
+    docs: list[np.ndarray] = []
     for text in texts:
-        own = []
+        own = array("i")
         for w in text.split():
             if (k := names.get(w)) is None:
-                k = names[w] = len(rows)
-                rows.append(pieces(w))
+                k = names[w] = len(word_rows)
+                word, grams = pieces(w)
+                word_rows.append(word)
+                flat.extend(grams)
+                sizes.append(len(grams))
             own.append(k)
-        docs.append(own)
+        docs.append(np.array(own, np.int32))
+    del names
+    rows = Rows(np.array(word_rows, np.int32), np.array(flat, np.int32), np.array(sizes, np.int64))
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::5]] = True
@@ -199,8 +224,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     model = Model(rng.normal(0, 0.1, (TABLE, WORD_DIM)).astype(np.float32), rng.normal(0, 0.1, (TABLE, CHAR_DIM)).astype(np.float32))
     # Copies and edited copies mostly share their longest line, and so their half.
     half = np.array([zlib.crc32(max(t.split("\n"), key=len).encode("utf-8", "surrogatepass")) % 2 for t in texts])
-    word_sets, char_sets = [{rows[k][0] for k in set(d)} for d in docs], [{g for k in set(d) for g in rows[k][1]} for d in docs]
-    odds_of = lambda at: tuple(log_odds([sets[i] for i in at], y[at]) for sets in (word_sets, char_sets))
+    odds_of = lambda at: (log_odds((rows.word[docs[i]] for i in at), y[at]), log_odds((rows.take(np.unique(docs[i])).flat for i in at), y[at]))
     crossed = [odds_of(learn[half[learn] != k]) for k in (0, 1)]
     final = odds_of(learn)
 
@@ -239,7 +263,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         return out
 
     def strongest(at: np.ndarray) -> np.ndarray:
-        odds = model.word[[w for w, _ in rows], 0] + model.inputs(rows)[:, WORD_DIM] if rows else np.zeros(1)
+        odds = model.word[rows.word, 0] + model.inputs(rows)[:, WORD_DIM] if len(rows.word) else np.zeros(1)
         return (np.maximum(odds[grid[:, at]], 0) * mask[:, at]).max(axis=0)
 
     pick = worst(by_half(strongest))
@@ -258,7 +282,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             use_odds(crossed[k])
             g, m = grid[:, pick[own]], mask[:, pick[own]]
             used, back = np.unique(g, return_inverse=True)
-            parts = [rows[k] for k in used] if rows else []
+            parts = rows.take(used) if len(rows.word) else None
             table = model.inputs(parts) if parts else np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
             x = table[back.reshape(g.shape)]
             logit, cache = forward(net, x, m, keep=True)
@@ -273,9 +297,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
             if parts:
                 dtable = np.zeros_like(table)
                 np.add.at(dtable, back.ravel(), (dx * m[:, :, None]).reshape(-1, dx.shape[2]))
-                size = np.array([len(p[1]) for p in parts])
-                flat = np.concatenate([np.asarray(p[1]) for p in parts])
-                for name, at_, grad in (("word", np.array([p[0] for p in parts]), dtable[:, :WORD_DIM]), ("char", flat, np.repeat(dtable[:, WORD_DIM:] / size[:, None], size, axis=0))):
+                grams = np.repeat(dtable[:, WORD_DIM:] / parts.size[:, None], parts.size, axis=0)
+                for name, at_, grad in (("word", parts.word, dtable[:, :WORD_DIM]), ("char", parts.flat, grams)):
                     touched, of = np.unique(at_, return_inverse=True)
                     total = np.zeros((len(touched), grad.shape[1]), np.float32)
                     np.add.at(total, of, grad)
@@ -346,7 +369,7 @@ class Scorer:
                 own.append(k)
             docs.append(own)
         if rows:
-            new = self.model.inputs(rows)
+            new = self.model.inputs(Rows.of(rows))
             self.table = np.concatenate((self.table, np.concatenate((new @ net["Wf"] + net["bf"], new @ net["Wb"] + net["bb"]), axis=1).astype(np.float32)))
         n = sum(len(s) for _, _, s in held)
         grid, mask = np.zeros((WINDOW, n), np.int32), np.zeros((WINDOW, n), np.float32)

@@ -8,9 +8,8 @@ chance falls below the chosen miss probability. Survivors are confirmed on the f
 A bucket need not list all its pairs, since only the groups matter: first everyone is compared with the bucket's
 smallest member, then, where groups still meet in a bucket, with a member drawn by the bucket's key, and last
 every pair of members of different groups that can reach the threshold at all. For that round, shingles are counted
-over the members that are left: one that a single group holds is in no intersection that matters, and members that have no
-rare shingle in common can only share the frequent ones, which bounds what a pair can share. (Rare ones are compared by
-the RARE_KEPT smallest hashes; a pair over the threshold with none in common has less chance than 2 ** -RARE_KEPT.) This
+over the members that are left, in PARTS parts by their hash: one that a single group holds is in no intersection that matters,
+and of each part a pair shares no more than the one with fewer has. The sum over the parts is an exact bound, so no link is left out; it
 rules out the pairs of edited copies that are too far from each other, of which a large group has a great many. Groups come from repeated minimum labels with pointer jumping. Every step writes its table to the shared
 folder; no links, groups or fingerprints reach the driver.
 
@@ -37,8 +36,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 THRESHOLD = 80
 MISS = 1e-5
-#: A shingle in up to so many texts is rare.
-RARE, RARE_KEPT = 8, 64
+#: Parts of the shingles by hash, each with its own bound on what a pair shares.
+PARTS = 8
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -176,8 +175,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
 
 
 def free_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(node, n, shared, common, rare): of the nodes (node, label), how many shingles each has, how many of them other labels
-    have too, how many of those are frequent, and the smallest hashes of the others."""
+    """(node, n, shared, parts): of the nodes (node, label), how many shingles each has, how many of them other labels
+    have too, and how many of those fall in each of the PARTS parts."""
     kind = texts.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +192,11 @@ def free_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
     rows = texts.join(open_, "node").select("node", "label", "text").mapInArrow(run, f"node {kind}, label {kind}, shingle long")
     rows = written(rows, "open-shingles")
-    several = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("texts")).where("a <> b").select("shingle", "texts")
-    counted = rows.join(several, "shingle", "left").groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("texts").alias("shared"),
-        F.count_if(F.col("texts") > RARE).alias("common"),
-        F.collect_list(F.when(F.col("texts") <= RARE, F.xxhash64("shingle"))).alias("rare"),
-    )
-    return counted.withColumn("rare", F.slice(F.array_sort("rare"), 1, RARE_KEPT))
+    several = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", F.lit(1).alias("shared"))
+    part = F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).cast("int")
+    counted = rows.join(several, "shingle", "left").groupBy("node", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count("shared").alias("shared"))
+    nodes = counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", F.col("shared").cast("int")))).alias("of"))
+    return nodes.select("node", "n", "shared", F.array(*[F.coalesce(F.col("of")[k], F.lit(0)) for k in range(PARTS)]).alias("parts"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,9 +245,10 @@ def grouped(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD) -> DataFram
         if last:
             free = written(free_shingles(at.select("node", "label").distinct(), texts, n), "free-shingles")
             at = at.join(free.where(100 * F.col("shared") >= threshold * F.col("n")), "node")
-            other = at.select("band", *[F.col(c).alias(o) for c, o in (("node", "y"), ("label", "other"), ("n", "n_y"), ("shared", "shared_y"), ("common", "common_y"), ("rare", "rare_y"))])
+            other = at.select("band", *[F.col(c).alias(o) for c, o in (("node", "y"), ("label", "other"), ("n", "n_y"), ("shared", "shared_y"), ("parts", "parts_y"))])
+            most = sum((F.least(F.col("parts")[k], F.col("parts_y")[k]) for k in range(PARTS)), F.lit(0))
             enough = lambda k: 100 * k >= threshold * (F.col("n") + F.col("n_y") - k)
-            reach = enough(F.least("common", "common_y")) | (enough(F.least("shared", "shared_y")) & F.arrays_overlap("rare", "rare_y"))
+            reach = enough(F.least("shared", "shared_y")) & enough(most)  # the first costs less
             pairs = at.withColumnRenamed("node", "x").join(other, "band").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & reach)
         else:
             pivots = at.where("node = pivot").select("band", F.col("node").alias("y"), F.col("label").alias("other")).distinct()

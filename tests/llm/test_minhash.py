@@ -45,6 +45,19 @@ def test_against_all_pairs(spark, n):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute(docs, n)
 
 
+def test_pairs_that_few_rare_shingles_decide(spark):
+    """Of 2500 shingles a pair shares 2220 that all texts have and few of its rare ones; others share the rest, so no count of one text tells."""
+    run = lambda name, size: [f"{name}{i}" for i in range(size + 4)]
+    docs, pairs = [], range(100, 180, 2)
+    for k, x in enumerate(pairs):
+        base, few, left, right = run("b", 2220), run(f"s{k}_", 3), run(f"l{k}_", 269), run(f"r{k}_", 269)
+        docs += [(k, base + left + right + run(f"z{k}_", 750)), (x, base + few + left), (x + 1, base + few + right)]
+    assert brute([(i, " ".join(w)) for i, w in docs[:6]], 5)[101][1] == 100
+    rows = minhash.grouped(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.component_id != r.doc_id} == {x + 1 for x in pairs}
+    assert all(r.component_id == r.doc_id - 1 for r in rows if r.component_id != r.doc_id)
+
+
 def test_null_ids_equal_rows_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = minhash.query(spark.createDataFrame([(None, text), (2, text), (2, text), (1, text)], "doc_id long, text string")).collect()

@@ -6,11 +6,13 @@ flat prior, the chance that the similarity reaches the threshold is a binomial t
 chance falls below the chosen miss probability. Survivors are confirmed on the full sets of both texts.
 
 A bucket need not list all its pairs, since only the groups matter: first everyone is compared with the bucket's
-smallest member, then, where groups still meet in a bucket, with a member drawn by the bucket's key, and last
-every pair of members of different groups that can reach the threshold at all. For that round, shingles are counted
-over the members that are left, in PARTS parts by their hash: one that a single group holds is in no intersection that matters,
-and of each part a pair shares no more than the one with fewer has. The sum over the parts is an exact bound, so no link is left out; it
-rules out the pairs of edited copies that are too far from each other, of which a large group has a great many. Groups come from repeated minimum labels with pointer jumping. Every step writes its table to the shared
+smallest member, then, where groups still meet in a bucket, with a member drawn by the bucket's key. What is left are members
+whose groups are different and who may still be linked. Their shingles are counted over all of them: one that a single group
+holds is in no intersection that matters; one that at most RARE members hold is rare. A pair at the threshold either shares a
+rare shingle, and is found in an inverted index of those, no list of which has more than RARE members, or it shares enough frequent ones
+alone, so that both members have enough of them: such heavy members meet in their buckets, where only those outside the bucket's largest group
+are compared with the others, each pair once. Two exact bounds, on sizes and on bit maps of the sets, rule out most of
+these pairs inside the join, and no link is left out. Groups come from repeated minimum labels with pointer jumping. Every step writes its table to the shared
 folder; no links, groups or fingerprints reach the driver.
 
 Cases: null texts and texts without words have an empty set and are linked with nothing, as are rows with a null id;
@@ -36,8 +38,10 @@ HASHES = BANDS * ROWS
 BATCH = 16
 THRESHOLD = 80
 MISS = 1e-5
-#: Parts of the shingles by hash, each with its own bound on what a pair shares.
-PARTS = 8
+#: A shingle that more members of the last round hold is frequent.
+RARE = 8
+#: Longs of a set's bit map: a bit of one that the other lacks stands for a shingle, at least, that it lacks.
+MAP_LONGS = 16
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -174,9 +178,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Dat
     return both.mapInArrow(run, pairs.select("x", "y").schema)
 
 
-def free_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(node, n, shared, parts): of the nodes (node, label), how many shingles each has, how many of them other labels
-    have too, and how many of those fall in each of the PARTS parts."""
+def open_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(node, label, shingle, map) of the nodes (node, label); `map`, the set's bit map, stands in the first row of a node."""
     kind = texts.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +190,56 @@ def free_shingles(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 end = np.cumsum(count)
                 own = [np.unique(key[e - c : e]) for e, c in zip(end.tolist(), count.tolist(), strict=True)]
                 row = np.repeat(np.arange(a, b), [len(x) for x in own])
+                maps: list[list[int] | None] = []
+                for x in own:
+                    bits = np.zeros(MAP_LONGS * 64, np.uint8)
+                    bits[(mix(x) % U(MAP_LONGS * 64)).astype(np.int64)] = 1
+                    maps += [np.packbits(bits).view(np.int64).tolist(), *[None] * (len(x) - 1)] if len(x) else []
                 cols = [batch.column(c).take(pa.array(row)) for c in ("node", "label")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(own).astype(np.int64))], names=["node", "label", "shingle"])
-
-    rows = texts.join(open_, "node").select("node", "label", "text").mapInArrow(run, f"node {kind}, label {kind}, shingle long")
-    rows = written(rows, "open-shingles")
-    several = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", F.lit(1).alias("shared"))
-    part = F.pmod(F.xxhash64("shingle"), F.lit(PARTS)).cast("int")
-    counted = rows.join(several, "shingle", "left").groupBy("node", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count("shared").alias("shared"))
-    nodes = counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", F.col("shared").cast("int")))).alias("of"))
-    return nodes.select("node", "n", "shared", F.array(*[F.coalesce(F.col("of")[k], F.lit(0)) for k in range(PARTS)]).alias("parts"))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(own).astype(np.int64)), pa.array(maps, pa.list_(pa.int64()))], names=["node", "label", "shingle", "map"])
+
+    return texts.join(open_, "node").select("node", "label", "text").mapInArrow(run, f"node {kind}, label {kind}, shingle long, map array<long>")
+
+
+def last_pairs(at: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """(x, y): every pair of nodes of different labels that can reach the threshold, by a shared rare shingle or, within a bucket of `at` (band, node, label), by frequent ones."""
+    rows = written(open_shingles(at.select("node", "label").distinct(), texts, n), "open-shingles")
+    several = rows.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("held")).where("a <> b")
+    several = written(several.select("shingle", "held"), "shared-shingles")
+    several_texts = F.count("map") > 1  # of rows that share an id: the bounds below then say less, not more
+    facts = rows.join(several, "shingle", "left").groupBy("node").agg(
+        F.when(several_texts, 0).otherwise(F.count(F.lit(1))).alias("n"), F.count("held").alias("shared"),
+        F.count_if(F.col("held") > RARE).alias("frequent"), F.when(~several_texts, F.max("map")).alias("map"),
+    )
+    facts = written(facts.where(100 * F.col("shared") >= threshold * F.col("n")), "open-sets")
+    enough = lambda k: 100 * k >= threshold * (F.col("n") + F.col("n_y") - k)
+    size = facts.select("node", "n", "frequent")
+
+    lists = several.where(F.col("held") <= RARE).select("shingle")
+    rare = written(rows.select("node", "label", "shingle").join(lists, "shingle").join(size, "node"), "rare-shingles")
+    other = rare.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "frequent")])
+    met = rare.join(other, "shingle").where((F.col("node") < F.col("node_y")) & (F.col("label") != F.col("label_y")))
+    met = met.groupBy("node", "node_y").agg(F.count(F.lit(1)).alias("rare"), *[F.first(c).alias(c) for c in ("n", "n_y", "frequent", "frequent_y")])
+    by_rare = met.where(enough(F.col("rare") + F.least("frequent", "frequent_y"))).select(F.col("node").alias("x"), F.col("node_y").alias("y"))
+
+    heavy = facts.where(100 * F.col("frequent") >= threshold * F.col("n")).select("node", "n", "frequent", "map")
+    heavy = written(at.join(heavy, "node"), "heavy")
+    most = heavy.groupBy("band", "label").agg(F.count(F.lit(1)).alias("members"))
+    most = most.groupBy("band").agg(F.max_by("label", F.struct("members", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("band", "largest")
+    heavy = written(heavy.join(most, "band"), "heavy-open")
+    bands = heavy.groupBy("node").agg(F.sort_array(F.collect_set("band")).alias("bands"))  # a node has BANDS at most
+    heavy = heavy.join(bands, "node")
+    smaller = heavy.where("label <> largest")
+    other = heavy.select(*[F.col(c).alias(f"{c}_y") for c in ("band", "node", "label", "n", "frequent", "map", "bands")])
+    lacks = lambda p, q: sum((F.bit_count(F.col(p)[k].bitwiseAND(F.bitwise_not(F.col(q)[k]))) for k in range(MAP_LONGS)), F.lit(0))
+    once = F.array_min(F.array_intersect("bands", "bands_y")) == F.col("band")
+    # Two members outside the largest group meet in both orders; one of them counts.
+    turn = (F.col("label_y") == F.col("largest")) | (F.col("node") < F.col("node_y"))
+    able = (F.col("label") != F.col("label_y")) & turn & enough(F.least("frequent", "frequent_y"))
+    maps = enough(F.col("n") - lacks("map", "map_y")) & enough(F.col("n_y") - lacks("map_y", "map"))
+    able = able & F.coalesce(maps, F.lit(True)) & once
+    by_band = smaller.join(other, (F.col("band") == F.col("band_y")) & able)
+    return by_rare.union(by_band.select(F.least("node", "node_y").alias("x"), F.greatest("node", "node_y").alias("y")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,13 +286,7 @@ def grouped(docs: DataFrame, n: int = 5, threshold: int = THRESHOLD) -> DataFram
         open_ = at.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot")).where("a <> b")
         at = written(at.join(open_.select("band", "pivot"), "band"), "open")
         if last:
-            free = written(free_shingles(at.select("node", "label").distinct(), texts, n), "free-shingles")
-            at = at.join(free.where(100 * F.col("shared") >= threshold * F.col("n")), "node")
-            other = at.select("band", *[F.col(c).alias(o) for c, o in (("node", "y"), ("label", "other"), ("n", "n_y"), ("shared", "shared_y"), ("parts", "parts_y"))])
-            most = sum((F.least(F.col("parts")[k], F.col("parts_y")[k]) for k in range(PARTS)), F.lit(0))
-            enough = lambda k: 100 * k >= threshold * (F.col("n") + F.col("n_y") - k)
-            reach = enough(F.least("shared", "shared_y")) & enough(most)  # the first costs less
-            pairs = at.withColumnRenamed("node", "x").join(other, "band").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & reach)
+            pairs = last_pairs(at.select("band", "node", "label"), texts, n, threshold)
         else:
             pivots = at.where("node = pivot").select("band", F.col("node").alias("y"), F.col("label").alias("other")).distinct()
             pairs = at.withColumnRenamed("node", "x").join(pivots, "band").where("label <> other")

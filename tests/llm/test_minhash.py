@@ -58,6 +58,27 @@ def test_pairs_that_few_rare_shingles_decide(spark):
     assert all(r.component_id == r.doc_id - 1 for r in rows if r.component_id != r.doc_id)
 
 
+def test_edited_copies_of_a_text_that_is_not_there(spark):
+    """Members of one bucket that mostly do not link, of which some pairs share their edits, so that no pivot shows them."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    edit = lambda words, k: [rng.choice(["q", "r", "s"]) + str(rng.random()) if i in at else w for at in [set(rng.sample(range(len(words)), k))] for i, w in enumerate(words)]
+    docs = []
+    for i in range(60):
+        own = edit(base, 11)
+        docs += [own, edit(own, 4)] if i % 4 == 0 else [own]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(1000, "lone " + " ".join(base[:200]))]
+    rows = minhash.grouped(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute(docs, 5)
+
+
+def test_two_texts_of_one_id(spark):
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:58])), (3, " ".join(b[:58])), (4, " ".join(a[:30] + b[:30]))]
+    rows = minhash.grouped(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_null_ids_equal_rows_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = minhash.query(spark.createDataFrame([(None, text), (2, text), (2, text), (1, text)], "doc_id long, text string")).collect()

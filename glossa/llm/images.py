@@ -1,44 +1,81 @@
 """Copies among images by local descriptors.
 
-Corners are found at several scales. Around each, orientation is taken from the intensity centroid, and pairs of places turned by it are
-compared, one bit a pair. Descriptors are indexed by their 32-bit parts (a table each); two descriptors that share a part and differ in at
-most MAX_BITS bits match. Images are linked when enough distinct corners agree on one shift, which edits and crops keep.
-
-Equal images are one before anything is indexed. In a table's bucket, an image is compared with the bucket's smallest image and with its
-neighbour, so a bucket of n images gives 2n pairs at most; a copy shares many buckets with its source, and groups are the
-connected components of the links.
+Corners are found at several scales, as many as an image's area has: each is the greatest of its neighbourhood, and no count is capped.
+Around each, orientation is taken from the intensity centroid, and pairs of places turned by it are compared, one bit a pair. The pairs are chosen once, from
+a pool, so that their bits are even and do not follow each other on drawn pictures; bits that follow the corner's shape alone would agree among
+unrelated images. Descriptors match if they differ in at most MAX_BITS bits. They are indexed by PARTS parts of theirs, a table each; as there are more
+parts than bits that may differ, matching descriptors share a part, so the tables find every match. Images are linked when enough distinct
+corners agree on one change of scale, one turn and one shift, which crops, turns, smaller copies and edits keep.
+
+Equal images are one before anything is indexed. First every image of a bucket is compared with the bucket's smallest image, if they share
+enough corners there; groups are the connected components of the links. Then every pair of images of different groups that shares a bucket is considered: a bucket
+of more than RARE images is frequent, and images that have fewer than LEAST_CORNERS corners in frequent buckets must share a rare one
+with whatever they link to. So pairs come from rare buckets, whose size is bounded, and for the others from frequent ones. Pairs are dropped only
+if the corners in buckets they share cannot be enough; the rest are compared corner by corner.
 
 Media are binary greyscale PGM ("P5"). Cases: null, empty and malformed media have no corners and stay alone; an image smaller than a
-patch has none either; repeated rows are equal images; an empty table gives no rows; other columns are ignored.
+patch has none either; images without an id stay alone and have no class; repeated rows are equal images; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .minhash import components
+from .vector import U, mix
 
 SCALES = (1, 2)
-CORNERS = (16, 8)
-RADIUS, MARGIN, BITS, TURNS = 8, 11, 256, 30
-MAX_BITS, LEAST_CORNERS, SHIFT_BIN = 48, 6, 4
+RADIUS, MARGIN, BITS, TURNS = 8, 11, 256, 36
+#: A corner is the greatest within so many pixels, at each scale.
+APART = 5
+MAX_BITS, PARTS, LEAST_CORNERS = 7, 8, 6
+#: Votes: turns in bins of this part of a circle, shifts in bins of so many pixels, on two grids.
+TURN_BINS, SHIFT_BIN = 15, 8
+RARE = 16
+#: Tests are chosen from so many, on corners of so many drawn pictures.
+POOL, PICTURES = 2500, 150
 
-_rng = np.random.default_rng(77)
-_tests = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2))), -RADIUS + 1, RADIUS - 1)
 _turn = np.arange(TURNS) * 2 * np.pi / TURNS
 _rotation = np.stack([np.stack([np.cos(_turn), -np.sin(_turn)], 1), np.stack([np.sin(_turn), np.cos(_turn)], 1)], 1)
-#: Places of the tests for each turn: [turn, bit, end, (x, y)].
-PLACES = np.round(np.einsum("tij,bej->tbei", _rotation, _tests)).astype(np.int64)
 _disc = np.array([(x, y) for x in range(-7, 8) for y in range(-7, 8) if x * x + y * y <= 49])
 
 
+def _turned(tests: np.ndarray) -> np.ndarray:
+    """Places of the tests for each turn: [turn, bit, end, (x, y)]."""
+    return np.round(np.einsum("tij,bej->tbei", _rotation, tests)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def places() -> np.ndarray:
+    """The chosen tests: evenest bits first, each only if it follows none before it much."""
+    rng = np.random.default_rng(77)
+    pool = np.round(rng.uniform(-RADIUS, RADIUS, (4 * POOL, 2, 2)))
+    length = np.hypot(pool[..., 0], pool[..., 1])
+    pool = pool[(length.max(axis=1) <= RADIUS) & (np.abs(pool[:, 0] - pool[:, 1]).sum(axis=1) > 0)][:POOL]
+    stack = np.stack([decode(drawn(v.tolist(), 0)) for v in rng.normal(0, 0.12, (PICTURES, 64))]).astype(float)
+    i, v, u, _ = corners(stack)
+    bits = _tested(stack, i, v, u, _angles(stack, i, v, u), _turned(pool))
+    even = np.argsort(np.abs(bits.mean(axis=0) - 0.5), kind="stable")
+    z = (bits - bits.mean(axis=0)) / (bits.std(axis=0) + 1e-9)
+    alike = np.abs(z.T @ z) / len(z)
+    for most in (0.35, 0.5, 0.65, 0.8, 1.1):
+        chosen: list[int] = []
+        for k in even.tolist():
+            if len(chosen) < BITS and (not chosen or alike[k, chosen].max() < most):
+                chosen.append(k)
+        if len(chosen) == BITS:
+            break
+    return _turned(pool[chosen])
+
+
 def decode(media: bytes | None) -> np.ndarray | None:
     """The pixels of a PGM, or None."""
     head = re.match(rb"P5\s+(\d+)\s+(\d+)\s+(\d+)\s", media or b"")
@@ -63,115 +100,196 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return (x[:, k:, k:] - x[:, :-k, k:] - x[:, k:, :-k] + x[:, :-k, :-k]) / (k * k)
 
 
-def corners(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, row, column) of up to `most` corners an image of a stack: strongest first, each the greatest near it."""
+def corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, column, strength) of the corners of a stack of images."""
     gx, gy = np.zeros_like(x), np.zeros_like(x)
     gx[:, :, 1:-1], gy[:, 1:-1] = x[:, :, 2:] - x[:, :, :-2], x[:, 2:] - x[:, :-2]
     a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
     r = np.round(a * b - c * c - 0.05 * (a + b) ** 2, 3)
     best = r
-    for axis in (1, 2):  # greatest of 7 x 7
+    for axis in (1, 2):
         pad = [(0, 0)] * 3
-        pad[axis] = (3, 3)
+        pad[axis] = (APART, APART)
         p = np.pad(best, pad, constant_values=-np.inf)
-        best = np.max([np.take(p, range(k, k + r.shape[axis]), axis=axis) for k in range(7)], axis=0)
+        best = np.max([np.take(p, range(k, k + r.shape[axis]), axis=axis) for k in range(2 * APART + 1)], axis=0)
     good = (r == best) & (r > 1e3)
     good[:, :MARGIN], good[:, -MARGIN:], good[:, :, :MARGIN], good[:, :, -MARGIN:] = False, False, False, False
     i, v, u = np.nonzero(good)
-    order = np.lexsort((u, v, -r[i, v, u], i))
-    i, v, u = i[order], v[order], u[order]
-    first = np.searchsorted(i, np.arange(len(x)))
-    keep = np.arange(len(i)) - first[i] < most
-    return i[keep], v[keep], u[keep]
-
-
-def described(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(image, row, column, descriptor) of a stack's corners; descriptors are eight 32-bit numbers."""
-    i, v, u = corners(x, most)
-    if not len(i):
-        return i, v, u, np.zeros((0, BITS // 32), np.uint32)
+    return i, v, u, r[i, v, u]
+
+
+def _angles(x: np.ndarray, i: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
     disc = x[i[:, None], v[:, None] + _disc[:, 1], u[:, None] + _disc[:, 0]]
-    angle = np.arctan2((disc * _disc[:, 1]).sum(1), (disc * _disc[:, 0]).sum(1))
+    return np.arctan2((disc * _disc[:, 1]).sum(1), (disc * _disc[:, 0]).sum(1))
+
+
+def _tested(x, i, v, u, angle: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits of each corner, for tests `at` by turn."""
     turn = np.round(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
     smooth = np.round(_box(x, 1), 3)
-    at = PLACES[turn]
-    value = smooth[i[:, None, None], v[:, None, None] + at[..., 1], u[:, None, None] + at[..., 0]]
-    return i, v, u, np.packbits(value[..., 0] < value[..., 1], axis=1).view(">u4").astype(np.uint32)
+    out = np.empty((len(i), at.shape[1]), bool)
+    for k in range(0, len(i), 4096):
+        p, q, w, own = i[k : k + 4096, None, None], v[k : k + 4096, None, None], u[k : k + 4096, None, None], at[turn[k : k + 4096]]
+        value = smooth[p, q + own[..., 1], w + own[..., 0]]
+        out[k : k + 4096] = value[..., 0] < value[..., 1]
+    return out
+
+
+def described(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, column, angle, descriptor) of a stack's corners; descriptors are 32 bytes."""
+    i, v, u, _ = corners(x)
+    angle = _angles(x, i, v, u) if len(i) else np.empty(0)
+    bits = _tested(x, i, v, u, angle, places()) if len(i) else np.empty((0, BITS), bool)
+    return i, v, u, angle, np.packbits(bits, axis=1)
 
 
-POINTS = "image long, point int, scale int, x int, y int, d0 long, d1 long, d2 long, d3 long"
+#: A corner in a packed list of them.
+POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "<i4"), ("angle", "<f4"), ("bits", "u1", BITS // 8)])
 
 
 def points(images: DataFrame) -> DataFrame:
-    """The corners of images (image, media) with their descriptors, as four 64-bit numbers."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    names = [c.split(" ")[0] for c in POINTS.split(", ")]
+    """(image, n, points): the corners of each image (image, media) that has some, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("image").to_pylist()
-            by_shape: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-            for k, media in zip(ids, batch.column("media").to_pylist(), strict=True):
-                if (p := decode(media)) is not None:
-                    by_shape.setdefault(p.shape, []).append((k, p))
-            for (h, w), own in by_shape.items():
-                step = max(1, 600_000 // (h * w))
-                for a in range(0, len(own), step):
-                    part = own[a : a + step]
-                    which = np.array([k for k, _ in part])
-                    stack = np.stack([p for _, p in part]).astype(float)
-                    count = np.zeros(len(part), np.int64)
-                    for scale, most in zip(SCALES, CORNERS, strict=True):
-                        hh, ww = h // scale, w // scale
-                        if min(hh, ww) <= 2 * MARGIN:
-                            continue
-                        small = stack[:, : hh * scale, : ww * scale].reshape(len(part), hh, scale, ww, scale).mean((2, 4))
-                        i, v, u, d = described(small, most)
-                        n = np.bincount(i, minlength=len(part))
-                        point = np.arange(len(i)) - (np.cumsum(n) - n)[i] + count[i]
-                        count += n
-                        wide = d.astype(np.int64)
-                        longs = [((wide[:, 2 * k] << 32) | wide[:, 2 * k + 1]) for k in range(4)]
-                        cols = [which[i], point.astype(np.int32), np.full(len(i), scale, np.int32), (u * scale).astype(np.int32), (v * scale).astype(np.int32), *longs]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    return images.select(F.col("image").cast("long").alias("image"), "media").mapInArrow(run, POINTS)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                by_shape: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+                for image, media in zip(part.column("image").to_pylist(), part.column("media").to_pylist(), strict=True):
+                    if (p := decode(media)) is not None:
+                        by_shape.setdefault(p.shape, []).append((image, p))
+                for (h, w), own in by_shape.items():
+                    step = max(1, 600_000 // (h * w))
+                    for a in range(0, len(own), step):
+                        yield _packed(own[a : a + step], h, w)
+
+    return images.select(F.col("image").cast("long").alias("image"), "media").mapInArrow(run, "image long, n int, points binary")
+
+
+def _packed(own: list[tuple[int, np.ndarray]], h: int, w: int) -> pa.RecordBatch:
+    stack = np.stack([p for _, p in own]).astype(float)
+    which, rows = [], []
+    for scale in SCALES:
+        hh, ww = h // scale, w // scale
+        if min(hh, ww) <= 2 * MARGIN:
+            continue
+        small = stack[:, : hh * scale, : ww * scale].reshape(len(own), hh, scale, ww, scale).mean((2, 4))
+        i, v, u, angle, bits = described(small)
+        found = np.empty(len(i), POINT)
+        found["x"], found["y"], found["scale"], found["angle"], found["bits"] = u * scale, v * scale, scale, angle, bits
+        which.append(i)
+        rows.append(found)
+    which_, all_ = (np.concatenate(which), np.concatenate(rows)) if which else (np.empty(0, np.int64), np.empty(0, POINT))
+    order = np.argsort(which_, kind="stable")
+    n = np.bincount(which_, minlength=len(own))
+    end = np.cumsum(n)
+    some = np.flatnonzero(n).tolist()
+    all_ = all_[order]
+    return pa.RecordBatch.from_arrays([pa.array([own[k][0] for k in some], pa.int64()), pa.array(n[some].astype(np.int32)), pa.array([all_[end[k] - n[k] : end[k]].tobytes() for k in some], pa.binary())], names=["image", "n", "points"])
+
+
+def keys(found: DataFrame) -> DataFrame:
+    """(key, image, point): a key for each part of each descriptor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = np.ascontiguousarray(np.frombuffer(b"".join(batch.column("points").to_pylist()), POINT)["bits"]).view("<u4")
+            key = mix(parts.astype(U) + (np.arange(PARTS, dtype=U) << U(32)))
+            image = np.repeat(np.repeat(batch.column("image").to_numpy(zero_copy_only=False), n), PARTS)
+            point = np.repeat(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(image, pa.int64()), pa.array(point.astype(np.int32))], names=["key", "image", "point"])
+
+    return found.mapInArrow(run, "key long, image long, point int")
+
+
+_BITS_OF = np.array([k.bit_count() for k in range(256)], np.uint8)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many distinct corners of two images match and agree on a change of scale, a turn and a shift."""
+    i, j = [], []
+    for k in range(0, len(a), 256):
+        apart = _BITS_OF[a["bits"][k : k + 256, None] ^ b["bits"][None]].sum(axis=2)
+        p, q = np.nonzero(apart <= MAX_BITS)
+        i.append(p + k)
+        j.append(q)
+    i, j = np.concatenate(i), np.concatenate(j)
+    if len(i) < LEAST_CORNERS:
+        return 0
+    ratio = b["scale"][j] / a["scale"][i]
+    turn = (b["angle"][j] - a["angle"][i]).astype(float)
+    c, s = np.cos(turn), np.sin(turn)
+    x = b["x"][j] - ratio * (c * a["x"][i] - s * a["y"][i])
+    y = b["y"][j] - ratio * (s * a["x"][i] + c * a["y"][i])
+    most = 0
+    for grid in (0.0, 0.5):
+        cells = np.stack((ratio, np.floor(turn / (2 * np.pi) * TURN_BINS + 0.25 + grid) % TURN_BINS, np.floor(x / SHIFT_BIN + grid), np.floor(y / SHIFT_BIN + grid)), axis=1)
+        _, cell = np.unique(cells, axis=0, return_inverse=True)
+        cell = cell.ravel()
+        count = [np.bincount(np.unique(np.stack((cell, side), axis=1), axis=0)[:, 0]) for side in (i, j)]
+        most = max(most, int(np.minimum(*count).max()))
+    return most
+
+
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (x, y) of images on which enough corners agree."""
+    side = lambda s: found.select(F.col("image").alias(s), F.col("points").alias(f"p{s}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [agreeing(np.frombuffer(p, POINT), np.frombuffer(q, POINT)) >= LEAST_CORNERS for p, q in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(yes, pa.bool_())) for c in ("x", "y")], names=["x", "y"])
+
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "px", "py").mapInArrow(run, "x long, y long")
+
+
+def _shared(left: DataFrame, right: DataFrame, order) -> DataFrame:
+    """(x, y, n): pairs from rows (key, image, point, group), and how many distinct corners of either they share buckets with at least."""
+    other = right.select(F.col("key").alias("key_y"), F.col("image").alias("y"), F.col("point").alias("py"), F.col("group").alias("group_y"))
+    met = left.join(other, (F.col("key") == F.col("key_y")) & (F.col("group") != F.col("group_y")) & order)
+    met = met.groupBy(F.col("image").alias("x"), "y").agg(F.count_distinct("point").alias("nx"), F.count_distinct("py").alias("ny"))
+    return met.select("x", "y", F.least("nx", "ny").alias("n"))
 
 
 def links(found: DataFrame) -> DataFrame:
-    """(x, y) of images that enough matching corners link."""
-    longs = ("d0", "d1", "d2", "d3")
-    parts = [F.struct(F.xxhash64(F.lit(2 * k + half), (F.shiftrightunsigned(d, 32) if half == 0 else F.col(d).bitwiseAND(F.lit(0xFFFFFFFF)))).alias("key")) for k, d in enumerate(longs) for half in (0, 1)]
-    keyed = found.select("image", "point", "scale", F.explode(F.array(*parts)).alias("k")).select(F.xxhash64("scale", "k.key").alias("key"), "image", "point")
+    """(x, y) of images that enough corners link; groups of them are connected, though not every pair of a group is listed."""
+    keyed = keys(found)
     shared = keyed.groupBy("key").agg(F.min("image").alias("least"), F.max("image").alias("most")).where("least <> most").select("key", "least")
     rows = written(keyed.join(shared, "key"), "image-keys")
-    order = Window.partitionBy("key").orderBy("image", "point")
-    near = rows.withColumn("before", F.lag("image").over(order)).withColumn("before_point", F.lag("point").over(order))
-    near = near.where("before <> image").select(F.col("before").alias("x"), F.col("before_point").alias("px"), F.col("image").alias("y"), F.col("point").alias("py"))
-    head = rows.where("image = least").groupBy("key").agg(F.min("point").alias("px"))
-    far = rows.where("image <> least").join(head, "key").select(F.col("least").alias("x"), "px", F.col("image").alias("y"), F.col("point").alias("py"))
-    pairs = near.union(far).distinct()
-    side = lambda s: found.select(F.col("image").alias(s), F.col("point").alias(f"p{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "y", *longs)])
-    both = pairs.join(side("x").withColumnRenamed("x_x", "ax").withColumnRenamed("y_x", "ay"), ["x", "px"]).join(side("y").withColumnRenamed("x_y", "bx").withColumnRenamed("y_y", "by"), ["y", "py"])
-    apart = sum((F.bit_count(F.col(f"{d}_x").bitwiseXOR(F.col(f"{d}_y"))) for d in longs), F.lit(0))
-    both = both.where(apart <= MAX_BITS)
-    bins = F.explode(F.array(F.lit(0), F.lit(SHIFT_BIN // 2)))  # two grids, so that no shift falls between bins
-    votes = both.withColumn("grid", bins).withColumn("dx", F.floor((F.col("ax") - F.col("bx") + F.col("grid")) / SHIFT_BIN)).withColumn("dy", F.floor((F.col("ay") - F.col("by") + F.col("grid")) / SHIFT_BIN))
-    agreed = votes.groupBy("x", "y", "grid", "dx", "dy").agg(F.least(F.count_distinct("px"), F.count_distinct("py")).alias("n")).where(F.col("n") >= LEAST_CORNERS)
-    return agreed.select("x", "y").distinct()
+    least = rows.where("image = least").withColumn("group", F.col("image"))
+    star = _shared(least, rows.withColumn("group", F.col("image")), F.lit(True)).where(F.col("n") >= LEAST_CORNERS)
+    first = written(verified(star, found), "image-links")
+
+    rows = rows.join(components(first), rows["image"] == F.col("node"), "left").select("key", "image", "point", F.coalesce("label", "image").alias("group"))
+    open_ = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count(F.lit(1)).alias("rows")).where("a <> b").select("key", (F.col("rows") > RARE).alias("frequent"))
+    rows = written(rows.join(open_, "key"), "image-open")
+    often = rows.where("frequent").groupBy("image").agg(F.count_distinct("point").alias("often"))
+    often = written(often, "image-often")
+    up = F.col("image") < F.col("y")
+    rare = rows.where(~F.col("frequent"))
+    sparse = _shared(rare, rare, up)
+    for s in ("x", "y"):
+        sparse = sparse.join(often.select(F.col("image").alias(s), F.col("often").alias(f"often_{s}")), s, "left")
+    sparse = sparse.where(F.col("n") + F.least(F.coalesce("often_x", F.lit(0)), F.coalesce("often_y", F.lit(0))) >= LEAST_CORNERS)
+    heavy = rows.where("frequent").join(often.where(F.col("often") >= LEAST_CORNERS).select("image"), "image", "left_semi")
+    dense = _shared(heavy, heavy, up).where(F.col("n") >= LEAST_CORNERS)
+    pairs = written(sparse.select("x", "y").union(dense.select("x", "y")).distinct(), "image-pairs")
+    return first.union(written(verified(pairs, found), "image-links"))
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """(image, class_id, n_links) of images (image, media): the smallest image of its group, and how many different images it is linked to directly."""
-    named = images.select(F.col("image").cast("long").alias("image"), "media", F.sha2(F.coalesce("media", F.lit(b"")), 256).alias("digest"), F.octet_length("media").alias("size"))
-    of = written(named.groupBy("digest").agg(F.min("image").alias("first")), "image-classes")
+    """(image, class_id, kept, n_corners) of images (image, media): the smallest image of its group, whether it is that one, and its corners."""
+    named = images.select(F.col("image").cast("long").alias("image"), "media", F.sha2(F.coalesce("media", F.lit(b"")), 256).alias("digest"), (F.coalesce(F.octet_length("media"), F.lit(0)) == 0).alias("blank"))
+    of = written(named.where("image IS NOT NULL").groupBy("digest").agg(F.min("image").alias("first")), "image-classes")
     firsts = named.join(of, "digest").where("image = first").dropDuplicates(["digest"]).select("image", "media")
     found = written(points(firsts), "image-points")
-    linked = written(links(found), "image-links")
-    label = components(linked).select(F.col("node").alias("first"), "label")
-    degree = linked.select("x").union(linked.select("y")).groupBy(F.col("x").alias("first")).agg(F.count(F.lit(1)).alias("n"))
-    rows = named.select("image", "digest", (F.coalesce("size", F.lit(0)) == 0).alias("blank")).join(of, "digest").join(label, "first", "left").join(degree, "first", "left")
-    return rows.select("image", F.when(F.col("blank"), F.col("image")).otherwise(F.coalesce("label", "first")).alias("class_id"), F.when(F.col("blank"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"))
+    label = components(links(found)).select(F.col("node").alias("first"), "label")
+    size = found.groupBy(F.col("image").alias("first")).agg(F.max("n").cast("long").alias("n"))
+    rows = named.select("image", "digest", "blank").join(of, "digest", "left").join(label, "first", "left").join(size, "first", "left")
+    alone = F.col("blank") | F.col("image").isNull()
+    rows = rows.select("image", F.when(alone, F.col("image")).otherwise(F.coalesce("label", "first")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_corners"))
+    return rows.select("image", "class_id", F.col("image").eqNullSafe(F.col("class_id")).alias("kept"), "n_corners")
 
 
 def drawn(vector: list[float] | None, variant: int, side: int = 72) -> bytes | None:
@@ -199,10 +317,11 @@ def pictures(embeddings: DataFrame, every: int = 8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(4 * i + k, drawn(v, k)) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True) if i is not None for k in ((0, 1, 2) if i % every == 0 else (0,))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["image", "media"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [(None if i is None else 4 * i + k, drawn(v, k)) for i, v in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_pylist(), strict=True) for k in ((0, 1, 2) if i is not None and i % every == 0 else (0,))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["image", "media"])
 
-    embeddings.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return embeddings.select("vec_id", "embedding").mapInArrow(run, "image long, media binary")
 
 

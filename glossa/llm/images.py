@@ -36,7 +36,7 @@ SCALES = (1, 2)
 RADIUS, MARGIN, BITS, TURNS = 8, 11, 256, 36
 #: A corner is the greatest within so many pixels, at each scale.
 APART = 5
-MAX_BITS, PARTS, LEAST_CORNERS = 7, 8, 6
+MAX_BITS, PARTS, LEAST_CORNERS = 5, 6, 6
 #: Votes: turns in bins of this part of a circle, shifts in bins of so many pixels, on two grids.
 TURN_BINS, SHIFT_BIN = 15, 8
 RARE = 16
@@ -194,8 +194,9 @@ def keys(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = np.ascontiguousarray(np.frombuffer(b"".join(batch.column("points").to_pylist()), POINT)["bits"]).view("<u4")
-            key = mix(parts.astype(U) + (np.arange(PARTS, dtype=U) << U(32)))
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("points").to_pylist()), POINT)["bits"], axis=1)
+            parts = [np.packbits(x, axis=1).astype(U) for x in np.array_split(bits, PARTS, axis=1)]
+            key = np.stack([mix((x * (U(256) ** np.arange(x.shape[1], dtype=U))).sum(axis=1, dtype=U) + U(k << 60)) for k, x in enumerate(parts)], axis=1)
             image = np.repeat(np.repeat(batch.column("image").to_numpy(zero_copy_only=False), n), PARTS)
             point = np.repeat(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(image, pa.int64()), pa.array(point.astype(np.int32))], names=["key", "image", "point"])

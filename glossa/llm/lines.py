@@ -5,13 +5,13 @@ EDITS edits while both have MIN_CHARS characters. Lines without a word stay and
 
 The join splits a line into EDITS + 1 even segments; of two lines within EDITS edits, one has a segment of the other
 unchanged, and near its old place. Lines are indexed by (length, segment number, segment), and probe the index for
-their own and shorter lengths at the few places where a segment can then be. Keys that two distinct lines share are
-found by a sum over hashed keys, without the lines' texts; only lines with such a key are looked at again. A pair must then have letter
+their own and shorter lengths at the few places where a segment can then be. Hashed keys are dealt once, without the lines' texts;
+what they are dealt to finds the keys that two lines share, and the lines that hold those. A pair must then have letter
 counts that so few edits allow, and is verified by bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals, after
 its common head and tail are stripped.
 
-Only an equal or near line of smaller place matters, so exact copies are one line with its first place: a line that a third of
-all documents hold is one row from the first sum on.
+Only an equal or near line of smaller place matters, so exact copies are one line with its first place, summed before anything is
+dealt: a line that a third of all documents hold is one row from the first sum on, and has its keys made once.
 
 Cases: null texts have no lines; rows that share an id (or have none) share their places, so they do not repeat each
 other at one line number; a null id comes first; an empty table gives no rows; a text of any length is one task's; other columns are
@@ -20,7 +20,7 @@ kept by `deduplicated` and ignored by the query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, text_or_empty, written
@@ -37,6 +37,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(WORD)).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("2"), "line"))
 
 
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(h1, h2, line, place, times) of every distinct line with a word; `place` is its first (doc_id, line_no)."""
+    place = F.min(F.struct("doc_id", "line_no")).alias("place")
+    return occurrences(docs).groupBy("h1", "h2").agg(F.first("line").alias("line"), place, F.count(F.lit(1)).alias("times"))
+
+
 def keys(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, key, probe): the index and probe keys of long lines. `probe` is false for a line's own segments."""
     parts = edits + 1
@@ -114,14 +120,13 @@ def within_edits(a: str, b: str, edits: int = EDITS) -> Column:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2) of distinct lines that an earlier line is near to."""
-    keyed = keys(lines, edits, min_chars)
-    sums = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.bool_and("probe").alias("only_probes"))
-    shared = written(sums.where("a <> b AND NOT only_probes").select("key"), "line-keys")
-    members = written(keyed.join(shared.hint("merge"), "key", "left_semi").distinct(), "line-members")
+    """(h1, h2) of the lines (h1, h2, line, place), all distinct, that an earlier one is near to."""
+    whole = Window.partitionBy("key")  # dealt and sorted once, with no join; a key's rows are held on disk where they are many
+    keyed = keys(lines, edits, min_chars).withColumn("a", F.min("h1").over(whole)).withColumn("b", F.max("h1").over(whole)).withColumn("only_probes", F.min("probe").over(whole))
+    members = written(keyed.where("a <> b AND NOT only_probes").select("h1", "key", "probe").distinct(), "line-members")
     wanted = written(members.select("h1").distinct(), "line-names")
-    texts = lines.join(wanted.hint("merge"), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("line").alias("line"))
-    texts = written(texts.withColumn("letters", letter_counts()), "line-texts")
+    texts = lines.join(wanted.hint("merge"), "h1", "left_semi").select("h1", "h2", "place", "line", letter_counts().alias("letters"))
+    texts = written(texts, "line-texts")
 
     facts = texts.select("h1", "h2", "letters", F.char_length("line").alias("n"), "place")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("h1", "h2", "letters", "n", "place")]
@@ -141,10 +146,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def judged_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, line_no, near) of the lines that go."""
-    lines = occurrences(docs)
+    lines = written(distinct_lines(docs), "lines")
     near = written(near_lines(lines, edits, min_chars), "near-lines").withColumn("near", F.lit(True))
-    places = lines.select("doc_id", "text_hash", "line_no", "h1", "h2")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"))
+    places = occurrences(docs).select("doc_id", "text_hash", "line_no", "h1", "h2")
+    first = lines.select("h1", "h2", F.col("place").alias("first"), "times")
     first = first.join(near, ["h1", "h2"], "left").where("times > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = places.join(first, ["h1", "h2"])
     here = F.struct("doc_id", "line_no")

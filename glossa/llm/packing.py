@@ -4,8 +4,8 @@ Documents become token ids; longer ones than a sequence are cut from the end, so
 shorter. Which pieces share a sequence depends on lengths alone, so the driver plans with the histogram (as many rows as a
 sequence has tokens, whatever the data's size). Multiplicative weights solve the program "fewest patterns that cover
 all lengths": each round a knapsack table prices the best patterns for the current weights, and lengths that are covered
-already lose weight. The averaged solution is rounded down, the rest is solved anew, and what rounding leaves at the
-end is packed largest first, each sequence filled as far as lengths allow. Pieces then find their place by their
+already lose weight. The averaged solution is rounded down, and the rest is solved anew, at every size. Where all weights are below one, the
+solution's full patterns count once each, heaviest first, if that takes fewer sequences than none of them. What rounding leaves is packed largest first, each sequence filled as far as lengths allow. Pieces then find their place by their
 rank among pieces of their length.
 
 Cases: null and empty texts are the end mark alone; null or repeated ids and repeated rows are pieces of their own; an
@@ -32,8 +32,19 @@ CAPACITY = 1024
 END = 2
 #: Copies of the weights that learn side by side, and rounds of each.
 REPLICAS, ROUNDS = 16, 24
-#: So often what rounding left is solved anew, while it has more pieces than PLAN_LEAST.
-PLANS, PLAN_LEAST = 5, 4096
+#: So often the program is solved for what rounding left. Patterns that leave a larger part of a sequence empty wait for another solution.
+PLANS, WASTE = 6, 1 / 128
+
+
+def _stands(spec: dict, path: str) -> None:
+    """Raise if a tokenizers file is not of the kind that `encoder` runs: byte-level BPE, its common split, no normalizer, ids in merge order."""
+    before, model = spec["pre_tokenizer"], spec["model"]
+    bare = before["type"] == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    if not (bare and plain and ids == sorted(ids)):
+        raise ValueError(f"not a plain byte-level BPE with ids in merge order: {path}")
 
 
 @lru_cache(maxsize=2)
@@ -47,6 +58,7 @@ def encoder(path: str):
     byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    _stands(spec, path)
     split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     return tiktoken.Encoding(base64.b16encode(path.encode()).decode(), pat_str=split, mergeable_ranks=ranks, special_tokens=special)
 
@@ -165,23 +177,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 1) ->
     out: list[tuple[Pattern, int]] = []
     if capacity in left:
         out.append((((capacity, 1),), left.pop(capacity)))
+    solution: dict[Pattern, float] = {}
     for _ in range(PLANS):
-        if sum(left.values()) <= PLAN_LEAST:
+        if not left:
             break
         lengths = np.array(sorted(left, reverse=True))
         counts = np.array([left[int(n)] for n in lengths], float)
-        for pattern, weight in sorted(covering(lengths, counts, capacity, rng), key=lambda x: -x[1]):
+        solution = {}
+        for pattern, weight in covering(lengths, counts, capacity, rng):
             named = tuple((int(lengths[j]), c) for j, c in sorted(pattern.items()))
-            if capacity - sum(n * c for n, c in named) > capacity // 128:
-                continue
-            times = min(int(weight), *(left.get(n, 0) // c for n, c in named))
-            if times > 0:
-                out.append((named, times))
-                for n, c in named:
-                    left[n] -= times * c
-        left = {n: c for n, c in left.items() if c}
-    out.extend(filled(sorted(left), left, capacity))
-    return out
+            if capacity - sum(n * c for n, c in named) <= capacity * WASTE:
+                solution[named] = solution.get(named, 0.0) + weight
+        used, left = rounded(solution, left, 0)
+        out += used
+        if not used:
+            break
+    up, rest = rounded(solution, left, 1)
+    ways = [list(filled(sorted(left), dict(left), capacity)), up + list(filled(sorted(rest), dict(rest), capacity))]
+    return out + min(ways, key=lambda way: sum(times for _, times in way))
+
+
+def rounded(solution: dict[Pattern, float], left: dict[int, int], least: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
+    """The patterns by weight, heaviest first, each rounded down but `least` times at least, as far as the lengths in `left` allow; and what is left then."""
+    left, out = dict(left), []
+    for pattern, weight in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+        times = min(max(least, int(weight)), *(left.get(n, 0) // c for n, c in pattern))
+        if times > 0:
+            out.append((pattern, times))
+            for n, c in pattern:
+                left[n] -= times * c
+    return out, {n: c for n, c in left.items() if c}
 
 
 def places(patterns: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:

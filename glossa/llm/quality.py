@@ -8,8 +8,8 @@ A line with a word fails where a rule says so:
 - boilerplate: a line of up to 25 words that speaks of licences, rights, cookies or scripts.
 
 Lines without words stay as they are and are no loss. A document is kept if the base rules pass (ten words, and at most a
-fifth of the words in repeated five-word windows), if at most half of its word characters were in lines that failed
-for punctuation or navigation, and if any other line is left: a licence line goes, but says nothing against a text.
+fifth of the words in repeated five-word windows), if at most half of its word characters were in lines that failed,
+by whichever rule, and if any other line is left.
 
 Cases: null text has no words and fails, as empty texts do; repeated rows are judged alike; an empty table gives
 no rows; other columns are carried only where asked for. A text is always judged whole, by one task.
@@ -93,13 +93,12 @@ def line_fails(line: str, clues: Clues | None = None) -> str | None:
 
 
 def cleaned_text(text: str) -> tuple[str, int, int]:
-    """The text without its failing lines, the word characters in those that count as a loss, and those left."""
+    """The text without its failing lines, the word characters in those, and whether any are left."""
     out, lost, left, clues = [], 0, 0, Clues(text)
     for line in text.split("\n"):
         if bare := line.strip(SPACES):
-            if why := line_fails(line, clues):
-                if why != "boilerplate":
-                    lost += len(line) - sum(map(line.count, SPACES))
+            if line_fails(line, clues):
+                lost += len(line) - sum(map(line.count, SPACES))
                 continue
             left += len(bare)
         out.append(line)

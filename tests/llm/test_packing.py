@@ -71,3 +71,45 @@ def test_plans_hold_the_histogram_and_come_near_the_least():
                 total[a] += b * times
         assert dict(total) == histogram
         assert sequences <= max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum())) * 1.005 + 3
+
+
+def least_sequences(items, capacity):
+    """The least number of sequences, by depth-first search."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def search(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= items[k]:
+                rest = list(rooms)
+                rest[rest.index(room)] -= items[k]
+                search(k + 1, rest)
+        search(k + 1, [*rooms, capacity - items[k]])
+
+    search(0, [])
+    return best
+
+
+def test_small_plans_against_the_optimum():
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        items = rng.integers(5, 60, rng.integers(1, 11)).tolist()
+        histogram = {int(a): int(b) for a, b in zip(*np.unique(items, return_counts=True), strict=True)}
+        assert sum(t for _, t in packing.plan(histogram, capacity=64)) <= least_sequences(items, 64) + 1
+
+
+def test_the_program_is_solved_at_every_size(monkeypatch):
+    calls = []
+    solve = packing.covering
+    monkeypatch.setattr(packing, "covering", lambda *a: calls.append(1) or solve(*a))
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 1507, 4096, 4097):
+        lengths = rng.integers(1, 1024, n)
+        packing.plan({int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True), strict=True)})
+        assert calls
+        calls.clear()

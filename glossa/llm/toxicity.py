@@ -7,8 +7,8 @@ that it trusts them no more than it may on new ones. The network reads windows o
 that overlap by half; attention weighs the states of both directions. A document's logit is that of its worst window, and training is by the worst
 windows too. A last logistic step on documents that training has not seen turns logits into scores.
 
-The network is fitted on a sample of labelled rows, at most SAMPLE of each class (those with the smallest hashes of doc_id) and at
-most SAMPLE_CHARS characters of each; labels of the held-out fold are never read. Scoring reads every word of every
+The network is fitted on a sample of labelled rows, whole texts: at most SAMPLE of each class (those with the smallest hashes of doc_id), and
+of these as many as hold SAMPLE_BYTES together; labels of the held-out fold are never read. Scoring reads every word of every
 document, in groups of bounded size.
 
 Cases: null and empty texts are a window without words and get a score like any other; null and repeated ids and
@@ -25,19 +25,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .vector import ARROW_ROWS
 
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE, SAMPLE_BYTES = 2500, 24_000_000
 FOLDS = 5
 WINDOW, STEP = 64, 32
 TABLE = 1 << 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 4, 8, 8, 8
 EPOCHS, BATCH, RATE = 5, 128, 0.01
 #: Windows scored at once, and words kept with their inputs.
-CHUNK, KEPT_WORDS = 2048, 400_000
+CHUNK, KEPT_WORDS = 1024, 400_000
 MARKS = ".,;:!?\"'()[]{}«»…-"
 
 
@@ -325,19 +325,56 @@ def calibrated(logit: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[floa
     return float(max(w[0], 0.05)), float(w[1]), float(w[2])
 
 
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Gate inputs by half, since a logistic function is a hyperbolic tangent of half its input."""
+    x = np.array(x, np.float32)
+    x[..., : 2 * HIDDEN] *= 0.5
+    return x
+
+
+def window_logits(net, tables: tuple[np.ndarray, np.ndarray], grid: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """As `forward`, without masks: logits of windows by length, longest first; `tables` hold the halved projections of words for each direction."""
+    steps = max(1, int(length[0]))
+    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")  # windows that reach a step
+    states = np.zeros((steps, len(length), 2 * HIDDEN), np.float32)
+    for d, table, order in (("f", tables[0], range(steps)), ("b", tables[1], range(steps - 1, -1, -1))):
+        u, at = _halved(net["U" + d]), slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)
+        h = np.zeros((len(length), HIDDEN), np.float32)
+        for t in order:
+            own = h[: live[t]]
+            a, hu = table.take(grid[t, : live[t]], axis=0), own @ u
+            gates = a[:, : 2 * HIDDEN]
+            gates += hu[:, : 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = gates[:, :HIDDEN] * hu[:, 2 * HIDDEN :]
+            new += a[:, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            own -= new
+            own *= gates[:, HIDDEN:]
+            own += new
+            states[t, : live[t], at] = own
+    e = np.tanh(states @ net["Wa"] + net["ba"]) @ net["va"]
+    e[np.arange(steps)[:, None] >= np.maximum(length, 1)] = -1e9
+    e = np.exp(e - e.max(axis=0))
+    pooled = np.einsum("tb,tbh->bh", e / e.sum(axis=0), states)
+    return pooled @ net["wo"] + net["bo"][0]
+
+
 class Scorer:
     """Scores texts with a model; keeps the projected inputs of words it has met."""
 
     def __init__(self, model: Model):
         self.model, self.names = model, {}
-        self.table = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.tables = tuple(np.zeros((1, 3 * HIDDEN), np.float32) for _ in "fb")
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
         out = np.full(len(texts), -np.inf)
         count = np.zeros(len(texts))
-        held: list[tuple[int, list[int], list[tuple[int, int]]]] = []
+        held: list[tuple[int, list[str], list[tuple[int, int]]]] = []
         size = 0
         for i, text in enumerate(texts):
             words = text.split()
@@ -356,33 +393,49 @@ class Scorer:
         a, b, c = self.model.scale
         return _sigmoid(a * out + b * np.log1p(count) + c)
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the tables."""
+        names, new = self.names, []
+        own = list(map(names.get, words))
+        if None in own:
+            for w in words:
+                if w not in names:
+                    names[w] = len(names)
+                    new.append(pieces(w))
+            own = list(map(names.get, words))
+        if new:
+            x, net, first = self.model.inputs(Rows.of(new)), self.model.net, len(names) - len(new)
+            if len(names) > len(self.tables[0]):
+                self.tables = tuple(np.concatenate((t[:first], np.empty((2 * len(names) - first, 3 * HIDDEN), np.float32))) for t in self.tables)
+            for t, d in zip(self.tables, "fb", strict=True):
+                t[first : len(names)] = _halved(x @ net["W" + d] + net["b" + d])
+        return np.array(own, np.int32)
+
     def _run(self, held, out: np.ndarray) -> None:
         if len(self.names) > KEPT_WORDS:
-            self.names, self.table = {}, self.table[:0]
-        net, rows, docs = self.model.net, [], []
-        for _, words, _ in held:
-            own = []
-            for w in words:
-                if (k := self.names.get(w)) is None:
-                    k = self.names[w] = len(self.table) + len(rows)
-                    rows.append(pieces(w))
-                own.append(k)
-            docs.append(own)
-        if rows:
-            new = self.model.inputs(Rows.of(rows))
-            self.table = np.concatenate((self.table, np.concatenate((new @ net["Wf"] + net["bf"], new @ net["Wb"] + net["bb"]), axis=1).astype(np.float32)))
-        n = sum(len(s) for _, _, s in held)
-        grid, mask = np.zeros((WINDOW, n), np.int32), np.zeros((WINDOW, n), np.float32)
-        at, owner = 0, np.empty(n, np.int64)
-        for (i, _, spans), own in zip(held, docs, strict=True):
-            _dense(own, spans, grid, mask, at)
-            owner[at : at + len(spans)] = i
-            at += len(spans)
-        table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), np.float32)
-        longest = max(1, int(mask.sum(axis=0).max()))
-        for a in range(0, n, CHUNK):
-            logit, _ = forward(net, table[grid[:longest, a : a + CHUNK]], mask[:longest, a : a + CHUNK], projected=True)
-            np.maximum.at(out, owner[a : a + CHUNK], logit)
+            self.names = {}
+        words = self._known([w for _, own, _ in held for w in own])
+        base = np.cumsum([0, *(len(own) for _, own, _ in held)])[:-1].tolist()
+        start = np.array([b + p for b, (_, _, spans) in zip(base, held, strict=True) for p, _ in spans], np.int64)
+        length = np.array([q - p for _, _, spans in held for p, q in spans], np.int64)
+        owner = np.repeat([i for i, _, _ in held], [len(spans) for _, _, spans in held])
+        order = np.argsort(-length, kind="stable")
+        start, length, owner = start[order], length[order], owner[order]
+        words = np.concatenate((words, np.zeros(WINDOW, np.int32)))
+        for a in range(0, len(start), CHUNK):
+            part = slice(a, a + CHUNK)
+            grid = words[np.arange(max(1, int(length[a])))[:, None] + start[part]]
+            np.maximum.at(out, owner[part], window_logits(self.model.net, self.tables, grid, length[part]))
+
+
+_scorers: list[Scorer] = []
+
+
+def kept_scorer(model: Model) -> Scorer:
+    """The scorer of a model; a worker process keeps the last one, with its words, for its next task."""
+    if not _scorers or _scorers[0].model is not model:
+        _scorers[:] = [Scorer(model)]
+    return _scorers[0]
 
 
 def held_out() -> F.Column:
@@ -391,15 +444,20 @@ def held_out() -> F.Column:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels for `fit`, from rows that are not held out: up to `most` of each class, by hash of the id."""
+    """Whole texts and labels for `fit`, from rows that are not held out: by hash of the id, up to `most` of each class and SAMPLE_BYTES (the first in any case)."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for c in (0, 1):
         part = marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = sorted((r["toxic"], r["doc_id"], r["text"] or "") for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect())
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("again")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy("draw", "doc_id", "again").limit(2 * most)
+    before = Window.partitionBy("toxic").orderBy("draw", "doc_id", "again").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.select("doc_id", "draw", "again", "toxic", F.octet_length("text").cast("long").alias("size"))
+    fits = sizes.withColumn("upto", F.col("size") + F.sum("size").over(before)).where(F.coalesce(F.col("upto") <= SAMPLE_BYTES, F.lit(True)))
+    fits = F.broadcast(fits.select("doc_id", "again").distinct())
+    found = sorted((r["toxic"], r["doc_id"], r["text"]) for r in rows.join(fits, ["doc_id", "again"]).select("toxic", "doc_id", "text").collect())
     return [t for _, _, t in found], [y for y, _, _ in found]
 
 
@@ -410,7 +468,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = kept_scorer(shared.value)
         for batch in batches:
             value = scorer.scores([x or "" for x in batch.column("_text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value, pa.float64())], names=["doc_id", "score"])

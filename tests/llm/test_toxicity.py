@@ -62,3 +62,26 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert tox.query(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
     assert [r.score for r in tox.query(spark.createDataFrame([(1, "a")], "doc_id long, text string"), none).collect()] == [0.0]
+
+
+def test_windows_by_length_score_as_with_masks():
+    """The scorer's form of the network against the one that is trained, for windows of every length."""
+    rng = np.random.default_rng(5)
+    net = tox.fresh_net(rng)
+    words = rng.normal(size=(300, tox.WORD_DIM + tox.CHAR_DIM)).astype(np.float32)
+    length = np.sort(rng.integers(0, tox.WINDOW + 1, 200))[::-1].copy()
+    length[-3:] = 0
+    grid = rng.integers(0, 300, (tox.WINDOW, 200))
+    mask = (np.arange(tox.WINDOW)[:, None] < length).astype(np.float32)
+    known, _ = tox.forward(net, words[grid], mask)
+    tables = tuple(tox._halved(words @ net["W" + d] + net["b" + d]) for d in "fb")
+    assert np.abs(tox.window_logits(net, tables, grid, length) - known).max() < 1e-4
+
+
+def test_sample_holds_whole_texts_up_to_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "x" * 300) for i in range(1, 30)] + [(30, "y" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 30)) for i in range(1, 31)], "doc_id long, toxic int")
+    texts, marks = tox.sampled(docs, labels)
+    assert [t for t, y in zip(texts, marks, strict=True) if y] == (["y" * 5000] if zlib.crc32(b"30") % 5 else [])
+    assert [len(t) for t, y in zip(texts, marks, strict=True) if not y] == [300] * 3

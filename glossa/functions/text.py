@@ -185,7 +185,7 @@ def is_setopt(command: Column | str) -> Column:
     """Whether a command sets options: setopt, unsetopt, or set with a flag of either sign."""
     words = F.split(trim(command), r"\s+")
     head = F.element_at(words, 1)
-    flags = F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: w.rlike("^[-+]"))
+    flags = F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: w.rlike("^[-+][A-Za-z0-9]"))
     return head.isin("setopt", "unsetopt") | ((head == "set") & flags)
 
 

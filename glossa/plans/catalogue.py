@@ -352,7 +352,7 @@ def equal_maps(spark, sf):
 SETOPTS = "CASE event_id % 6 WHEN 0 THEN 'setopt ' || event_type WHEN 1 THEN 'set -' || event_type WHEN 2 THEN 'set x' WHEN 3 THEN ' unsetopt' WHEN 4 THEN 'set a +b' ELSE 'echo set -x' END"
 
 
-@query(f"WITH e AS (SELECT event_id, trim({SETOPTS}) AS t FROM events) SELECT event_id, regexp_matches(t, '^(setopt|unsetopt)(\\s|$)') OR regexp_matches(t, '^set\\s(.*\\s)?[-+]') AS is_setopt FROM e")
+@query(f"WITH e AS (SELECT event_id, trim({SETOPTS}) AS t FROM events) SELECT event_id, regexp_matches(t, '^(setopt|unsetopt)(\\s|$)') OR regexp_matches(t, '^set\\s(.*\\s)?[-+][A-Za-z0-9]') AS is_setopt FROM e")
 def setopt_commands(spark, sf):
     return T.table(spark, sf, "events").select("event_id", X.is_setopt(F.expr(SETOPTS)).alias("is_setopt"))
 
@@ -395,28 +395,50 @@ def diagnostics_upsert(spark, sf):
 # -- facts, markup, rendering ------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""{T.SHELL_SQL}
+SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY nth) - 1 AS seq, kind, pos AS span_start, pos + length(word) AS span_end, word AS text, strength, precmds FROM f WHERE kind <> 'func-decl'""")
 def line_facts(spark, sf):
-    return FA.facts_of_lines(T.scripts(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
+    return FA.facts_of_lines(T.shell(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
 
 
-@query()
+@query(f"""{T.SHELL_SQL}
+SELECT doc_id, line_no, nth AS ord, kind, CASE WHEN kind = 'func-decl' THEN line_start ELSE line_start + pos END AS span_start, CASE WHEN kind = 'func-decl' THEN line_start + length(line) ELSE line_start + pos + length(word) END AS span_end,
+    word AS text, strength, precmds, NULL AS ctx, CASE WHEN kind = 'func-decl' THEN line_start + pos END AS name_start FROM f
+UNION ALL SELECT doc_id, NULL, {len(T.SHELL_FACTS)} + nth, 'ctx', span_start, span_end, NULL, 'heuristic', NULL, ctx, NULL FROM c""")
 def doc_facts(spark, sf):
-    return FA.analyzed(T.scripts(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
+    return FA.analyzed(T.shell(spark, sf)).withColumn("precmds", F.array_join("precmds", " "))
 
 
-@query()
+@query(f"""{T.SHELL_SQL}, p AS (SELECT DISTINCT doc_id, line_start + unnest([0, length(text) // 2, length(text)]) AS offset FROM l)
+SELECT p.doc_id, p.offset, coalesce(CASE min(CASE ctx WHEN 'setopt' THEN 0 WHEN 'cond' THEN 1 WHEN 'arith' THEN 2 END) WHEN 0 THEN 'setopt' WHEN 1 THEN 'cond' WHEN 2 THEN 'arith' END, 'general') AS ctx
+FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND p.offset BETWEEN span_start AND span_end GROUP BY 1, 2""")
 def ctx_at(spark, sf):
-    lines = T.scripts(spark, sf)
-    points = lines.select("doc_id", (F.col("line_start") + F.least(F.length("text"), F.lit(8))).alias("offset"))
+    lines = T.shell(spark, sf)
+    ends = F.array(F.lit(0).cast("long"), F.expr("cast(length(text) div 2 as long)"), F.length("text").cast("long"))
+    points = lines.select("doc_id", "line_start", F.explode(ends).alias("at")).select("doc_id", (F.col("line_start") + F.col("at")).alias("offset")).distinct()
     return FA.context_at(FA.analyzed(lines), points)
 
 
-@query(f"WITH s AS ({T.SCRIPTS_SQL}) SELECT doc_id, line_no, strpos(text, 'noglob') - 1 AS span_start, 6 AS length, 'keyword' AS type FROM s WHERE starts_with(text, 'noglob') UNION ALL SELECT doc_id, line_no, strpos(text, 'echo') - 1, 4, 'builtin' FROM s WHERE starts_with(text, 'echo') UNION ALL SELECT doc_id, line_no, strpos(text, 'command') - 1, 7, 'keyword' FROM s WHERE starts_with(text, 'noglob command')")
+@query(f"{T.SHELL_SQL} SELECT doc_id, line_no, pos AS span_start, pos + length(word) AS span_end FROM f WHERE kind = 'cmd-head'")
+def command_positions(spark, sf):
+    return FA.command_positions(FA.facts_of_lines(T.shell(spark, sf)))
+
+
+@query(f"{T.SHELL_SQL} SELECT doc_id, line_no FROM l WHERE line_no IN (2, 3, 23)")
+def setopt_lines(spark, sf):
+    lines = T.shell(spark, sf)
+    return FA.setopt_lines(lines, FA.facts_of_lines(lines))
+
+
+#: Builtins for the token query.
+SHELL_BUILTINS = ("echo", "cat", "set", "setopt", "test", "[", "local")
+
+
+@query(f"""{T.SHELL_SQL} SELECT doc_id, line_no, pos AS span_start, length(word) AS length, 'keyword' AS type FROM f WHERE kind IN ('reserved-word', 'precmd') AND word NOT IN ('{{', '}}')
+UNION ALL SELECT doc_id, line_no, pos, length(word), 'builtin' FROM f WHERE kind = 'cmd-head' AND word <> '[' AND word IN {SHELL_BUILTINS} AND NOT list_contains(string_split(precmds, ' '), 'command')""")
 def semantic_tokens(spark, sf):
-    lines = T.scripts(spark, sf).where(F.startswith("text", F.lit("noglob")) | F.startswith("text", F.lit("echo")))
-    builtins = spark.createDataFrame([("echo",), ("cat",)], "id string")
-    rows = FA.semantic_tokens(FA.facts_of_lines(lines), builtins).where("NOT (type = 'builtin' AND span_start > 0)")
+    builtins = spark.createDataFrame([(x,) for x in SHELL_BUILTINS], "id string")
+    rows = FA.semantic_tokens(FA.facts_of_lines(T.shell(spark, sf)), builtins)
     return rows.select("doc_id", "line_no", "span_start", F.col("length").cast("long").alias("length"), "type")
 
 

@@ -85,3 +85,129 @@ def _line_sql() -> str:
 
 SCRIPTS_SQL = f"""SELECT user_id AS doc_id, row_number() OVER w - 1 AS line_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start, text
 FROM (SELECT user_id, event_id, {_line_sql()} AS text FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+
+
+#: A script that every event is a document of, by line; `{t}` stands for the event's type and `{u}` for its user.
+SHELL = (
+    "# about {t} of {u}",
+    "{t}_run() { echo '{t} # no' }",
+    "setopt auto_{t} \\",
+    "  no_{t}",
+    "noglob command {t}_run --user {u}",
+    "function {t}-all",
+    "if [[ -f /tmp/{u} ]]; then {t}_run; fi",
+    "exec -a {t} -c zsh -f",
+    "command -pv {t}; command -- {t} -v",
+    "export X={u} >>| log &>> {t}.out <<< w",
+    "diff <({t} (a)) =(b) x=(c)",
+    "(( n{u} += 1 )) && local {t}={u}",
+    '{t}="a ${x:-"b c"} d" 3<>f time ! {t}_run \\; [ -n "$x" ]; }',
+    "test -z {t} && [ {t} ] || repeat 2 {t} # ]",
+    "case {t} in ({t}) {t};; esac",
+    "coproc {t}_run | in ]]",
+    "(( {u} > 3 \\",
+    "  )) || set -o {t}",
+    "[[ {t} = '[[' &&",
+    "  {u} -gt 2 ]] ; unsetopt {t}",
+    "command setopt {t}; set {t}",
+    "echo `{t} 2>&1 | cat > out",
+    '[[ {t} ]] "(( {u} ))"',
+    "set +x {t}",
+)
+#: Its facts, found by hand: line, kind, what stands before, the text, strength, modifiers.
+SHELL_FACTS = (
+    (1, "func-decl", "", "{t}_run", "hard", None),
+    (1, "reserved-word", "{t}_run() ", "{", "hard", None),
+    (1, "cmd-head", "{t}_run() { ", "echo", "heuristic", ""),
+    (2, "cmd-head", "", "setopt", "heuristic", ""),
+    (3, "cmd-head", "  ", "no_{t}", "heuristic", ""),
+    (4, "precmd", "", "noglob", "hard", None),
+    (4, "precmd", "noglob ", "command", "hard", None),
+    (4, "cmd-head", "noglob command ", "{t}_run", "heuristic", "noglob command"),
+    (5, "func-decl", "function ", "{t}-all", "hard", None),
+    (5, "reserved-word", "", "function", "hard", None),
+    (6, "reserved-word", "", "if", "hard", None),
+    (6, "reserved-word", "if ", "[[", "hard", None),
+    (6, "reserved-word", "if [[ -f /tmp/{u} ]]; ", "then", "hard", None),
+    (6, "cmd-head", "if [[ -f /tmp/{u} ]]; then ", "{t}_run", "heuristic", ""),
+    (6, "reserved-word", "if [[ -f /tmp/{u} ]]; then {t}_run; ", "fi", "hard", None),
+    (7, "precmd", "", "exec", "hard", None),
+    (7, "cmd-head", "exec -a {t} ", "-c", "heuristic", "exec"),
+    (8, "precmd", "", "command", "hard", None),
+    (8, "precmd", "command -pv {t}; ", "command", "hard", None),
+    (8, "cmd-head", "command -pv {t}; command -- ", "{t}", "heuristic", "command"),
+    (9, "cmd-head", "", "export", "heuristic", ""),
+    (9, "redir", "export X={u} ", ">>|", "heuristic", None),
+    (9, "redir", "export X={u} >>| log ", "&>>", "heuristic", None),
+    (9, "redir", "export X={u} >>| log &>> {t}.out ", "<<<", "heuristic", None),
+    (10, "cmd-head", "", "diff", "heuristic", ""),
+    (10, "process-subst", "diff ", "<({t} (a))", "heuristic", None),
+    (10, "process-subst", "diff <({t} (a)) ", "=(b)", "heuristic", None),
+    (10, "cmd-head", "diff <({t} (a)) =(b) x=(", "c", "heuristic", ""),
+    (11, "reserved-word", "", "((", "heuristic", None),
+    (11, "reserved-word", "(( n{u} += 1 ", "))", "heuristic", None),
+    (11, "cmd-head", "(( n{u} += 1 )) && ", "local", "heuristic", ""),
+    (12, "cmd-head", "", '{t}="a ${x:-"b c"} d"', "heuristic", ""),
+    (12, "redir", '{t}="a ${x:-"b c"} d" ', "3<>", "heuristic", None),
+    (12, "reserved-word", '{t}="a ${x:-"b c"} d" 3<>f time ! {t}_run \\; [ -n "$x" ]; ', "}", "hard", None),
+    (13, "cmd-head", "", "test", "heuristic", ""),
+    (13, "cmd-head", "test -z {t} && ", "[", "heuristic", ""),
+    (13, "cmd-head", "test -z {t} && [ {t} ] || ", "repeat", "heuristic", ""),
+    (14, "reserved-word", "", "case", "hard", None),
+    (14, "cmd-head", "case {t} in (", "{t}", "heuristic", ""),
+    (14, "reserved-word", "case {t} in ({t}) {t};; ", "esac", "hard", None),
+    (15, "reserved-word", "", "coproc", "hard", None),
+    (15, "reserved-word", "coproc {t}_run | ", "in", "hard", None),
+    (16, "cmd-head", "(( ", "{u}", "heuristic", ""),
+    (16, "redir", "(( {u} ", ">", "heuristic", None),
+    (17, "cmd-head", "  )) || ", "set", "heuristic", ""),
+    (18, "reserved-word", "", "[[", "hard", None),
+    (19, "cmd-head", "  ", "{u}", "heuristic", ""),
+    (19, "cmd-head", "  {u} -gt 2 ]] ; ", "unsetopt", "heuristic", ""),
+    (20, "precmd", "", "command", "hard", None),
+    (20, "cmd-head", "command ", "setopt", "heuristic", "command"),
+    (20, "cmd-head", "command setopt {t}; ", "set", "heuristic", ""),
+    (21, "cmd-head", "", "echo", "heuristic", ""),
+    (21, "redir", "echo `{t} ", "2>&", "heuristic", None),
+    (21, "cmd-head", "echo `{t} 2>&1 | ", "cat", "heuristic", ""),
+    (21, "redir", "echo `{t} 2>&1 | cat ", ">", "heuristic", None),
+    (22, "reserved-word", "", "[[", "hard", None),
+    (23, "cmd-head", "", "set", "heuristic", ""),
+)
+#: Its contexts, in order: context, first line and what stands before there, last line and what stands up to the end there.
+SHELL_CONTEXTS = (
+    ("cond", 6, "if ", 6, "if [[ -f /tmp/{u} ]]"),
+    ("cond", 18, "", 19, "  {u} -gt 2 ]]"),
+    ("arith", 11, "", 11, "(( n{u} += 1 ))"),
+    ("arith", 16, "", 17, "  ))"),
+    ("cond", 13, "", 13, "test -z {t} && [ {t} ] || repeat 2 {t} "),
+    ("cond", 13, "test -z {t} && ", 13, "test -z {t} && [ {t} ]"),
+    ("setopt", 2, "", 3, "  no_{t}"),
+    ("setopt", 23, "", 23, "set +x {t}"),
+)
+
+
+def shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, line_start, text): the script of each event."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", F.col("user_id").cast("string").alias("user_id"))
+    lines = F.array(*[F.lit(x) for x in SHELL])
+    filled = F.transform(lines, lambda x: F.replace(F.replace(x, F.lit("{t}"), F.col("event_type")), F.lit("{u}"), F.col("user_id")))
+    rows = rows.select("doc_id", filled.alias("_lines")).select("doc_id", "_lines", F.posexplode("_lines").alias("_at", "text"))
+    start = F.aggregate(F.slice("_lines", F.lit(1), F.col("_at")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
+    return rows.select("doc_id", F.col("_at").cast("long").alias("line_no"), start.alias("line_start"), "text")
+
+
+def _values(rows) -> str:
+    quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+_FILLED = "replace(replace({}, '{{t}}', event_type), '{{u}}', CAST(user_id AS VARCHAR))".format
+#: CTEs: `l`, the lines; `f`, the facts in order; `c`, the contexts.
+SHELL_SQL = f"""WITH tl(line_no, tpl) AS (VALUES {_values(enumerate(SHELL))}),
+l0 AS (SELECT event_id AS doc_id, event_type, user_id, line_no, {_FILLED("tpl")} AS text FROM events, tl),
+l AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start FROM l0),
+tf(nth, line_no, kind, before, tpl, strength, precmds) AS (VALUES {_values((k, *r) for k, r in enumerate(SHELL_FACTS))}),
+f AS (SELECT doc_id, nth, l.line_no, kind, line_start, l.text AS line, length({_FILLED("before")})::BIGINT AS pos, {_FILLED("tf.tpl")} AS word, strength, precmds FROM l JOIN tf ON l.line_no = tf.line_no),
+tc(nth, ctx, la, ba, lb, bb) AS (VALUES {_values((k, *r) for k, r in enumerate(SHELL_CONTEXTS))}),
+c AS (SELECT a.doc_id, nth, ctx, a.line_start + length(replace(replace(ba, '{{t}}', a.event_type), '{{u}}', CAST(a.user_id AS VARCHAR)))::BIGINT AS span_start, b.line_start + length(replace(replace(bb, '{{t}}', b.event_type), '{{u}}', CAST(b.user_id AS VARCHAR)))::BIGINT AS span_end FROM tc JOIN l a ON a.line_no = la JOIN l b ON b.line_no = lb AND b.doc_id = a.doc_id)"""

@@ -140,11 +140,11 @@ def builtins(entries: DataFrame) -> DataFrame:
     name = F.regexp_extract("_head", r"^(\S+)", 1)
     same = F.coalesce(_filled(F.regexp_extract("_body_plain", r"\bSame as `([^']*)'", 1)), _filled(F.regexp_extract("_body_plain", r"\bSame as (?!`[^']*')([^.\s]+)", 1)))
     module = _filled(F.regexp_extract(F.regexp_replace("_body_plain", r"\s+", " "), r"\bThe (\S+) Module\b", 1))
-    last = rows.select((F.col("_group") * 1000 + F.col("pos") % 1000 + 10_000_000).alias("seq"), name.alias("name"), F.concat(F.array("_head"), "_tail").alias("synopsis"), F.col("_body").alias("desc"), module.alias("module"), same.alias("alias_of"))
+    last = rows.select((F.struct(F.lit(1).alias("k"), "_group", "pos")).alias("seq"), name.alias("name"), F.concat(F.array("_head"), "_tail").alias("synopsis"), F.col("_body").alias("desc"), module.alias("module"), same.alias("alias_of"))
     m = e.where(F.col("kind").isin("alias", "module", "zlecmd") & (F.col("header") != "") & ((F.col("kind") == "zlecmd") | (F.col("second") != "")))
     of = lambda kind: F.when(F.col("kind") == kind, F.col("second"))
     desc = F.when(F.col("kind") == "alias", F.concat(F.lit("Same as `"), "second", F.lit("`."))).when(F.col("kind") == "module", F.concat(F.lit("Available via the `"), "second", F.lit("` module."))).otherwise("See ZLE builtins.")
-    first = m.select(F.col("pos").alias("seq"), F.col("header").alias("name"), F.array("header").alias("synopsis"), desc.alias("desc"), of("module").alias("module"), of("alias").alias("alias_of"))
+    first = m.select(F.struct(F.lit(0).alias("k"), F.col("pos").alias("_group"), "pos").alias("seq"), F.col("header").alias("name"), F.array("header").alias("synopsis"), desc.alias("desc"), of("module").alias("module"), of("alias").alias("alias_of"))
     kept = last_wins(first.unionByName(last).where("name <> ''"), ["name"])
     return kept.select(_seq("seq"), "name", "synopsis", "desc", "module", "alias_of")
 

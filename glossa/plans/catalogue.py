@@ -16,6 +16,7 @@ from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import textlines as L
 from ..streaming import events as E
+from . import manual as M
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -514,8 +515,18 @@ def _miniature(spark) -> DataFrame:
     return markup.entries(spark.createDataFrame(list(MINIATURE.items()), "file string, value string"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
+@query(f"{M.RECORDS_SQL} SELECT category, id, seq, sub_kind, payload FROM r")
 def corpus_extract(spark, sf):
+    return extract.corpus(markup.entries(M.manual(spark, sf))).select("category", "id", "seq", "sub_kind", "payload")
+
+
+@query(f"{M.RECORDS_SQL} SELECT category, id, seq, markdown FROM r")
+def render_all(spark, sf):
+    return render.rendered(markup.entries(M.manual(spark, sf))).select("category", "id", "seq", "markdown")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
+def small_corpus(spark, sf):
     return extract.corpus(_miniature(spark)).select("category", "id", "seq", "sub_kind")
 
 

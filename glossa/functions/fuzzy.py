@@ -43,6 +43,15 @@ def fuzzy_score(pattern: Column, name: Column) -> Column:
     return F.when(fits, F.when(p == h, F.lit(MOST)).otherwise(walked))
 
 
+def characters(name: Column) -> Column:
+    """Which lower-case letters, digits and breaks a text has, a bit each."""
+    bits = [F.when(F.contains(name, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789" + BREAKS)]
+    out = bits[0].cast("long")
+    for b in bits[1:]:
+        out = out.bitwiseOR(b.cast("long"))
+    return out
+
+
 def tier(query: Column, id_: Column, display: Column) -> Column:
     """0 for an equal name, 1 for one that starts so, 2 for the rest; case does not count."""
     q, a, b = F.lower(query), F.lower(id_), F.lower(display)
@@ -50,4 +59,4 @@ def tier(query: Column, id_: Column, display: Column) -> Column:
 
 
 def best_score(query: Column, id_: Column, display: Column) -> Column:
-    return F.greatest(fuzzy_score(query, id_), fuzzy_score(query, display))
+    return F.greatest(fuzzy_score(query, id_), F.when(display != id_, fuzzy_score(query, display)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .facts import context_at
+from .resolve import begun
 
 #: What ends a token, as a class.
 DELIMITERS = r"\s;&|()<>{}\"'`$="
@@ -34,9 +35,10 @@ def completions(points: DataFrame, facts: DataFrame, lines: DataFrame, corpus: D
     routes = [(c, k, i) for c, kinds in OFFERED.items() for i, k in enumerate(kinds)]
     routed = placed.join(F.broadcast(placed.sparkSession.createDataFrame(routes, "ctx string, category string, ord int")), "ctx")
     key = F.when(F.col("category") == "option", X.option_name("typed")).otherwise(X.trim("typed"))
-    heads = F.transform(F.sequence(F.lit(0), F.least(F.length("id"), F.lit(40))), lambda n: F.substring("id", F.lit(1), n))
-    index = corpus.select("category", F.col("id").alias("label"), F.explode(heads).alias("key"))
-    known = routed.withColumn("key", key).join(index, ["category", "key"]).select("doc_id", "offset", "ord", "label", "category")
+    routed = routed.withColumn("key", key)
+    names = corpus.select("category", F.col("id").alias("label"))
+    index = begun(names, "label", routed).unionByName(names.withColumn("key", F.lit("")))
+    known = routed.join(index, ["category", "key"]).select("doc_id", "offset", "ord", "label", "category")
     words = lines.select("doc_id", F.explode(X.first_seen(F.split("text", r"[^A-Za-z0-9_-]+"))).alias("label")).distinct()
     own = placed.where("ctx = 'general'").join(words, "doc_id").where(F.startswith("label", X.trim("typed")) & (F.col("label") != X.trim("typed")))
     own = own.select("doc_id", "offset", F.lit(9).alias("ord"), "label", F.lit("document").alias("category"))

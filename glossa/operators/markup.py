@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,67 +37,85 @@ class Macro:
 def parse(source: str) -> list[str | Macro]:
     """Text and macros of a source. A macro whose parentheses do not close is text.
 
-    One pass finds for each open parenthesis where it closes, so a call that fails costs nothing more than its own length.
+    Each open parenthesis is matched once, beforehand; arguments are then parsed from a list of work, so time is linear and nesting may be of any depth.
     """
-    return _sequence(source, 0, False)[0]
-
-
-def _sequence(src: str, at: int, inside: bool) -> tuple[list, int, bool]:
-    nodes: list = []
-    text: list[str] = []
-    depth = 0
-
-    def settle() -> None:
-        if text:
-            nodes.append("".join(text))
-            text.clear()
-
-    while at < len(src):
-        c = src[at]
-        if inside and c == ")" and depth == 0:
-            settle()
-            return nodes, at + 1, True
-        call = _macro(src, at + 1) if c == "+" else None  # a plus right before a macro only parts it from what stands before
-        call = call or _macro(src, at)
-        if call:
-            settle()
-            nodes.append(call[0])
-            at = call[1]
-            continue
-        depth += (c == "(") - (c == ")" and depth > 0)
-        text.append(c)
-        at += 1
-    settle()
-    return nodes, at, not inside
+    closes = _closings(source)
+    root: list[str | Macro] = []
+    work = [(root, 0, len(source))]
+    while work:
+        nodes, at, end = work.pop()
+        text = at
+        while at < end:
+            c = source[at]
+            # A plus right before a macro only parts it from what stands before.
+            call = _macro(source, at + 1, closes) if c == "+" else _macro(source, at, closes) if c.isalpha() else None
+            if not call:
+                at += 1
+                continue
+            if text < at:
+                nodes.append(source[text:at])
+            name, spans = call
+            macro = Macro(name, [[] for _ in spans])
+            nodes.append(macro)
+            work.extend((arg, i + 1, j) for arg, (i, j) in zip(macro.args, spans, strict=True))
+            at = text = spans[-1][1] + 1
+        if text < end:
+            nodes.append(source[text:end])
+    return root
+
+
+def _closings(source: str) -> dict[int, int]:
+    """Where each parenthesis closes that does."""
+    open_, out = [], {}
+    for m in re.finditer(r"[()]", source):
+        if m[0] == "(":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
 
 
-def _macro(src: str, at: int) -> tuple[Macro, int] | None:
-    if at > 0 and (src[at - 1].isascii() and src[at - 1].isalpha() or src[at - 1] == "_"):
-        return None
-    name = _CALL.match(src, at)
-    if not name:
+def _macro(source: str, at: int, closes: dict[int, int]) -> tuple[str, list[tuple[int, int]]] | None:
+    """The name of the macro at a place, and where its arguments open and close."""
+    if at > 0 and (source[at - 1].isascii() and source[at - 1].isalpha() or source[at - 1] == "_"):
         return None
-    at, args = name.end(), []
-    while at < len(src) and src[at] == "(":
-        inner, at, closed = _sequence(src, at + 1, True)
-        if not closed:
+    name = _CALL.match(source, at)
+    spans: list[tuple[int, int]] = []
+    at = name.end() if name else at
+    while name and source.startswith("(", at):
+        if at not in closes:
             return None
-        args.append(inner)
-    return Macro(name[0], args), at
+        spans.append((at, closes[at]))
+        at = closes[at] + 1
+    return (name[0], spans) if spans else None
 
 
-def rendered(nodes: list, code: bool = False) -> str:
-    return "".join(n if isinstance(n, str) else _one(n, code) for n in nodes)
+#: Macros whose arguments are code.
+_CODE = ("tt", "var", "example")
 
 
-def _one(m: Macro, code: bool) -> str:
-    arg = lambda i, c=code: rendered(m.args[i], c) if i < len(m.args) else ""
+def rendered(nodes: list, code: bool = False) -> str:
+    """The text of nodes; inner macros first, from a list, so that nesting may be of any depth."""
+    order, work = [], [(n, code) for n in nodes if not isinstance(n, str)]
+    while work:
+        m, c = work.pop()
+        order.append((m, c))
+        work.extend((n, c or m.name in _CODE) for arg in m.args for n in arg if not isinstance(n, str))
+    done: dict[tuple[int, bool], str] = {}
+    joined = lambda part, c: "".join(n if isinstance(n, str) else done[id(n), c] for n in part)
+    for m, c in reversed(order):
+        done[id(m), c] = _one(m, c, [joined(arg, c or m.name in _CODE) for arg in m.args])
+    return joined(nodes, code)
+
+
+def _one(m: Macro, code: bool, args: list[str]) -> str:
+    arg = lambda i: args[i] if i < len(args) else ""
     if m.name in CHARACTERS:
         return CHARACTERS[m.name]
     if m.name in ("tt", "var"):
-        return arg(0, True)
+        return arg(0)
     if m.name == "example":
-        return f"\n\n```zsh\n{plain_text(arg(0, True))}\n```\n\n"
+        return f"\n\n```zsh\n{plain_text(arg(0))}\n```\n\n"
     if code and len(m.args) == 1 and not m.args[0] and m.name not in SILENT:
         return f"{m.name}()"
     if m.name in SILENT:
@@ -107,7 +126,7 @@ def _one(m: Macro, code: bool) -> str:
         return f"{arg(0)}({arg(1)})"
     if m.name == "sitem":
         return f"- {arg(0)}: {arg(1)}" if len(m.args) > 1 else arg(0)
-    return "".join(arg(i) for i in range(len(m.args)))
+    return "".join(args)
 
 
 def plain_text(s: str) -> str:
@@ -128,61 +147,57 @@ def _tight(s: str) -> str:
 
 
 _REFERS = re.compile(r"\b(?:see|in|described in|noted in)$", re.I)
+_FENCE = re.compile(r"(?m)^([^\S\n]*```[^\n]*)$")
+#: A backslash behind text at a line's end, with the lines after it that hold no more than a backslash.
+_GOES_ON = re.compile(r"(?<=\S)[^\S\n]*\\[^\S\n]*(?:\n[^\S\n]*\\?[^\S\n]*(?=\n|\Z))*(?:\n|\Z)")
+
+
+def _paragraphs(raw: str) -> Iterator[tuple[bool, str]]:
+    """The paragraphs of prose, and the lines of code, each with whether blank lines stand before it."""
+    parts, gap = _FENCE.split(raw), False
+    for k, part in enumerate(parts):
+        if k % 2:
+            yield gap, part.strip()
+            gap = False
+            continue
+        lines = part.split("\n")[bool(k) : -1 if k + 1 < len(parts) else None]
+        code = k % 4 == 2
+        if code:
+            runs = [[x.rstrip()] for x in lines]
+        else:
+            lines = _GOES_ON.sub("\0", "\n".join(lines)).split("\n") if lines else []
+            runs = [list(g) for _, g in groupby(lines, key=lambda x: x.strip() in ("", "\\"))]
+        for run in runs:
+            if run[0].strip() in (("",) if code else ("", "\\")):
+                gap = True
+                continue
+            yield gap, run[0] if code else _tight(re.sub(r"`([^`\n]+?)'", r"`\1`", re.sub(r"\s+", " ", " ".join(run).replace("\0", " ")).strip()))
+            gap = False
 
 
 def body_text(raw: str) -> str:
     """Paragraphs as one line each, code as it is; quotes as code spans; a paragraph that ends by referring takes in the next."""
-    blocks: list[str] = [""]
-    words: list[str] = []
-    code = joined = False
-
-    def settle() -> None:
-        if words:
-            blocks.append(_tight(re.sub(r"`([^`\n]+?)'", r"`\1`", re.sub(r"\s+", " ", " ".join(words)).strip())))
-            words.clear()
-
-    for line in raw.split("\n"):
-        bare = line.strip()
-        if bare.startswith("```"):
-            settle()
-            blocks.append(bare)
-            code, joined = not code, False
-        elif code:
-            blocks.append(line.rstrip())
-        elif bare and bare != "\\":
-            goes_on = bare.endswith("\\")
-            words.append(bare[:-1].rstrip() if goes_on else bare)
-            joined = goes_on
-        elif not joined:
-            settle()
-            if blocks[-1] != "":
-                blocks.append("")
-    settle()
     out: list[str] = []
-    for b in blocks:
-        if b == "" and (not out or out[-1] == ""):
-            continue
-        refers = len(out) > 1 and out[-1] == "" and _REFERS.search(out[-2]) and not out[-2].startswith("```") and not b.startswith("```")
-        if b and refers:
-            out.pop()
-            out[-1] += " " + b
+    for gap, text in _paragraphs(raw):
+        if out and gap and _REFERS.search(out[-1]) and not out[-1].startswith("```") and not text.startswith("```"):
+            out[-1] += " " + text
         else:
-            out.append(b)
-    while out and out[-1] == "":
-        out.pop()
+            out += ["", text] if gap and out else [text]
     return _tight(re.sub(r"(\b(?:see|in|described in|noted in))\n\n([A-Z][^\n]+)", r"\1 \2", "\n".join(out), flags=re.I))
 
 
 def tokens(nodes: list) -> list[tuple[str, str]]:
     """(kind, text) of the tt and var macros, outermost, in order."""
     out: list[tuple[str, str]] = []
-    for n in nodes:
-        if isinstance(n, Macro):
-            if n.name in ("tt", "var"):
-                out.append((n.name, rendered(n.args[0] if n.args else [], True)))
-            else:
-                for a in n.args:
-                    out += tokens(a)
+    work = nodes[::-1]
+    while work:
+        n = work.pop()
+        if isinstance(n, str):
+            continue
+        if n.name in ("tt", "var"):
+            out.append((n.name, rendered(n.args[0] if n.args else [], True)))
+        else:
+            work.extend(x for arg in reversed(n.args) for x in reversed(arg))
     return out
 
 

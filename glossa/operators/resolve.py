@@ -12,31 +12,31 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def resolve_prefix(tokens: DataFrame, groups: DataFrame, longest: int = 4) -> DataFrame:
+def resolve_prefix(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """(tokens.*, sig): redirections by the longest operator that starts the token, then by what follows it.
 
-    groups: (sig, group_op). A theta join on prefixes is an equi-join here: a token probes with each of its prefixes up
+    groups: (sig, group_op). A theta join on prefixes is an equi-join here: each distinct token probes with its prefixes, up
     to the operators' greatest length.
     """
     ops = groups.groupBy("group_op").agg(F.collect_list(F.struct("sig", X.tail_kind(X.trim(F.expr("substring(sig, length(group_op) + 1)"))).alias("kind"))).alias("docs"))
-    body = X.without_fd("raw")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(body))), lambda n: F.substring(body, F.lit(1), n))
-    t = tokens.withColumn("_row", F.monotonically_increasing_id()).withColumn("_body", body)
-    hit = t.where(F.length("_body") > 0).select("_row", "_body", F.explode(prefixes).alias("group_op")).join(ops, "group_op")
-    best = hit.groupBy("_row").agg(F.max_by(F.struct("_body", "group_op", "docs"), F.length("group_op")).alias("b"))
+    longest = F.broadcast(groups.agg(F.max(F.length("group_op")).alias("_longest")))  # one row
+    asked = tokens.select(F.col("raw").alias("_raw")).where("_raw IS NOT NULL").distinct().withColumn("_body", X.without_fd("_raw")).where(F.length("_body") > 0)
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.col("_longest"), F.length("_body"))), lambda n: F.substring("_body", F.lit(1), n))
+    hit = asked.crossJoin(longest).where("_longest > 0").select("_raw", "_body", F.explode(prefixes).alias("group_op")).join(ops, "group_op")
+    best = hit.groupBy("_raw").agg(F.max_by(F.struct("_body", "group_op", "docs"), F.length("group_op")).alias("b"))
     rest = X.tail_kind(F.expr("substring(b._body, length(b.group_op) + 1)"))
     same = F.filter("b.docs", lambda d: d["kind"] == F.col("_rest"))
-    best = best.withColumn("_rest", rest).select("_row", F.when(F.size("b.docs") == 1, F.col("b.docs")[0]["sig"]).when(F.size(same) == 1, F.get(same, F.lit(0))["sig"]).alias("sig"))
-    return t.join(best, "_row", "left").drop("_row", "_body")
+    best = best.withColumn("_rest", rest).select("_raw", F.when(F.size("b.docs") == 1, F.col("b.docs")[0]["sig"]).when(F.size(same) == 1, F.get(same, F.lit(0))["sig"]).alias("sig"))
+    return tokens.join(best, tokens["raw"] == best["_raw"], "left").drop("_raw")
 
 
 def resolve(tokens: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(tokens.*, id): each token (category, raw) in its own category, by the keys it may have there."""
-    t = tokens.withColumn("_id", F.monotonically_increasing_id())
-    keys = t.select("_id", "category", F.explode(X.candidate_keys("category", "raw")).alias("k")).select("_id", "category", "k.pri", "k.key")
-    ids = corpus.select(F.col("category"), F.col("id").alias("key"), F.col("id"))
-    hit = keys.join(ids, ["category", "key"]).groupBy("_id").agg(F.min_by("id", "pri").alias("id"))
-    return t.join(hit, "_id", "left").drop("_id")
+    """(tokens.*, id): each token (category, raw) in its own category, by the keys it may have there; distinct tokens are resolved once."""
+    asked = tokens.select(F.col("category").alias("_category"), F.col("raw").alias("_raw")).where("_category IS NOT NULL AND _raw IS NOT NULL").distinct()
+    keys = asked.select("_category", "_raw", F.explode(X.candidate_keys("_category", "_raw")).alias("k")).select("_category", "_raw", "k.pri", F.col("k.key").alias("_key"))
+    ids = corpus.select(F.col("category").alias("_category"), F.col("id").alias("_key"), "id")
+    hit = keys.join(ids, ["_category", "_key"]).groupBy("_category", "_raw").agg(F.min_by("id", "pri").alias("id"))
+    return tokens.join(hit, (tokens["category"] == hit["_category"]) & (tokens["raw"] == hit["_raw"]), "left").drop("_category", "_raw")
 
 
 def lookup_negated(tokens: DataFrame, ids: DataFrame) -> DataFrame:
@@ -56,19 +56,20 @@ def classify(tokens: DataFrame, corpus: DataFrame, dim: DataFrame, negated_categ
     Options also match without a leading no, and redirections by operator; one join finds all other hits, since the keys a token may have do
     not depend on the corpus.
     """
-    t = tokens.withColumn("_id", F.monotonically_increasing_id())
+    t = tokens.select("raw").where("raw IS NOT NULL").distinct()
     plain = corpus.join(dim, "category").select("category", "id", "display", "classify_ord")
-    asked = t.select("_id", F.explode(_all_keys("raw")).alias("k")).select("_id", "k.class", "k.pri", "k.key")
+    asked = t.select("raw", F.explode(_all_keys("raw")).alias("k")).select("raw", "k.class", "k.pri", "k.key")
     classed = plain.withColumn("class", _class(F.col("category"), negated_category))
     hits = asked.join(classed.withColumn("key", F.when(F.col("category") == negated_category, X.option_name("id")).otherwise(F.col("id"))), ["class", "key"])
-    hits = hits.where(F.col("category") != prefix_category).select("_id", "classify_ord", "pri", "category", "id", "display")
+    hits = hits.where(F.col("category") != prefix_category).select("raw", "classify_ord", "pri", "category", "id", "display")
     redir = corpus.where(F.col("category") == prefix_category)
     if "group_op" in corpus.columns:
-        by_op = resolve_prefix(t.select("_id", "raw"), redir.select(F.col("id").alias("sig"), "group_op")).where("sig IS NOT NULL")
+        by_op = resolve_prefix(t, redir.select(F.col("id").alias("sig"), "group_op")).where("sig IS NOT NULL")
         of = plain.where(F.col("category") == prefix_category).select(F.col("id").alias("sig"), "classify_ord", "category", "id", "display")
-        hits = hits.unionByName(by_op.join(of, "sig").select("_id", "classify_ord", F.lit(0).alias("pri"), "category", "id", "display"))
-    first = hits.groupBy("_id").agg(F.min(F.struct("classify_ord", "pri", "category", "id", "display")).alias("f"))
-    return t.join(first, "_id", "left").select(*tokens.columns, "f.category", "f.id", "f.display")
+        hits = hits.unionByName(by_op.join(of, "sig").select("raw", "classify_ord", F.lit(0).alias("pri"), "category", "id", "display"))
+    first = hits.groupBy(F.col("raw").alias("_raw")).agg(F.min(F.struct("classify_ord", "pri", "category", "id", "display")).alias("_first"))
+    rows = tokens.join(first, tokens["raw"] == first["_raw"], "left")
+    return rows.select(*[tokens[c] for c in tokens.columns], "_first.category", "_first.id", "_first.display")
 
 
 #: Categories whose tokens have keys of their own; all others share the trimmed token.
@@ -101,12 +102,18 @@ def flag_index(options: DataFrame) -> DataFrame:
     return flags.groupBy("char", "on").agg(F.count(F.lit(1)).alias("_n"), F.first("id").alias("id")).where("_n = 1").drop("_n")
 
 
-def match_completions(ids: DataFrame, typed: DataFrame, limit: int = 40) -> DataFrame:
+def begun(rows: DataFrame, column: str, typed: DataFrame) -> DataFrame:
+    """`rows` with `key`: each beginning of `column` that is as long as some key of `typed`, so that beginnings meet keys by equality."""
+    lengths = F.broadcast(typed.select(F.length("key").alias("n")).where("n > 0").distinct().agg(F.collect_list("n").alias("_lengths")))  # one row, of as many numbers as keys have lengths
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length(column)), lambda n: F.substring(column, F.lit(1), n))
+    return rows.crossJoin(lengths).withColumn("key", F.explode(heads)).drop("_lengths")
+
+
+def match_completions(ids: DataFrame, typed: DataFrame) -> DataFrame:
     """(typed, ord, label, canonical): names that what was typed begins, then, after a typed no, those of the rest, negated."""
-    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("id"), F.lit(limit))), lambda n: F.substring("id", F.lit(1), n))
-    index = ids.select("id", F.explode(heads).alias("key"))
     base = typed.select("typed", F.lit(0).alias("ord"), X.option_name("typed").alias("key"))
     rest = X.option_name(X.without_no("typed"))
     negative = typed.where(X.has_no("typed") & (rest != "")).select("typed", F.lit(1).alias("ord"), rest.alias("key"))
+    index = begun(ids.select("id"), "id", base.unionByName(negative))
     hit = base.unionByName(negative).where("key <> ''").join(index, "key")
     return hit.select("typed", "ord", F.when(F.col("ord") == 1, F.concat(F.lit("no_"), F.col("id"))).otherwise(F.col("id")).alias("label"), F.col("id").alias("canonical"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 
 DEFAULT_LIMIT, MAX_LIMIT, BAND = 20, 500, 1000.0
+#: Searches asked at once.
+MAX_QUERIES = 10_000
 
 
 def clamp_limit(limit: float | None) -> int:
@@ -28,12 +30,17 @@ def _ranked(rows: DataFrame, query: Column) -> DataFrame:
 
 
 def search_many(pool: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, rank, category, id, display, sub_kind, tier, score, matches_total) for each of queries (query_id, query, limit).
+    """(query_id, rank, category, id, display, sub_kind, tier, score, matches_total) for each of queries (query_id, query, limit), of which there may be MAX_QUERIES.
 
-    The pool meets every query, which is what scoring asks for; the queries are the side to keep small, and their number is bounded by
-    the caller.
+    Each query is asked of the whole pool. Names that lack one of a query's characters are dropped inside the join, by sets of characters made once a
+    name and once a query; only what is left is scored.
     """
-    rows = _ranked(pool.join(F.broadcast(queries)), F.col("query"))
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} searches at once")
+    asked = queries.withColumn("_asked", fuzzy.characters(F.lower(text.trim(F.col("query")))))
+    there = pool.withColumn("_there", fuzzy.characters(F.lower(F.concat(F.coalesce("id", F.lit("")), F.coalesce("display", F.lit(""))))))
+    lacks = F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there")))
+    rows = _ranked(there.join(F.broadcast(asked), lacks == 0), F.col("query"))
     own = Window.partitionBy("query_id")
     order = own.orderBy("tier", F.col("_score").desc_nulls_last(), "cat_ord", "seq", "id")
     rows = rows.withColumn("matches_total", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(order))

@@ -153,10 +153,24 @@ def function_name(line: Column | str) -> Column:
     )
 
 
+#: Commands that read a file, and the file.
+READS = r"(?:^|[;&|]\s*|\s)(?:source|\.)\s+([^\s;&|]+)"
+
+
 def source_paths(line: Column | str) -> Column:
-    """array<string>: what `source` and `.` commands of the active text read, without paths that start with a variable."""
-    found = F.regexp_extract_all(active_text(line), F.lit(r"(?:^|[;&|]\s*|\s)(?:source|\.)\s+([^\s;&|]+)"), F.lit(1))
-    return F.filter(found, lambda p: ~p.startswith("$"))
+    """array<struct<path,start>>: what `source` and `.` commands of the active text read, and where it first stands from the command on; without paths that start with a variable."""
+    line = _col(line)
+    active = active_text(line)
+    found = F.arrays_zip(F.regexp_extract_all(active, F.lit(READS), F.lit(0)).alias("whole"), F.regexp_extract_all(active, F.lit(READS), F.lit(1)).alias("path"))
+    none = F.array().cast("array<struct<path:string,start:int>>")
+
+    def step(s: Column, m: Column) -> Column:
+        at = F.call_function("locate", m["whole"], active, s["end"])
+        start = F.call_function("locate", m["path"], line, at) - 1
+        kept = F.when(m["path"].startswith("$") | (start < 0), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(m["path"].alias("path"), start.alias("start")))))
+        return F.struct((at + F.length(m["whole"])).alias("end"), kept.alias("out"))
+
+    return F.aggregate(found, F.struct(F.lit(1).alias("end"), none.alias("out")), step, lambda s: s["out"])
 
 
 def first_error(stderr: Column | str) -> Column:

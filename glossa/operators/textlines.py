@@ -88,8 +88,8 @@ def name_tokens(lines: DataFrame) -> DataFrame:
 
 
 def sources(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, path): files that lines read."""
-    return lines.select("doc_id", "line_no", F.explode(X.source_paths("text")).alias("path"))
+    """(doc_id, line_no, path, start): files that lines read, and where in the line their names stand."""
+    return lines.select("doc_id", "line_no", F.explode(X.source_paths("text")).alias("_s")).select("doc_id", "line_no", "_s.path", "_s.start")
 
 
 def unbalanced_backticks(lines: DataFrame) -> DataFrame:

@@ -316,8 +316,8 @@ def ident_tokens(spark, sf):
     return L.name_tokens(L.doc_lines(T.table(spark, sf, "documents")))
 
 
-@query(f"""WITH s AS ({T.SCRIPTS_SQL}), a AS (SELECT doc_id, line_no, unnest(regexp_extract_all({_ACTIVE_SQL}, '(?:^|[;&|]\\s*|\\s)(?:source|\\.)\\s+([^\\s;&|]+)', 1)) AS path FROM s)
-SELECT * FROM a WHERE NOT starts_with(path, '$')""")
+@query(f"""WITH s AS ({T.SCRIPTS_SQL}), a AS (SELECT doc_id, line_no, text, unnest(regexp_extract_all({_ACTIVE_SQL}, '(?:^|[;&|]\\s*|\\s)(?:source|\\.)\\s+([^\\s;&|]+)', 1)) AS path FROM s)
+SELECT doc_id, line_no, path, CASE WHEN starts_with(text, '.') THEN strpos(text, '; ') + 3 ELSE strpos(text, path) - 1 END AS start FROM a WHERE NOT starts_with(path, '$')""")
 def source_paths(spark, sf):
     return L.sources(T.scripts(spark, sf))
 
@@ -385,11 +385,19 @@ def evicted_keys(spark, sf):
     return E.open_keys(rows, "user_id", "ts", "kind")
 
 
-@query("""WITH r AS (SELECT user_id AS doc_key, max(event_id) AS seq, arg_max(event_id % 40, event_id) AS line, arg_max(event_type, event_id) AS msg FROM events GROUP BY user_id), d AS (SELECT user_id AS doc_key, count(*) AS n_lines FROM events GROUP BY user_id)
-SELECT doc_key, least(greatest(line - 1, 0), greatest(n_lines - 1, 0)) AS line, msg FROM r JOIN d USING (doc_key)""")
+@query("""WITH e AS (SELECT *, ts + INTERVAL 10 MINUTE * (event_id % 700) AS finished FROM events)
+SELECT user_id, event_id AS id, NOT EXISTS (SELECT 1 FROM e n WHERE n.user_id = e.user_id AND (n.ts > e.ts OR (n.ts = e.ts AND n.event_id > e.event_id)) AND n.ts <= e.finished) AS stored FROM e WHERE event_id % 23 <> 0""")
+def async_results(spark, sf):
+    marks = T.table(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), "ts", F.expr("ts + make_dt_interval(0, 0, cast(10 * (event_id % 700) as int))").alias("finished"))
+    return E.answered(marks.where("id % 23 <> 0"), marks.where("id % 23 = 0"), "user_id", "ts", "finished").select("user_id", "id", "stored")
+
+
+@query("""WITH r AS (SELECT user_id AS doc_key, max(event_id) AS seq FROM events GROUP BY user_id), d AS (SELECT user_id AS doc_key, count(*) AS n_lines FROM events GROUP BY user_id)
+SELECT doc_key, i AS nth, least(greatest(event_id * (i + 1) % 40 - 1, 0), n_lines - 1) AS line, event_type || i AS msg FROM r JOIN d USING (doc_key) JOIN events ON event_id = seq, (VALUES (0), (1), (2)) v(i) WHERE i < event_id % 4""")
 def diagnostics_upsert(spark, sf):
     events = T.table(spark, sf, "events")
-    results = events.select(F.col("user_id").alias("doc_key"), F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("line"), F.col("event_type").alias("msg"))
+    found = "transform(filter(array(0, 1, 2), i -> i < event_id % 4), i -> named_struct('line', event_id * (i + 1) % 40, 'msg', concat(event_type, i)))"
+    results = events.select(F.col("user_id").alias("doc_key"), F.col("event_id").alias("seq"), F.expr(found).alias("found"))
     return E.diagnostics(results, events.groupBy(F.col("user_id").alias("doc_key")).agg(F.count(F.lit(1)).alias("n_lines")))
 
 
@@ -443,10 +451,20 @@ def semantic_tokens(spark, sf):
     return rows.select("doc_id", "line_no", "span_start", F.col("length").cast("long").alias("length"), "type")
 
 
-@query(f"WITH s AS ({T.SCRIPTS_SQL}) SELECT doc_id, line_no, 6 AS char_no, nullif(regexp_extract(substr(text, 1, 6), '[^\\s;&|()<>{{}}\"''`$=]*$', 0) || regexp_extract(substr(text, 7), '^[^\\s;&|()<>{{}}\"''`$=]*', 0), '') AS token FROM s")
+@query(f"""WITH s AS ({T.SCRIPTS_SQL}), p AS (SELECT doc_id, line_no, text, unnest(range(0, length(text) + 1)) AS char_no FROM s),
+t AS (SELECT doc_id, line_no, char_no, regexp_extract(substr(text, 1, char_no), '[^\\s;&|()<>{{}}\"''`$=]*$', 0) AS a, regexp_extract(substr(text, char_no + 1), '^[^\\s;&|()<>{{}}\"''`$=]*', 0) AS b FROM p)
+SELECT doc_id, line_no, char_no, nullif(a || b, '') AS token, CASE WHEN a || b <> '' THEN char_no - length(a) END AS start, CASE WHEN a || b <> '' THEN char_no + length(b) END AS "end" FROM t""")
 def token_ranges(spark, sf):
     lines = T.scripts(spark, sf)
-    return editor.token_at(lines.select("doc_id", "line_no", F.lit(6).alias("char_no")), lines).select("doc_id", "line_no", "char_no", "token")
+    return editor.token_at(lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("char_no")), lines)
+
+
+@query(f"{M.RECORDS_SQL}, own AS (SELECT category, id FROM r) SELECT category, id AS raw, CASE WHEN category = 'history' THEN NULL WHEN id = '%number' THEN '%string' ELSE id END AS id FROM own UNION ALL SELECT category, '  ' || id || ' ', id FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op') UNION ALL SELECT category, 'zz top ' || id, NULL FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op')")
+def resolve_tokens(spark, sf):
+    records = extract.corpus(markup.entries(M.manual(spark, sf))).select("category", "id")
+    plain = records.where(F.col("category").isin("builtin", "cond_op", "keymap", "arith_op"))
+    tokens = records.withColumnRenamed("id", "raw").union(plain.select("category", F.concat(F.lit("  "), "id", F.lit(" ")))).union(plain.select("category", F.concat(F.lit("zz top "), "id")))
+    return R.resolve(tokens, records)
 
 
 @query()

@@ -42,11 +42,25 @@ def open_keys(rows: DataFrame, key: str, ts: str, kind: str, closing: str = "clo
     return rows.where(F.col(kind) != closing).join(closed, key, "left").where(F.col("_closed").isNull() | (F.col(ts) > F.col("_closed"))).drop("_closed")
 
 
+def answered(requests: DataFrame, evictions: DataFrame, key: str, started: str, finished: str) -> DataFrame:
+    """`requests` with `stored`: every result is returned, but kept only if its key saw no later request and no eviction until it was finished.
+
+    requests: (key, id, started, finished, ...); evictions: (key, id, started). `id` orders what happens at one time.
+    """
+    marks = requests.withColumn("_evicted", F.lit(False)).unionByName(evictions.select(key, "id", started).withColumn("_evicted", F.lit(True)), allowMissingColumns=True)
+    next_ = F.lead(started).over(Window.partitionBy(key).orderBy(started, "id"))
+    return marks.withColumn("stored", next_.isNull() | (next_ > F.col(finished))).where("NOT _evicted").drop("_evicted")
+
+
 def diagnostics(results: DataFrame, documents: DataFrame, key: str = "doc_key") -> DataFrame:
-    """(key, line, msg): the newest result of each document, its line moved inside the document. results: (key, seq, line, msg); documents: (key, n_lines)."""
-    newest = latest_version(results, key, "seq")
-    line = F.least(F.greatest(F.col("line") - 1, F.lit(0)), F.greatest(F.col("n_lines") - 1, F.lit(0)))
-    return newest.join(documents, key).select(key, line.alias("line"), "msg")
+    """(key, nth, line, msg): the list of each document's newest result, which replaces all earlier ones; lines are moved inside the document.
+
+    results: (key, seq, found array<struct<line,msg>>); documents: (key, n_lines). A newest result with an empty list leaves a document without any.
+    """
+    newest = latest_version(results, key, "seq").join(documents, key)
+    rows = newest.select(key, "n_lines", F.posexplode("found").alias("nth", "_d"))
+    line = F.least(F.greatest(F.col("_d.line") - 1, F.lit(0)), F.greatest(F.col("n_lines") - 1, F.lit(0)))
+    return rows.select(key, "nth", line.alias("line"), F.col("_d.msg").alias("msg"))
 
 
 def latest_stream(rows: DataFrame, key: str, version: str) -> DataFrame:

@@ -99,3 +99,16 @@ def test_suspicious_rules(spark):
     docs = spark.createDataFrame([(1, "fine `x`"), (2, "see ."), (3, "tt(x) and a`b"), (4, "a\\\nb, , c"), (5, "```\na`b\n```\nabc+(d)")], "id long, md string")
     got = sorted((r.id, r.ord) for r in render.suspicious(docs).collect())
     assert got == [(2, 0), (3, 2), (3, 3), (4, 1), (4, 5), (5, 4)]
+
+
+def test_parsing_takes_any_depth_in_linear_time():
+    n = 10_000
+    assert markup.plain(markup.parse("tt(" * n)) == "tt(" * n
+    assert markup.plain(markup.parse("tt(a" * n + ")" * n)) == "a" * n
+    assert markup.plain(markup.parse("a tt(b tt(c) d")) == "a tt(b c d"
+    assert markup.tokens(markup.parse("noderef(" * n + "tt(x)" + ")" * n)) == [("tt", "x")]
+
+
+def test_bodies():
+    assert markup.body_text("a \\\n\n\\\nb\n\\\nc") == "a b\n\nc"
+    assert markup.body_text("```\nx  \n\n\ny\n```\nas described in\n\nPart `two' .") == "```\nx\n\ny\n```\nas described in Part `two`."

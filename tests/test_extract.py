@@ -104,7 +104,7 @@ def test_suspicious_rules(spark):
 def test_parsing_takes_any_depth_in_linear_time():
     n = 10_000
     assert markup.plain(markup.parse("tt(" * n)) == "tt(" * n
-    assert markup.plain(markup.parse("tt(a" * n + ")" * n)) == "a" * n
+    assert markup.plain(markup.parse("tt(a " * n + ")" * n)) == ("a " * n).strip()
     assert markup.plain(markup.parse("a tt(b tt(c) d")) == "a tt(b c d"
     assert markup.tokens(markup.parse("noderef(" * n + "tt(x)" + ")" * n)) == [("tt", "x")]
 

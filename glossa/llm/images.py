@@ -19,6 +19,7 @@ patch has none either; images without an id stay alone and have no class; repeat
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -148,44 +149,52 @@ POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "<i4"), ("angle", "<f4")
 
 
 def points(images: DataFrame) -> DataFrame:
-    """(image, n, points): the corners of each image (image, media) that has some, packed."""
+    """(image, digest, blank, n, points) of each image (image, media): its bytes' SHA-256, whether it has none, and its corners, packed.
+
+    One pass: pictures themselves are never dealt or written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
+                media = part.column("media").to_pylist()
                 by_shape: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-                for image, media in zip(part.column("image").to_pylist(), part.column("media").to_pylist(), strict=True):
-                    if (p := decode(media)) is not None:
-                        by_shape.setdefault(p.shape, []).append((image, p))
+                for row, x in enumerate(media):
+                    if (p := decode(x)) is not None:
+                        by_shape.setdefault(p.shape, []).append((row, p))
+                found = [b""] * len(media)
                 for (h, w), own in by_shape.items():
                     step = max(1, 600_000 // (h * w))
                     for a in range(0, len(own), step):
-                        yield _packed(own[a : a + step], h, w)
+                        for (row, _), blob in zip(own[a : a + step], _packed([p for _, p in own[a : a + step]], h, w), strict=True):
+                            found[row] = blob
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("image"), pa.array([hashlib.sha256(x or b"").digest() for x in media], pa.binary()), pa.array([not x for x in media]), pa.array([len(x) // POINT.itemsize for x in found], pa.int32()), pa.array(found, pa.binary())],
+                    names=["image", "digest", "blank", "n", "points"],
+                )
 
-    return images.select(F.col("image").cast("long").alias("image"), "media").mapInArrow(run, "image long, n int, points binary")
+    return images.select(F.col("image").cast("long").alias("image"), "media").mapInArrow(run, "image long, digest binary, blank boolean, n int, points binary")
 
 
-def _packed(own: list[tuple[int, np.ndarray]], h: int, w: int) -> pa.RecordBatch:
-    stack = np.stack([p for _, p in own]).astype(float)
-    which, rows = [], []
+def _packed(pixels: list[np.ndarray], h: int, w: int) -> list[bytes]:
+    """The packed corners of images of one shape."""
+    stack = np.stack(pixels).astype(float)
+    which, rows = [np.empty(0, np.int64)], [np.empty(0, POINT)]
     for scale in SCALES:
         hh, ww = h // scale, w // scale
         if min(hh, ww) <= 2 * MARGIN:
             continue
-        small = stack[:, : hh * scale, : ww * scale].reshape(len(own), hh, scale, ww, scale).mean((2, 4))
+        small = stack[:, : hh * scale, : ww * scale].reshape(len(stack), hh, scale, ww, scale).mean((2, 4))
         i, v, u, angle, bits = described(small)
         found = np.empty(len(i), POINT)
         found["x"], found["y"], found["scale"], found["angle"], found["bits"] = u * scale, v * scale, scale, angle, bits
         which.append(i)
         rows.append(found)
-    which_, all_ = (np.concatenate(which), np.concatenate(rows)) if which else (np.empty(0, np.int64), np.empty(0, POINT))
-    order = np.argsort(which_, kind="stable")
-    n = np.bincount(which_, minlength=len(own))
-    end = np.cumsum(n)
-    some = np.flatnonzero(n).tolist()
-    all_ = all_[order]
-    return pa.RecordBatch.from_arrays([pa.array([own[k][0] for k in some], pa.int64()), pa.array(n[some].astype(np.int32)), pa.array([all_[end[k] - n[k] : end[k]].tobytes() for k in some], pa.binary())], names=["image", "n", "points"])
+    which_ = np.concatenate(which)
+    all_ = np.concatenate(rows)[np.argsort(which_, kind="stable")]
+    end = np.cumsum(np.bincount(which_, minlength=len(stack)))
+    return [x.tobytes() for x in np.split(all_, end[:-1])]
 
 
 def keys(found: DataFrame) -> DataFrame:
@@ -281,13 +290,13 @@ def links(found: DataFrame) -> DataFrame:
 
 def copies(images: DataFrame) -> DataFrame:
     """(image, class_id, kept, n_corners) of images (image, media): the smallest image of its group, whether it is that one, and its corners."""
-    named = images.select(F.col("image").cast("long").alias("image"), "media", F.sha2(F.coalesce("media", F.lit(b"")), 256).alias("digest"), (F.coalesce(F.octet_length("media"), F.lit(0)) == 0).alias("blank"))
-    of = written(named.where("image IS NOT NULL").groupBy("digest").agg(F.min("image").alias("first")), "image-classes")
-    firsts = named.join(of, "digest").where("image = first").dropDuplicates(["digest"]).select("image", "media")
-    found = written(points(firsts), "image-points")
+    facts = written(points(images), "image-facts")
+    named = facts.where("image IS NOT NULL")
+    of = written(named.groupBy("digest").agg(F.min("image").alias("first")), "image-classes")
+    firsts = named.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("image", "n", "points"), "image").alias("f"))
+    found = written(firsts.select("f.image", "f.n", "f.points"), "image-points")
     label = components(links(found)).select(F.col("node").alias("first"), "label")
-    size = found.groupBy(F.col("image").alias("first")).agg(F.max("n").cast("long").alias("n"))
-    rows = named.select("image", "digest", "blank").join(of, "digest", "left").join(label, "first", "left").join(size, "first", "left")
+    rows = facts.select("image", "digest", "blank", F.col("n").cast("long").alias("n")).join(of, "digest", "left").join(label, "first", "left")
     alone = F.col("blank") | F.col("image").isNull()
     rows = rows.select("image", F.when(alone, F.col("image")).otherwise(F.coalesce("label", "first")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_corners"))
     return rows.select("image", "class_id", F.col("image").eqNullSafe(F.col("class_id")).alias("kept"), "n_corners")
@@ -328,4 +337,4 @@ def pictures(embeddings: DataFrame, every: int = 8) -> DataFrame:
 
 def query(embeddings: DataFrame) -> DataFrame:
     """The tables hold no media, so their vectors are drawn: the copies that must be found are known."""
-    return copies(written(pictures(embeddings), "pictures")).withColumnRenamed("image", "image_id")
+    return copies(pictures(embeddings)).withColumnRenamed("image", "image_id")

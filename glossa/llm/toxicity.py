@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import ARROW_ROWS
+from .vector import ARROW_ROWS, U, prefix_hash, range_hash
 
 SAMPLE, SAMPLE_BYTES = 2500, 24_000_000
 FOLDS = 5
@@ -41,16 +41,6 @@ CHUNK, KEPT_WORDS = 1024, 400_000
 MARKS = ".,;:!?\"'()[]{}«»…-"
 
 
-def pieces(word: str) -> tuple[int, list[int]]:
-    """The table rows of a word and of its character strings."""
-    w = word.strip(MARKS).lower() or word
-    marked = f"^{w}$".encode("utf-8", "surrogatepass")
-    n, crc = len(marked), zlib.crc32
-    grams = {crc(marked[i : i + k]) % TABLE for k in (5,) for i in range(n - k + 1)}
-    grams.update(crc(marked[:k]) % TABLE for k in range(6, min(n, 14)))
-    return crc(marked) % TABLE, [*grams] or [crc(marked) % TABLE]
-
-
 def windows(n: int) -> list[tuple[int, int]]:
     """Overlapping ranges that cover n words."""
     return [(a, min(a + WINDOW, n)) for a in range(0, max(1, n - (WINDOW - STEP)), STEP)]
@@ -69,10 +59,25 @@ class Rows:
     size: np.ndarray
 
     @staticmethod
-    def of(found: list[tuple[int, list[int]]]) -> Rows:
-        size = np.array([len(g) for _, g in found], np.int64)
-        flat = np.fromiter((x for _, g in found for x in g), np.int32, int(size.sum()))
-        return Rows(np.array([w for w, _ in found], np.int32), flat, size)
+    def of(words: list[str]) -> Rows:
+        """Hashes of whole words (marks stripped, lower case, ends marked), of their five-byte strings, and of their first 6 to 13 bytes."""
+        marked = [b"^%s$" % (w.strip(MARKS).lower() or w).encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        end = np.cumsum(size)
+        start = end - size
+        data = np.frombuffer(b"".join(marked), np.uint8)
+        prefix = prefix_hash(data)
+        row = lambda a, b: (range_hash(prefix, a, b) % U(TABLE)).astype(np.int32)
+        own, at = np.repeat(np.arange(len(words)), size), np.arange(len(data))
+        inside = at + 5 <= end[own]
+        short = np.flatnonzero(size < 5)
+        owners, found = [own[inside], short], [row(at[inside], at[inside] + 5), row(start[short], end[short])]
+        for k in range(6, 14):
+            longer = np.flatnonzero(size > k)
+            owners.append(longer)
+            found.append(row(start[longer], start[longer] + k))
+        each = np.unique(np.concatenate(owners) * TABLE + np.concatenate(found))  # once a word, by word
+        return Rows(row(start, end), (each % TABLE).astype(np.int32), np.bincount(each // TABLE, minlength=len(words)).astype(np.int64))
 
     def take(self, at: np.ndarray) -> Rows:
         size = self.size[at]
@@ -202,21 +207,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
         return Model(np.zeros((1, 1)), np.zeros((1, 1)), constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     names: dict[str, int] = {}
-    word_rows, flat, sizes = array("i"), array("i"), array("i")
     docs: list[np.ndarray] = []
     for text in texts:
         own = array("i")
         for w in text.split():
             if (k := names.get(w)) is None:
-                k = names[w] = len(word_rows)
-                word, grams = pieces(w)
-                word_rows.append(word)
-                flat.extend(grams)
-                sizes.append(len(grams))
+                k = names[w] = len(names)
             own.append(k)
         docs.append(np.array(own, np.int32))
+    rows = Rows.of(list(names))
     del names
-    rows = Rows(np.array(word_rows, np.int32), np.array(flat, np.int32), np.array(sizes, np.int64))
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::5]] = True
@@ -401,7 +401,7 @@ class Scorer:
             for w in words:
                 if w not in names:
                     names[w] = len(names)
-                    new.append(pieces(w))
+                    new.append(w)
             own = list(map(names.get, words))
         if new:
             x, net, first = self.model.inputs(Rows.of(new)), self.model.net, len(names) - len(new)

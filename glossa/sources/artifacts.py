@@ -65,8 +65,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snippet_map(snippets: DataFrame) -> DataFrame:
-    """One row: snippets (name, prefix, body, description) as a map by name; the last of a name stays."""
-    rows = snippets.groupBy("name").agg(F.max_by(F.struct("prefix", "body", "description"), F.struct("prefix", "description")).alias("s"))
+    """One row: snippets (place, name, prefix, body, description) as a map by name; of a name, the one with the last place stays."""
+    rows = snippets.groupBy("name").agg(F.max_by(F.struct("prefix", "body", "description"), "place").alias("s"))
     return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "s")))).alias("snippets"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import images, lines, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc
+from . import images, jaccard, lines, middle, minhash, mixing, packing, quality, sharding, substrings, toxicity, warc, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -51,6 +51,18 @@ def op9_packing(spark, sf_dir):
     return packing.query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_middle(spark, sf_dir):
+    return middle.query(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard(spark, sf_dir):
+    return jaccard.query(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 

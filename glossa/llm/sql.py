@@ -53,8 +53,8 @@ mix AS (SELECT doc_id, rnk, size, source_size, target,
 """
 
 
-def near_duplicate_rows(n: int, documents: str = "documents") -> str:
-    """WITH RECURSIVE clause up to `near`: doc_id, n_shingles, component_id; shingles of n words, similarity of 0.8."""
+def near_duplicate_rows(n: int, documents: str = "documents", threshold: int = 80) -> str:
+    """WITH RECURSIVE clause up to `near`: doc_id, n_shingles, component_id; shingles of n words, similarity of `threshold` percent."""
     return f"""
 nd_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM {documents}),
 nd_sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
@@ -62,7 +62,7 @@ nd_sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [
 nd_size AS (SELECT doc_id, len(s) AS n FROM nd_sets),
 nd_long AS (SELECT doc_id, unnest(s) AS t FROM nd_sets),
 nd_both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM nd_long a JOIN nd_long b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
-nd_link AS (SELECT x, y FROM nd_both JOIN nd_size p ON p.doc_id = x JOIN nd_size q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+nd_link AS (SELECT x, y FROM nd_both JOIN nd_size p ON p.doc_id = x JOIN nd_size q ON q.doc_id = y WHERE 100 * k >= {threshold} * (p.n + q.n - k)),
 nd_edge AS (SELECT x, y FROM nd_link UNION ALL SELECT y, x FROM nd_link),
 nd_reach AS (SELECT doc_id AS x, doc_id AS y FROM {documents} UNION SELECT r.x, e.y FROM nd_reach r JOIN nd_edge e ON r.y = e.x),
 near AS (SELECT z.doc_id, z.n AS n_shingles, c.component_id FROM nd_size z JOIN (SELECT x, min(y) AS component_id FROM nd_reach GROUP BY x) c ON c.x = z.doc_id)
@@ -78,5 +78,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM stored AND stored IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM stored THEN stored END AS refers_to FROM m""",
     "op8_minhash": f"WITH RECURSIVE {near_duplicate_rows(4)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
+    "op12_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+d AS (SELECT *, [CAST(('0x' || substr(x, 8 * i + 1, 8)) AS BIGINT) FOR i IN range(4)] AS h FROM h),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p""",
+    "op13_jaccard": f"WITH RECURSIVE {near_duplicate_rows(3, threshold=90)} SELECT doc_id, n_shingles, component_id FROM near",
     "op7_mixing": f"WITH {mixing_rows()} SELECT doc_id, size, source_size, target, taken FROM mix",
 }

@@ -98,6 +98,7 @@ def candidate_keys(category: Column | str, raw: Column | str) -> Column:
         F.when(c == "history", F.array(history_key(raw)))
         .when(c == "job_spec", F.array(job_key(raw)))
         .when(c == "special_function", F.array(plain, hook, trap))
+        .when(c == "option", F.array(plain, F.when(has_no(raw), option_name(without_no(raw)))))
         .when(c.isin("subscript_flag", "param_flag", "glob_flag", "glob_qualifier"), F.array(plain, flag_key(c, raw)))
         .otherwise(F.array(plain))
     )
@@ -148,7 +149,7 @@ def function_name(line: Column | str) -> Column:
     """The name a line declares: `name() ...` or `function name ...`; null without one."""
     line = _col(line)
     return F.coalesce(
-        F.nullif(F.regexp_extract(line, r"^\s*(?:function\s+)?([A-Za-z0-9_][A-Za-z0-9_-]*)\s*\(\s*\)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(line, r"^\s*([A-Za-z0-9_][A-Za-z0-9_-]*)\s*\(\)", 1), F.lit("")),
         F.nullif(F.regexp_extract(line, r"^\s*function\s+([A-Za-z0-9_][A-Za-z0-9_-]*)", 1), F.lit("")),
     )
 
@@ -183,12 +184,15 @@ def first_error(stderr: Column | str) -> Column:
 
 
 def equal_map(stdout: Column | str) -> Column:
-    """map<string,string> of the lines k=v with a key; the last value of a key stays, at the key's first place."""
+    """map<string,string> of the lines k=v with a key; the last value of a key stays, at the key's first place. Pairs are sorted by key once."""
     lines = F.filter(F.split(_col(stdout), "\n"), lambda x: F.instr(x, "=") > 1)
-    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.map_from_arrays(keys, last)
+    pairs = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.substring_index(x, "=", 1).alias("k"), i.alias("i"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v"))))
+    near = lambda i, step: F.get(pairs, i + step)["k"]
+    # In order of keys, the first of a run gives the place, the last the value.
+    firsts = F.transform(F.filter(F.transform(pairs, lambda p, i: F.struct(p["i"].alias("i"), p["k"].alias("k"), near(i, -1).eqNullSafe(p["k"]).alias("same"))), lambda p: ~p["same"]), lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k")))
+    lasts = F.transform(F.filter(F.transform(pairs, lambda p, i: F.struct(p["v"].alias("v"), near(i, 1).eqNullSafe(p["k"]).alias("same"))), lambda p: ~p["same"]), lambda p: p["v"])
+    kept = F.array_sort(F.zip_with(firsts, lasts, lambda f, v: F.struct(f["i"].alias("i"), f["k"].alias("k"), v.alias("v"))))
+    return F.map_from_arrays(F.transform(kept, lambda p: p["k"]), F.transform(kept, lambda p: p["v"]))
 
 
 def nonempty_lines(x: Column | str) -> Column:

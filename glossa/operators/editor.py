@@ -1,18 +1,25 @@
-"""What an editor asks: the token at a place, hover targets, and completions by context."""
+"""What an editor asks of places in documents: the token there, what is known of it, and what may be typed.
+
+Places are rows, as many as a user likes, up to every column of every line. What depends on the text alone is found once a line or once a distinct name and
+kept as spans with their answers; places meet spans by equality of document and bin, so neither a place nor a name is asked of the whole corpus.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .facts import context_at
-from .resolve import begun
+from .facts import SYMBOL_EDGES, TOKEN_ENDS, WORD, active, with_facts
+from .resolve import begun, flag_index, resolve
+from .textlines import function_docs, function_index, matched, name_tokens
 
 #: What ends a token, as a class.
 DELIMITERS = r"\s;&|()<>{}\"'`$="
-#: Categories offered by context.
-OFFERED = {"setopt": ("option",), "cond": ("cond_op",), "arith": ("arith_op", "shell_param"), "general": ("builtin", "reserved_word", "precmd", "complex_command")}
+#: Categories offered in general code, in this order.
+GENERAL = ("builtin", "reserved_word", "precmd", "shell_param")
+#: Characters of a bin.
+BIN = 256
 
 
 def token_at(points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -26,31 +33,159 @@ def token_at(points: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select(*points.columns, F.when(some, whole).alias("token"), F.when(some, start).alias("start"), F.when(some, start + F.length(whole)).alias("end"))
 
 
-def completions(points: DataFrame, facts: DataFrame, lines: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(doc_id, offset, ord, label, category): names of the context's categories, then, in general code, the document's own words.
+def _windows(lengths: Column) -> Column:
+    """array<struct<start,end,text>> of a line: texts of the given lengths from every edge on that end at an edge too."""
+    each = lambda a: F.transform(lengths, lambda n: F.struct(a.alias("start"), (a + n).alias("end"), F.substring("text", a.cast("int") + 1, n).alias("text")))
+    after = lambda w: F.substring("text", w["end"].cast("int") + 1, F.lit(1))
+    return F.filter(F.flatten(F.transform("edges", each)), lambda w: (w["end"] <= F.col("cut")) & ((after(w) == "") | after(w).rlike(f"[{SYMBOL_EDGES}]")))
+
+
+def _lengths(symbols: DataFrame) -> DataFrame:
+    """One row, of as many numbers as symbols have lengths."""
+    return symbols.select(F.length("id").alias("n")).distinct().agg(F.collect_list("n").alias("_lengths"))
+
+
+def symbol_spans(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start, end, id, seq): every place of a symbol (id, seq) in the active text that ends or brackets, or blanks, surround.
+
+    Texts of the symbols' lengths from every such edge on meet the symbols by equality: as many as there are lengths, whatever the number of symbols.
+    """
+    rows = with_facts(lines, pieces=True).where("edges IS NOT NULL").crossJoin(F.broadcast(_lengths(symbols)))
+    rows = rows.select("doc_id", "line_no", F.inline(_windows(F.col("_lengths")))).withColumnRenamed("text", "id")
+    return rows.join(symbols.select("id", "seq"), "id").select("doc_id", "line_no", "start", "end", "id", "seq")
+
+
+def longest_symbol_at(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(points.*, id, start, end): the longest symbol around each (doc_id, line_no, char_no), then the first of the dictionary, then the leftmost; or nulls."""
+    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))))
+    asked = points.withColumn("_bin", F.floor(F.col("char_no") / BIN))
+    inside = (F.col("char_no") >= F.col("start")) & (F.col("char_no") < F.col("end"))
+    hit = asked.join(binned, ["doc_id", "line_no", "_bin"]).where(inside).groupBy("doc_id", "line_no", "char_no")
+    best = hit.agg(F.min_by(F.struct("id", "start", "end"), F.struct(F.col("start") - F.col("end"), F.col("seq"), F.col("start"))).alias("_b"))
+    return points.join(best, ["doc_id", "line_no", "char_no"], "left").select(*points.columns, "_b.id", "_b.start", "_b.end")
+
+
+def _probes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line_start, start, end, pri, need, category, raw): all that may be asked of a line's spans, by one pass over it.
+
+    `need` is the context in which a span counts, or `token` for the bare spans of tokens; words end a character later, since they may be asked for at their end.
+    """
+    rows = with_facts(lines, pieces=True).where("tokens IS NOT NULL").crossJoin(F.broadcast(_lengths(symbols)))
+    one = lambda start, end, pri, need, category, raw: F.struct(start.alias("start"), end.alias("end"), F.lit(pri).alias("pri"), F.lit(need).cast("string").alias("need"), F.lit(category).alias("category"), raw.alias("raw"))
+    spans = lambda found, pri, need, category, more=0: F.transform(found, lambda x: one(x["start"], x["end"] + more, pri, need, category, x["text"]))
+    first = lambda kind: F.get(F.filter("facts", lambda f: f["kind"] == kind), F.lit(0))
+    tokens = F.col("tokens")
+    of = lambda flag: F.filter(tokens, lambda t: t[flag])
+    redir, subst = first("redir"), first("process-subst")
+    tail = F.regexp_extract(F.substring(active(), redir["span_end"].cast("int") + 1, F.length("text")), f"^[^{TOKEN_ENDS}]*", 0)
+    whole = one(F.lit(0).cast("long"), F.length("text").cast("long") + 1, 8, None, "process_subst", F.concat(F.left(subst["text"], F.lit(2)), F.lit("...)")))
+    signs = F.filter(_windows(F.col("_lengths")), lambda w: w["text"].rlike(f"[{TOKEN_ENDS}]") & (X.trim(w["text"]) == w["text"]))  # what is resolved is trimmed
+    parts = [
+        spans(tokens, 99, "token", "token"), spans(tokens, 0, "setopt", "option"), spans(F.filter(tokens, lambda t: t["text"].rlike("^[+-][A-Za-z0-9]$")), 1, "setopt", "flag"), spans(tokens, 2, "cond", "cond_op"), spans(signs, 2, "symbol", "cond_op"),
+        spans(F.col("words"), 3, None, "function", 1), spans(F.col("words"), 4, None, "shell_param", 1), spans(of("precmd"), 5, None, "precmd"), spans(of("head"), 6, None, "builtin"),
+        F.when(redir.isNotNull(), F.array(one(redir["span_start"], redir["span_end"] + F.length(tail), 7, None, "redir", F.concat(redir["text"], tail)))).otherwise(F.array()),
+        F.when(subst.isNotNull(), F.array(whole)).otherwise(F.array()), spans(of("reserved"), 9, None, "complex_command"), spans(of("reserved"), 10, None, "reserved_word"),
+    ]
+    return rows.select("doc_id", "line_no", "line_start", F.inline(F.concat(*parts)))
+
+
+def hovered(points: DataFrame, lines: DataFrame, contexts: DataFrame, corpus: DataFrame, flags: DataFrame) -> DataFrame:
+    """(doc_id, line_no, char_no, source, category, id, start, end, body): what is known of each place (doc_id, line_no, char_no), a row a place.
+
+    The first that knows something answers: in option settings an option, or a single-letter flag that names exactly one; in tests the operator
+    that is the token there or, where there is none, the longest symbol; a function of the document that has a comment (`body`); a parameter;
+    a precommand, a builtin, the line's first redirection, its first process substitution; a complex command, a reserved word. `start` and `end` are places in the line, null where no token gives a range.
 
-    points: (doc_id, offset, typed). Names must start with what is typed; the word under the cursor itself is not offered.
+    lines: (doc_id, line_no, line_start, text); contexts: spans of `analyzed`, kind ctx; corpus: (category, id, seq, group_op); flags: (id, flags) of the options.
+    Every distinct name is resolved once, in one join. All spans and contexts meet the places in one join, and one aggregate decides.
     """
-    placed = context_at(facts, points)
-    routes = [(c, k, i) for c, kinds in OFFERED.items() for i, k in enumerate(kinds)]
-    routed = placed.join(F.broadcast(placed.sparkSession.createDataFrame(routes, "ctx string, category string, ord int")), "ctx")
-    key = F.when(F.col("category") == "option", X.option_name("typed")).otherwise(X.trim("typed"))
-    routed = routed.withColumn("key", key)
-    names = corpus.select("category", F.col("id").alias("label"))
-    index = begun(names, "label", routed).unionByName(names.withColumn("key", F.lit("")))
-    known = routed.join(index, ["category", "key"]).select("doc_id", "offset", "ord", "label", "category")
-    words = lines.select("doc_id", F.explode(X.first_seen(F.split("text", r"[^A-Za-z0-9_-]+"))).alias("label")).distinct()
-    own = placed.where("ctx = 'general'").join(words, "doc_id").where(F.startswith("label", X.trim("typed")) & (F.col("label") != X.trim("typed")))
-    own = own.select("doc_id", "offset", F.lit(9).alias("ord"), "label", F.lit("document").alias("category"))
-    return known.unionByName(own)
-
-
-def hover(tokens: DataFrame, facts: DataFrame, functions: DataFrame, classified: DataFrame) -> DataFrame:
-    """(tokens.*, source, target): a document's own function first, then what the corpus says of the token.
-
-    tokens: (doc_id, token); functions: (doc_id, name, doc_text); classified: (token, category, id).
+    symbols = corpus.where((F.col("category") == "cond_op") & F.col("id").rlike(f"[{TOKEN_ENDS}]")).select("id", "seq")
+    probes = _probes(lines, symbols)
+    asked = probes.where(~F.col("category").isin("token", "function", "flag")).select("category", "raw").distinct()
+    answers = resolve(asked, corpus).where("id IS NOT NULL").join(corpus.select("category", "id", "seq"), ["category", "id"])
+    letters = flag_index(flags).select(F.lit("flag").alias("category"), "id", F.concat("on", "char").alias("raw"), F.lit(0).cast("long").alias("seq"))
+    answers = answers.unionByName(letters)
+    found = probes.where(~F.col("category").isin("token", "function")).join(answers, ["category", "raw"]).withColumn("body", F.lit(None).cast("string"))
+    docs = function_docs(function_index(lines)).select("doc_id", F.col("name").alias("raw"), F.col("doc_text").alias("body"))
+    own = probes.where("category = 'function'").join(docs, ["doc_id", "raw"]).withColumn("id", F.col("raw")).withColumn("seq", F.lit(0).cast("long"))
+    bare = probes.where("category = 'token'").select("doc_id", "line_start", "start", "end", "need")
+
+    longer = F.col("pri").isin(3, 4).cast("int")
+    category = F.when(F.col("category") == "flag", "option").otherwise(F.col("category"))
+    answer = F.struct("pri", category.alias("category"), "id", F.when(F.col("pri") != 8, F.col("start")).alias("start"), F.when(F.col("pri") != 8, F.col("end") - longer).alias("end"), "body")
+    rank = F.struct("pri", (F.when(F.col("need") == "symbol", F.col("start") - F.col("end")).otherwise(0)).alias("longest"), "seq", "start")
+    place = [(F.col("line_start") + F.col("start")).alias("a"), (F.col("line_start") + F.col("end")).alias("b"), "need"]
+    spans = found.unionByName(own).select("doc_id", *place, rank.alias("rank"), answer.alias("answer"))
+    spans = spans.unionByName(bare.select("doc_id", *place, F.struct("start", "end").alias("range")), allowMissingColumns=True)
+    ctx = contexts.select("doc_id", F.col("span_start").alias("a"), (F.col("span_end") + 1).alias("b"), F.concat(F.lit("in "), "ctx").alias("need"))
+    spans = spans.unionByName(ctx, allowMissingColumns=True)
+    spans = spans.where("a < b").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor((F.col("b") - 1) / BIN))))
+
+    at = points.select("doc_id", "line_no", "char_no").join(lines.select("doc_id", "line_no", "line_start"), ["doc_id", "line_no"])
+    at = at.withColumn("_at", F.col("line_start") + F.col("char_no")).withColumn("_bin", F.floor(F.col("_at") / BIN))
+    met = at.join(spans, ["doc_id", "_bin"], "left")
+    inside = (F.col("_at") >= F.col("a")) & (F.col("_at") < F.col("b"))
+    is_ = lambda name: inside & (F.col("need") == name)
+    best = lambda need: F.min_by(F.col("answer"), F.when(need & F.col("answer").isNotNull(), F.col("rank")))
+    place = met.groupBy("doc_id", "line_no", "char_no").agg(
+        F.max(F.when(is_("in setopt"), 2).when(is_("in cond"), 1).otherwise(0)).alias("_ctx"), F.max(F.when(is_("token"), F.col("range"))).alias("_token"),
+        best(is_("setopt")).alias("_setopt"), best(is_("cond")).alias("_cond"), best(is_("symbol")).alias("_symbol"), best(inside & F.col("need").isNull()).alias("_any"),
+    )
+    tested = F.when(F.col("_token").isNotNull(), F.col("_cond")).otherwise(F.col("_symbol"))
+    place = place.withColumn("_a", F.coalesce(F.when(F.col("_ctx") == 2, F.col("_setopt")), F.when(F.col("_ctx") == 1, tested), F.col("_any")))
+    source = F.when(F.col("_a.category") == "function", "function").when(F.col("_a").isNotNull(), "corpus")
+    range_ = lambda c: F.when(F.col("_a.pri") == 8, F.col(f"_token.{c}")).otherwise(F.col(f"_a.{c}")).alias(c)
+    return place.select("doc_id", "line_no", "char_no", source.alias("source"), F.when(source == "corpus", F.col("_a.category")).alias("category"), F.col("_a.id").alias("id"), range_("start"), range_("end"), F.col("_a.body").alias("body"))
+
+
+def word_at(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """(points.*, typed): the word that each place (doc_id, line_no, char_no) is in or at the end of, comments included; empty without one."""
+    spans = matched(lines, ["doc_id", "line_no"], F.col("text"), WORD)
+    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
+    asked = points.withColumn("_bin", F.floor(F.col("char_no") / BIN)).alias("p")
+    hit = (F.col("p.char_no") >= F.col("s.start")) & (F.col("p.char_no") <= F.col("s.end"))
+    on = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("p.line_no") == F.col("s.line_no")) & (F.col("p._bin") == F.col("s._bin")) & hit
+    return asked.join(binned.alias("s"), on, "left").select(*[F.col(f"p.{c}") for c in points.columns], F.coalesce("s.word", F.lit("")).alias("typed"))
+
+
+def routed(points: DataFrame, lines: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, char_no, route, typed): what is asked at each place: options, the operators of tests, or general code; arithmetic is general."""
+    spans = contexts.where(F.col("ctx").isin("setopt", "cond")).select("doc_id", F.col("span_start").alias("a"), F.col("span_end").alias("b"), "ctx")
+    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
+    asked = word_at(points.select("doc_id", "line_no", "char_no"), lines).join(lines.select("doc_id", "line_no", "line_start"), ["doc_id", "line_no"])
+    asked = asked.withColumn("_at", F.col("line_start") + F.col("char_no")).withColumn("_bin", F.floor(F.col("_at") / BIN))
+    inside = (F.col("_at") >= F.col("a")) & (F.col("_at") <= F.col("b"))
+    route = F.max(F.when(inside & (F.col("ctx") == "setopt"), 2).when(inside, 1).otherwise(0))
+    rows = asked.join(spans, ["doc_id", "_bin"], "left").groupBy("doc_id", "line_no", "char_no", "typed").agg(route.alias("_r"))
+    return rows.select("doc_id", "line_no", "char_no", F.when(F.col("_r") == 2, "setopt").when(F.col("_r") == 1, "cond").otherwise("general").alias("route"), "typed")
+
+
+def completions(asks: DataFrame, lines: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(doc_id, route, typed, part, seq, label, category, id): what may be typed, for each distinct (doc_id, route, typed) of `asks`; `part` and `seq` order it.
+
+    Options: names that what is typed begins, case and underscores aside, then the same with `no` before them, as `no_name`. Tests: every operator. General code: the
+    document's own names that what is typed begins, in order of first use, then builtins, reserved words, precommands and parameters that are names; never what is typed itself.
+    Names meet what is typed by their beginnings, in the document's own names within the document. corpus: (category, id, seq).
     """
-    own = functions.groupBy("doc_id", F.col("name").alias("token")).agg(F.min_by("doc_text", "line_no").alias("_doc"), F.lit(True).alias("_own"))
-    rows = tokens.join(own, ["doc_id", "token"], "left").join(classified.select("token", "category", "id"), "token", "left")
-    mine = F.coalesce("_own", F.lit(False))
-    return rows.select(*tokens.columns, F.when(mine, "function").otherwise(F.col("category")).alias("source"), F.when(mine, F.coalesce("_doc", F.lit(""))).otherwise(F.col("id")).alias("target"))
+    asks = asks.select("doc_id", "route", "typed").distinct()
+    names = corpus.select("category", "id", "seq")
+    beginnings = lambda rows, typed: begun(rows, "label", typed).unionByName(rows.withColumn("key", F.lit("")))
+    shown = ["doc_id", "route", "typed", "part", "seq", "label", "category", "id"]
+
+    options = names.where("category = 'option'")
+    forms = options.select(F.lit(0).alias("part"), "seq", F.col("id").alias("label"), F.col("id").alias("shown"), "category", "id")
+    forms = forms.unionByName(options.select(F.lit(1).alias("part"), "seq", F.concat(F.lit("no"), "id").alias("label"), F.concat(F.lit("no_"), "id").alias("shown"), "category", "id"))
+    typed = asks.where("route = 'setopt'").withColumn("key", X.option_name("typed"))
+    setopt = typed.join(beginnings(forms, typed), "key").drop("label").withColumnRenamed("shown", "label").select(*shown)
+
+    tests = names.where("category = 'cond_op'").select(F.lit("cond").alias("route"), F.lit(0).alias("part"), "seq", F.col("id").alias("label"), "category", "id")
+    cond = asks.where("route = 'cond'").join(tests, "route").select(*shown)
+
+    general = asks.where("route = 'general'").withColumn("key", F.col("typed"))
+    part = F.array_position(F.array(*map(F.lit, GENERAL)), F.col("category")).cast("int")
+    listed = names.where(F.col("category").isin(*GENERAL)).where(X.is_word("id")).select(part.alias("part"), "seq", F.col("id").alias("label"), "category", "id")
+    known = general.join(beginnings(listed, general), "key").where("label <> typed").select(*shown)
+    first = Window.partitionBy("doc_id").orderBy("line_no", "pos")
+    used = name_tokens(lines).select("doc_id", F.lit(0).alias("part"), (F.row_number().over(first) - 1).cast("long").alias("seq"), F.col("token").alias("label"), F.lit("document").alias("category"), F.lit(None).cast("string").alias("id"))
+    own = general.join(beginnings(used, general), ["doc_id", "key"]).where("label <> typed").select(*shown)
+    return setopt.unionByName(cond).unionByName(known).unionByName(own)

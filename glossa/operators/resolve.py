@@ -15,10 +15,10 @@ from ..functions import text as X
 def resolve_prefix(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """(tokens.*, sig): redirections by the longest operator that starts the token, then by what follows it.
 
-    groups: (sig, group_op). A theta join on prefixes is an equi-join here: each distinct token probes with its prefixes, up
+    groups: (sig, group_op); what a signature has after its operator is the kind of tail it takes: number, word, - or p. A theta join on prefixes is an equi-join here: each distinct token probes with its prefixes, up
     to the operators' greatest length.
     """
-    ops = groups.groupBy("group_op").agg(F.collect_list(F.struct("sig", X.tail_kind(X.trim(F.expr("substring(sig, length(group_op) + 1)"))).alias("kind"))).alias("docs"))
+    ops = groups.groupBy("group_op").agg(F.collect_list(F.struct("sig", F.ltrim(F.expr("substring(sig, length(group_op) + 1)")).alias("kind"))).alias("docs"))
     longest = F.broadcast(groups.agg(F.max(F.length("group_op")).alias("_longest")))  # one row
     asked = tokens.select(F.col("raw").alias("_raw")).where("_raw IS NOT NULL").distinct().withColumn("_body", X.without_fd("_raw")).where(F.length("_body") > 0)
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.col("_longest"), F.length("_body"))), lambda n: F.substring("_body", F.lit(1), n))
@@ -31,11 +31,20 @@ def resolve_prefix(tokens: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def resolve(tokens: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(tokens.*, id): each token (category, raw) in its own category, by the keys it may have there; distinct tokens are resolved once."""
+    """(tokens.*, id): each token (category, raw) in its own category, by the keys it may have there; distinct tokens are resolved once.
+
+    Options may lack a leading no that the token has; redirections go by operator and tail where the corpus has `group_op`.
+    """
     asked = tokens.select(F.col("category").alias("_category"), F.col("raw").alias("_raw")).where("_category IS NOT NULL AND _raw IS NOT NULL").distinct()
-    keys = asked.select("_category", "_raw", F.explode(X.candidate_keys("_category", "_raw")).alias("k")).select("_category", "_raw", "k.pri", F.col("k.key").alias("_key"))
+    by_op = "group_op" in corpus.columns
+    plain = asked.where(F.col("_category") != "redir") if by_op else asked
+    keys = plain.select("_category", "_raw", F.explode(X.candidate_keys("_category", "_raw")).alias("k")).select("_category", "_raw", "k.pri", F.col("k.key").alias("_key"))
     ids = corpus.select(F.col("category").alias("_category"), F.col("id").alias("_key"), "id")
     hit = keys.join(ids, ["_category", "_key"]).groupBy("_category", "_raw").agg(F.min_by("id", "pri").alias("id"))
+    if by_op:
+        groups = corpus.where("category = 'redir'").select(F.col("id").alias("sig"), "group_op")
+        redir = resolve_prefix(asked.where("_category = 'redir'").select(F.col("_raw").alias("raw")), groups).where("sig IS NOT NULL")
+        hit = hit.unionByName(redir.select(F.lit("redir").alias("_category"), F.col("raw").alias("_raw"), F.col("sig").alias("id")))
     return tokens.join(hit, (tokens["category"] == hit["_category"]) & (tokens["raw"] == hit["_raw"]), "left").drop("_category", "_raw")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,14 +18,46 @@ def doc_lines(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataF
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), start.alias("line_start"), "text")
 
 
-def continued_blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, block_start, block_end, text): runs of lines joined by a backslash at the end, without it and trimmed."""
+def with_blocks(lines: DataFrame) -> DataFrame:
+    """`lines` with `_block`, which numbers a document's runs of continued lines: a line goes on if it ends in a backslash, blanks after it aside."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    opens = F.coalesce(~F.endswith(F.lag("text").over(w), F.lit("\\")), F.lit(True))
-    rows = lines.withColumn("_block", F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    joined = F.array_join(F.transform(ordered, lambda x: X.trim(F.regexp_replace(x["text"], r"\\$", ""))), " ")
-    return rows.groupBy("doc_id", "_block").agg(F.min("line_no").alias("block_start"), F.max("line_no").alias("block_end"), X.trim(joined).alias("text")).drop("_block")
+    opens = F.coalesce(~F.lag("text").over(w).rlike(rf"\\{X.BLANK}*\z"), F.lit(True))
+    return lines.withColumn("_opens", opens).withColumn("_block", F.sum(F.when(F.col("_opens"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
+def joined_lines(parts: Column) -> Column:
+    """The active texts of a run of lines as one: each without a backslash at its end and trimmed."""
+    return X.trim(F.array_join(F.transform(parts, lambda x: X.trim(F.regexp_replace(x, rf"\\{X.BLANK}*\z", ""))), " "))
+
+
+def continued_blocks(lines: DataFrame) -> DataFrame:
+    """(doc_id, block_start, block_end, text): runs of continued lines joined, comments cut first."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", X.active_text("text").alias("text"))))
+    blocks = with_blocks(lines).groupBy("doc_id", "_block").agg(F.min("line_no").alias("block_start"), F.max("line_no").alias("block_end"), ordered.alias("_lines"))
+    return blocks.select("doc_id", "block_start", "block_end", joined_lines(F.transform("_lines", lambda x: x["text"])).alias("text"))
+
+
+def matched(rows: DataFrame, keys: list[str], text: Column, pattern: str) -> DataFrame:
+    """(keys, start, end, word): every match of a pattern in each row's text with its place, in characters from 0. `keys` must tell rows apart.
+
+    Lengths of gaps and matches are added up by a window over a row's pieces, so the work is linear in a text, whatever its length.
+    """
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"))
+    rows = rows.select(*keys, F.posexplode(pieces).alias("_i", "_p"))
+    size = F.length("_p.gap") + F.coalesce(F.length("_p.word"), F.lit(0))
+    end = F.sum(size).over(Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    rows = rows.select(*keys, end.alias("end"), F.col("_p.word").alias("word")).where("word IS NOT NULL")
+    return rows.select(*keys, (F.col("end") - F.length("word")).alias("start"), "end", "word")
+
+
+#: What ends an editor's word, one by one; a number may hold a dot.
+SEPARATORS = ("`", "~", "!", "@", "#", "$", "%", "^", "&", "*", "(", ")", "=", "+", "[", "{", "]", "}", "\\", "|", ";", ":", "'", '"', ",", ".", "<", ">", "/", "?")
+EDITOR_WORD = r"-?\d*\.\d\w*|[^" + "".join("\\" + c for c in SEPARATORS) + r"\s]+"
+
+
+def editor_words(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start, end, word): what an editor takes for words."""
+    return matched(lines, ["doc_id", "line_no"], F.col("text"), EDITOR_WORD)
 
 
 def function_index(lines: DataFrame) -> DataFrame:
@@ -41,7 +73,12 @@ def function_index(lines: DataFrame) -> DataFrame:
     above = runs.select("doc_id", (F.col("b") + 1).alias("line_no"), F.col("doc").alias("above"))
     below = runs.select("doc_id", (F.col("a") - 1).alias("line_no"), F.col("doc").alias("below"))
     both = names.join(above, ["doc_id", "line_no"], "left").join(below, ["doc_id", "line_no"], "left")
-    return both.select("doc_id", "name", "line_no", "name_start", F.coalesce("above", "below").alias("doc_text"))
+    return both.select("doc_id", "name", "line_no", "name_start", F.coalesce(F.nullif("above", F.lit("")), F.nullif("below", F.lit(""))).alias("doc_text"))
+
+
+def function_docs(index: DataFrame) -> DataFrame:
+    """(doc_id, name, doc_text): the comment of each name, that of its last declaration that has one."""
+    return index.where("doc_text IS NOT NULL").groupBy("doc_id", "name").agg(F.max_by("doc_text", "line_no").alias("doc_text"))
 
 
 def definitions(index: DataFrame) -> DataFrame:
@@ -59,13 +96,7 @@ def occurrences(lines: DataFrame, words: DataFrame) -> DataFrame:
 
     Each line is cut into its names once; words meet them by equality, whatever the number of words.
     """
-    name = r"[A-Za-z0-9_-]+"
-    active = X.active_text("text")
-    rest = F.split(active, name, -1)
-    found = F.regexp_extract_all(active, F.lit(name), F.lit(0))
-    start = F.transform(found, lambda w, i: F.struct(w.alias("word"), F.aggregate(F.slice(rest, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)).alias("gap"), F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)).alias("own")))
-    rows = lines.select("doc_id", "line_no", F.explode(start).alias("o"))
-    rows = rows.select("doc_id", "line_no", F.col("o.word").alias("word"), (F.col("o.gap") + F.col("o.own")).cast("long").alias("start"))
+    rows = matched(lines, ["doc_id", "line_no"], X.active_text("text"), "[A-Za-z0-9_-]+")
     return rows.join(words.select("doc_id", "word").distinct(), ["doc_id", "word"]).select("doc_id", "line_no", "word", "start")
 
 

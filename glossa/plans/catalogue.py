@@ -195,7 +195,7 @@ _KIND = "CASE WHEN regexp_matches({x}, '^[0-9]+$') THEN 'number' WHEN {x} IN ('-
 @query(f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in REDIRS)}) v(sig, op)), t AS (SELECT o_orderkey AS tok_id, {REDIR_TOKENS} AS raw FROM orders),
 b AS (SELECT *, regexp_replace(trim(raw), '^[0-9]+', '') AS body FROM t),
 m AS (SELECT b.*, (SELECT max(length(op)) FROM g WHERE starts_with(body, op)) AS n FROM b),
-d AS (SELECT tok_id, sig, {_KIND.format(x="trim(substr(sig, n::BIGINT + 1))")} AS k, {_KIND.format(x="substr(body, n::BIGINT + 1)")} AS want, count(*) OVER (PARTITION BY tok_id) AS c FROM m JOIN g ON op = substr(body, 1, n::BIGINT) WHERE n IS NOT NULL),
+d AS (SELECT tok_id, sig, ltrim(substr(sig, n::BIGINT + 1)) AS k, {_KIND.format(x="substr(body, n::BIGINT + 1)")} AS want, count(*) OVER (PARTITION BY tok_id) AS c FROM m JOIN g ON op = substr(body, 1, n::BIGINT) WHERE n IS NOT NULL),
 r AS (SELECT tok_id, CASE WHEN any_value(c) = 1 THEN any_value(sig) WHEN count(*) FILTER (WHERE k = want) = 1 THEN any_value(sig) FILTER (WHERE k = want) END AS sig FROM d GROUP BY tok_id)
 SELECT t.tok_id, t.raw, r.sig FROM t LEFT JOIN r USING (tok_id)""")
 def prefix_longest(spark, sf):
@@ -262,23 +262,30 @@ def comment_cut(spark, sf):
     return T.scripts(spark, sf).select("doc_id", "line_no", F.coalesce(X.comment_start("text"), F.lit(-1)).alias("comment_at"), X.active_text("text").alias("active"))
 
 
-@query(f"""WITH s AS ({T.SCRIPTS_SQL}), o AS (SELECT *, coalesce(NOT ends_with(lag(text) OVER (PARTITION BY doc_id ORDER BY line_no), chr(92)), true) AS opens FROM s),
-b AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM o)
-SELECT doc_id, min(line_no) AS block_start, max(line_no) AS block_end, trim(string_agg(trim(regexp_replace(text, '\\\\$', '')), ' ' ORDER BY line_no)) AS text FROM b GROUP BY doc_id, block""")
+@query(f"""{T.SESSION_SQL}, j AS (SELECT doc_id, run, line_no, trim(CASE WHEN k = 4 THEN replace(text, chr(92), '') ELSE substr(text, 1, cut) END) AS part FROM s)
+SELECT doc_id, min(line_no) AS block_start, max(line_no) AS block_end, trim(string_agg(part, ' ' ORDER BY line_no)) AS text FROM j GROUP BY doc_id, run""")
 def continued_blocks(spark, sf):
-    return L.continued_blocks(T.scripts(spark, sf))
+    return L.continued_blocks(T.session(spark, sf))
 
 
-_NAME_SQL = r"coalesce(nullif(regexp_extract(text, '^\s*(?:function\s+)?([A-Za-z0-9_][A-Za-z0-9_-]*)\s*\(\s*\)', 1), ''), nullif(regexp_extract(text, '^\s*function\s+([A-Za-z0-9_][A-Za-z0-9_-]*)', 1), ''))"
+_NAME_SQL = r"coalesce(nullif(regexp_extract(text, '^\s*([A-Za-z0-9_][A-Za-z0-9_-]*)\s*\(\)', 1), ''), nullif(regexp_extract(text, '^\s*function\s+([A-Za-z0-9_][A-Za-z0-9_-]*)', 1), ''))"
 _INDEX_SQL = f"""s AS ({T.SCRIPTS_SQL}), c AS (SELECT *, {_NAME_SQL} AS name, regexp_matches(text, '^\\s*#') AS com FROM s),
 g AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c WHERE com),
 r AS (SELECT doc_id, min(line_no) AS a, max(line_no) AS b, string_agg(regexp_replace(text, '^\\s*# ?', ''), chr(10) ORDER BY line_no) AS doc FROM g GROUP BY doc_id, run),
-idx AS (SELECT c.doc_id, c.name, c.line_no, (strpos(c.text, c.name) - 1)::BIGINT AS name_start, coalesce(u.doc, d.doc) AS doc_text FROM c LEFT JOIN r u ON u.doc_id = c.doc_id AND u.b = c.line_no - 1 LEFT JOIN r d ON d.doc_id = c.doc_id AND d.a = c.line_no + 1 WHERE c.name IS NOT NULL)"""
+idx AS (SELECT c.doc_id, c.name, c.line_no, (strpos(c.text, c.name) - 1)::BIGINT AS name_start, coalesce(nullif(u.doc, ''), nullif(d.doc, '')) AS doc_text FROM c LEFT JOIN r u ON u.doc_id = c.doc_id AND u.b = c.line_no - 1 LEFT JOIN r d ON d.doc_id = c.doc_id AND d.a = c.line_no + 1 WHERE c.name IS NOT NULL)"""
 
 
-@query(f"WITH {_INDEX_SQL} SELECT * FROM idx")
+_SESSION_INDEX_SQL = _INDEX_SQL.replace(T.SCRIPTS_SQL, T.scripts_sql(T.SESSION))
+
+
+@query(f"WITH {_SESSION_INDEX_SQL} SELECT * FROM idx")
 def func_index(spark, sf):
-    return L.function_index(T.scripts(spark, sf))
+    return L.function_index(T.session(spark, sf))
+
+
+@query(f"WITH {_SESSION_INDEX_SQL} SELECT doc_id, name, arg_max(doc_text, line_no) AS doc_text FROM idx WHERE doc_text IS NOT NULL GROUP BY doc_id, name")
+def func_docs(spark, sf):
+    return L.function_docs(L.function_index(T.session(spark, sf)))
 
 
 @query(f"WITH {_INDEX_SQL} SELECT doc_id, name, min(line_no) AS line_no FROM idx GROUP BY doc_id, name")
@@ -435,8 +442,7 @@ def command_positions(spark, sf):
 
 @query(f"{T.SHELL_SQL} SELECT doc_id, line_no FROM l WHERE line_no IN (2, 3, 23)")
 def setopt_lines(spark, sf):
-    lines = T.shell(spark, sf)
-    return FA.setopt_lines(lines, FA.facts_of_lines(lines))
+    return FA.setopt_lines(T.shell(spark, sf))
 
 
 #: Builtins for the token query.
@@ -467,12 +473,108 @@ def resolve_tokens(spark, sf):
     return R.resolve(tokens, records)
 
 
-@query()
+_POINTS_SQL = """, pt AS (SELECT s.*, unnest(range(0, length(text) + 1)) AS char_no FROM s),
+pw AS (SELECT *, regexp_extract(substr(text, 1, char_no), '[A-Za-z0-9_-]*$', 0) AS x, regexp_extract(substr(text, 1, char_no), '[A-Za-z0-9_-]*$', 0) || regexp_extract(substr(text, char_no + 1), '^[A-Za-z0-9_-]*', 0) AS run_ FROM pt),
+py AS (SELECT *, char_no - length(x) + length(regexp_extract(run_, '^-*', 0)) AS ws, ltrim(run_, '-') AS w0 FROM pw),
+pz AS (SELECT *, CASE WHEN char_no >= ws THEN w0 ELSE '' END AS word, EXISTS (SELECT 1 FROM sets WHERE sets.doc_id = py.doc_id AND line_start + char_no BETWEEN sets.a AND sets.b) AS in_set,
+    EXISTS (SELECT 1 FROM tst WHERE tst.doc_id = py.doc_id AND line_start + char_no BETWEEN tst.a AND tst.b) AS in_test FROM py)"""
+_HOVER_SQL = rf"""{T.SESSION_SQL}{_POINTS_SQL},
+ptok AS (SELECT *, CASE WHEN char_no < cut AND NOT regexp_matches(substr(text, char_no + 1, 1), '[\s;|&(){{}}<>]') THEN char_no - length(regexp_extract(substr(text, 1, char_no), '[^\s;|&(){{}}<>]*$', 0)) END AS ts,
+    CASE WHEN char_no < cut AND NOT regexp_matches(substr(text, char_no + 1, 1), '[\s;|&(){{}}<>]') THEN char_no + length(regexp_extract(substr(text, char_no + 1, cut - char_no), '^[^\s;|&(){{}}<>]*', 0)) END AS te FROM pz),
+p AS (SELECT *, substr(text, ts + 1, te - ts) AS tok FROM ptok),
+idx_s AS (SELECT doc_id, line_no, text, {_NAME_SQL} AS name, regexp_matches(text, '^\s*#') AS com FROM s),
+idx_g AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM idx_s WHERE com),
+idx_r AS (SELECT doc_id, min(line_no) AS a, max(line_no) AS b, string_agg(regexp_replace(text, '^\s*# ?', ''), chr(10) ORDER BY line_no) AS doc FROM idx_g GROUP BY doc_id, r),
+idx_d AS (SELECT i.doc_id, i.name, i.line_no, coalesce(nullif(u.doc, ''), nullif(d.doc, '')) AS doc FROM idx_s i LEFT JOIN idx_r u ON u.doc_id = i.doc_id AND u.b = i.line_no - 1 LEFT JOIN idx_r d ON d.doc_id = i.doc_id AND d.a = i.line_no + 1 WHERE name IS NOT NULL),
+docs AS (SELECT doc_id, name, arg_max(doc, line_no) AS doc FROM idx_d WHERE doc IS NOT NULL GROUP BY doc_id, name),
+rd(k, raw, id) AS (VALUES {T._values(T.SESSION_REDIRS)}),
+redirs AS (SELECT f.doc_id, f.line_no, min(pos) AS a, min(pos) + any_value(length(raw)) AS b, any_value(rd.id) AS id FROM f JOIN s USING (doc_id, line_no) JOIN rd USING (k) WHERE kind = 'redir' GROUP BY f.doc_id, f.line_no),
+substs AS (SELECT doc_id, line_no, arg_min(substr(word, 1, 2) || '...)', pos) AS id FROM f WHERE kind = 'process-subst' GROUP BY doc_id, line_no),
+sym AS (SELECT id, seq, length(id) AS n FROM kn WHERE category = 'cond_op' AND regexp_matches(id, '[\s;|&(){{}}<>]')),
+hit AS (SELECT doc_id, line_no, char_no, id, seq, n, char_no - d AS a FROM p, sym, (SELECT unnest(range(0, 8)) AS d) WHERE d < n AND char_no - d >= 0 AND char_no - d + n <= cut AND char_no < cut AND substr(text, char_no - d + 1, n) = id
+    AND (char_no = d OR regexp_matches(substr(text, char_no - d, 1), '[\s\[\]]')) AND (char_no - d + n = length(text) OR regexp_matches(substr(text, char_no - d + n + 1, 1), '[\s\[\]]'))),
+sy AS (SELECT doc_id, line_no, char_no, arg_min(id, (-n, seq, a)) AS id, arg_min(a, (-n, seq, a)) AS a, arg_min(a + n, (-n, seq, a)) AS b FROM hit GROUP BY ALL),
+kinds AS (SELECT DISTINCT doc_id, line_no, kind, word FROM f),
+raw AS (SELECT p.doc_id, p.line_no, p.char_no, ts, te, p.ws, p.ws + length(p.word) AS we,
+    CASE WHEN in_set THEN coalesce((SELECT id FROM op WHERE id = lower(replace(tok, '_', ''))), (SELECT id FROM op WHERE regexp_matches(tok, '(?i)^no_?') AND id = lower(replace(regexp_replace(tok, '(?i)^no_?', ''), '_', ''))), (SELECT id FROM fl WHERE flag = tok)) END AS o,
+    CASE WHEN in_test AND NOT in_set THEN CASE WHEN tok IS NOT NULL THEN (SELECT id FROM kn WHERE category = 'cond_op' AND id = tok) ELSE sy.id END END AS c, tok IS NULL AS c_sym, sy.a AS sa, sy.b AS sb,
+    CASE WHEN p.ws < cut THEN docs.name END AS fn, docs.doc, CASE WHEN p.ws < cut AND word <> '' THEN (SELECT id FROM kn WHERE category = 'shell_param' AND id = word) END AS pa,
+    CASE WHEN EXISTS (SELECT 1 FROM kinds g WHERE g.doc_id = p.doc_id AND g.line_no = p.line_no AND kind = 'precmd' AND g.word = tok) THEN (SELECT id FROM kn WHERE category = 'precmd' AND id = tok) END AS pr,
+    CASE WHEN EXISTS (SELECT 1 FROM kinds g WHERE g.doc_id = p.doc_id AND g.line_no = p.line_no AND kind = 'cmd-head' AND g.word = tok) THEN (SELECT id FROM kn WHERE category = 'builtin' AND id = tok) END AS bu,
+    CASE WHEN p.char_no >= redirs.a AND p.char_no < redirs.b THEN redirs.id END AS re, redirs.a AS ra, redirs.b AS rb, substs.id AS ps,
+    CASE WHEN EXISTS (SELECT 1 FROM kinds g WHERE g.doc_id = p.doc_id AND g.line_no = p.line_no AND kind = 'reserved-word' AND g.word = tok) THEN tok END AS rw
+    FROM p LEFT JOIN sy USING (doc_id, line_no, char_no) LEFT JOIN docs ON docs.doc_id = p.doc_id AND docs.name = p.word LEFT JOIN redirs ON redirs.doc_id = p.doc_id AND redirs.line_no = p.line_no LEFT JOIN substs ON substs.doc_id = p.doc_id AND substs.line_no = p.line_no),
+words AS (SELECT *, (SELECT id FROM kn WHERE category = 'complex_command' AND id = rw) AS cc, (SELECT id FROM kn WHERE category = 'reserved_word' AND id = rw) AS rs FROM raw),
+pick AS (SELECT *, CASE WHEN o IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN fn IS NOT NULL THEN 3 WHEN pa IS NOT NULL THEN 4 WHEN pr IS NOT NULL THEN 5 WHEN bu IS NOT NULL THEN 6 WHEN re IS NOT NULL THEN 7 WHEN ps IS NOT NULL THEN 8 WHEN cc IS NOT NULL THEN 9 WHEN rs IS NOT NULL THEN 10 END AS w FROM words)
+SELECT doc_id, line_no, char_no, CASE WHEN w = 3 THEN 'function' WHEN w IS NOT NULL THEN 'corpus' END AS source, CASE w WHEN 1 THEN 'option' WHEN 2 THEN 'cond_op' WHEN 4 THEN 'shell_param' WHEN 5 THEN 'precmd' WHEN 6 THEN 'builtin' WHEN 7 THEN 'redir' WHEN 8 THEN 'process_subst' WHEN 9 THEN 'complex_command' WHEN 10 THEN 'reserved_word' END AS category,
+    CASE w WHEN 1 THEN o WHEN 2 THEN c WHEN 3 THEN fn WHEN 4 THEN pa WHEN 5 THEN pr WHEN 6 THEN bu WHEN 7 THEN re WHEN 8 THEN ps WHEN 9 THEN cc WHEN 10 THEN rs END AS id,
+    CASE WHEN w IN (3, 4) THEN ws WHEN w = 7 THEN ra WHEN w = 2 AND c_sym THEN sa WHEN w IS NOT NULL THEN ts END AS start, CASE WHEN w IN (3, 4) THEN we WHEN w = 7 THEN rb WHEN w = 2 AND c_sym THEN sb WHEN w IS NOT NULL THEN te END AS "end", CASE WHEN w = 3 THEN doc END AS body FROM pick"""
+
+
+def _columns(lines):
+    """Every place of every line."""
+    return lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("char_no"))
+
+
+def _session(spark, sf):
+    lines = T.session(spark, sf)
+    return lines, _columns(lines), FA.analyzed(lines).where("kind = 'ctx'")
+
+
+@query(f"""{T.SESSION_SQL} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1 AS seq, kind, pos AS span_start, pos + length(word) AS span_end, word AS text FROM f""")
+def session_facts(spark, sf):
+    return FA.facts_of_lines(T.session(spark, sf)).select("doc_id", "line_no", "seq", "kind", "span_start", "span_end", "text")
+
+
+@query(_HOVER_SQL)
+def hover_at(spark, sf):
+    lines, points, contexts = _session(spark, sf)
+    return editor.hovered(points, lines, contexts, *T.known(spark, sf))
+
+
+@query(_HOVER_SQL[: _HOVER_SQL.index("kinds AS (")].rstrip().rstrip(",") + """
+SELECT p.doc_id, p.line_no, p.char_no, sy.id, sy.a AS start, sy.b AS "end" FROM p LEFT JOIN sy USING (doc_id, line_no, char_no)""")
+def symbol_at(spark, sf):
+    lines = T.session(spark, sf)
+    symbols = T.known(spark, sf)[0].where("category = 'cond_op'").where(F.col("id").rlike(f"[{FA.TOKEN_ENDS}]"))
+    return editor.longest_symbol_at(_columns(lines), editor.symbol_spans(lines, symbols))
+
+
+_ROUTE_SQL = "CASE WHEN in_set THEN 'setopt' WHEN in_test THEN 'cond' ELSE 'general' END"
+
+
+@query(f"{T.SESSION_SQL}{_POINTS_SQL} SELECT doc_id, line_no, char_no, {_ROUTE_SQL} AS route, word AS typed FROM pz")
+def completion_routes(spark, sf):
+    lines, points, contexts = _session(spark, sf)
+    return editor.routed(points, lines, contexts)
+
+
+_TYPED = "lower(replace(typed, '_', ''))"
+
+
+@query(rf"""{T.SESSION_SQL}{_POINTS_SQL}, ask AS (SELECT DISTINCT doc_id, {_ROUTE_SQL} AS route, word AS typed FROM pz),
+tk AS (SELECT doc_id, line_no, [x FOR x IN regexp_split_to_array(text, '\s+') IF regexp_matches(x, '^[A-Za-z0-9_][A-Za-z0-9_-]*$')] AS ws FROM s),
+tp AS (SELECT doc_id, line_no, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM tk),
+used AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY min(line_no * 1000 + pos)) - 1 AS seq FROM tp GROUP BY doc_id, token)
+SELECT doc_id, route, typed, 0 AS part, seq, id AS label, category, id FROM ask, op WHERE route = 'setopt' AND starts_with(id, {_TYPED})
+UNION ALL SELECT doc_id, route, typed, 1, seq, 'no_' || id, category, id FROM ask, op WHERE route = 'setopt' AND starts_with('no' || id, {_TYPED})
+UNION ALL SELECT doc_id, route, typed, 0, seq, id, category, id FROM ask, kn WHERE route = 'cond' AND category = 'cond_op'
+UNION ALL SELECT doc_id, route, typed, list_position(['builtin', 'reserved_word', 'precmd', 'shell_param'], category), seq, id, category, id FROM ask, kn WHERE route = 'general' AND category IN ('builtin', 'reserved_word', 'precmd', 'shell_param') AND regexp_matches(id, '^[A-Za-z0-9_][A-Za-z0-9_-]*$') AND starts_with(id, typed) AND id <> typed
+UNION ALL SELECT doc_id, route, typed, 0, seq, token, 'document', NULL FROM ask JOIN used USING (doc_id) WHERE route = 'general' AND starts_with(token, typed) AND token <> typed""")
 def completion_items(spark, sf):
-    lines = T.scripts(spark, sf)
-    points = lines.select("doc_id", (F.col("line_start") + 1).alias("offset"), F.substring("text", 1, 1).alias("typed"))
-    names = spark.createDataFrame([("builtin", "echo"), ("builtin", "source"), ("reserved_word", "function"), ("option", "autoview"), ("cond_op", "-f")], "category string, id string")
-    return editor.completions(points, FA.analyzed(lines), lines, names)
+    lines, points, contexts = _session(spark, sf)
+    return editor.completions(editor.routed(points, lines, contexts), lines, T.known(spark, sf)[0])
+
+
+_EDITOR_WORD_SQL = (r"-?\d*\.\d\w*|[^" + "".join("\\" + c for c in L.SEPARATORS) + r"\s]+").replace("'", "''")
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+q AS (SELECT doc_id, line_no, regexp_extract_all(text, '{_EDITOR_WORD_SQL}|[\s\S]') AS ps FROM l), u AS (SELECT doc_id, line_no, unnest(ps) AS word, generate_subscripts(ps, 1) AS i FROM q),
+v AS (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS upto FROM u)
+SELECT doc_id, line_no::BIGINT AS line_no, (upto - length(word))::BIGINT AS start, upto::BIGINT AS "end", word FROM v WHERE regexp_full_match(word, '{_EDITOR_WORD_SQL}')""")
+def editor_words(spark, sf):
+    return L.editor_words(L.doc_lines(T.table(spark, sf, "documents")))
 
 
 #: A manual made of nations and regions: a section a region, an entry a nation, every third as a name for the next one.

@@ -48,43 +48,114 @@ LINES = (
 )
 
 
-def _line(number, kind, user):
-    out = None
-    for k, pattern in enumerate(LINES):
-        text, parts = pattern.replace("{{", "\0").replace("}}", "\1"), []
-        while text:
-            at = min((i for i in (text.find("{t}"), text.find("{u}")) if i >= 0), default=len(text))
-            if at:
-                parts.append(F.lit(text[:at].replace("\0", "{").replace("\1", "}")))
-            if at < len(text):
-                parts.append(kind if text[at : at + 3] == "{t}" else user)
-            text = text[at + 3 :]
-        value = F.concat(*parts) if parts else F.lit("")
-        out = F.when(number % len(LINES) == k, value) if out is None else out.when(number % len(LINES) == k, value)
-    return out
-
-
-def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line(lines, number, kind, user):
+    patterns = F.array(*[F.lit(x.replace("{{", "{").replace("}}", "}")) for x in lines])
+    return F.replace(F.replace(F.get(patterns, (number % len(lines)).cast("int")), F.lit("{t}"), kind), F.lit("{u}"), user)
+
+
+def scripts(spark: SparkSession, sf_dir: str, lines=LINES) -> DataFrame:
     """(doc_id, line_no, line_start, text): a script of each user, a line an event."""
     events = table(spark, sf_dir, "events")
-    rows = events.select(F.col("user_id").alias("doc_id"), "event_id", _line(F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")).alias("text"))
+    rows = events.select(F.col("user_id").alias("doc_id"), "event_id", _line(lines, F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")).alias("text"))
     w = Window.partitionBy("doc_id").orderBy("event_id")
     rows = rows.withColumn("line_no", (F.row_number().over(w) - 1).cast("long"))
     start = F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return rows.select("doc_id", "line_no", start.alias("line_start"), "text")
 
 
-def _line_sql() -> str:
+def _line_sql(lines) -> str:
     cases = []
-    for k, pattern in enumerate(LINES):
+    for k, pattern in enumerate(lines):
         text = pattern.replace("{{", "\0").replace("}}", "\1").replace("'", "''")
         text = "'" + text.replace("{t}", "' || event_type || '").replace("{u}", "' || CAST(user_id AS VARCHAR) || '") + "'"
         cases.append(f"WHEN {k} THEN {text}".replace("\0", "{").replace("\1", "}"))
-    return f"CASE event_id % {len(LINES)} {' '.join(cases)} END"
+    return f"CASE event_id % {len(lines)} {' '.join(cases)} END"
+
+
+def scripts_sql(lines=LINES) -> str:
+    return f"""SELECT user_id AS doc_id, row_number() OVER w - 1 AS line_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start, text
+FROM (SELECT user_id, event_id, {_line_sql(lines)} AS text FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+
+
+SCRIPTS_SQL = scripts_sql()
+
+#: Lines of the sessions, which the editor queries are asked on; no quotes stay open at a line's end.
+SESSION = (
+    "# about {t} of {u}",
+    "#",
+    "{t}_run() {{ echo '{t} # no' }}",
+    "source ./lib_{u}.zsh # load {t}",
+    "setopt auto_{t} -J +K \\  ",
+    "  no_AUTO_{t} HOME # x \\",
+    "noglob command {t}_run --user {u}",
+    "function {t}-all",
+    "if [[ -f /tmp/{u} && a < b ]]; then {t}_run; fi",
+    "echo {t} 2>&1 | cat > out",
+    ". $HOME/{t}; . {t}.zsh",
+    "",
+    "f( ) x",
+    "diff <({t} a) =(b) >>log",
+    "[[ ! ( -e {t} || {t} -nt x ) ]]",
+    "(( {u} < 3 )) && cat ={u} >&p",
+    "unsetopt {t} -J;cat",
+    "exec -a {t} builtin {t}_run",
+    "[ a && b ] || test -f {t}",
+    "[[ a <= b]] && [[ <]]",
+    "  # see {t}-all",
+)
+#: What stands where in them, found by hand: line, kind of fact, what stands before, the text.
+SESSION_FACTS = (
+    (2, "reserved-word", "{t}_run() ", "{"), (2, "cmd-head", "{t}_run() { ", "echo"),
+    (3, "cmd-head", "", "source"),
+    (4, "cmd-head", "", "setopt"),
+    (5, "cmd-head", "  ", "no_AUTO_{t}"),
+    (6, "precmd", "", "noglob"), (6, "precmd", "noglob ", "command"), (6, "cmd-head", "noglob command ", "{t}_run"),
+    (7, "reserved-word", "", "function"),
+    (8, "reserved-word", "", "if"), (8, "reserved-word", "if ", "[["), (8, "cmd-head", "if [[ -f /tmp/{u} && ", "a"), (8, "redir", "if [[ -f /tmp/{u} && a ", "<"),
+    (8, "reserved-word", "if [[ -f /tmp/{u} && a < b ]]; ", "then"), (8, "cmd-head", "if [[ -f /tmp/{u} && a < b ]]; then ", "{t}_run"), (8, "reserved-word", "if [[ -f /tmp/{u} && a < b ]]; then {t}_run; ", "fi"),
+    (9, "cmd-head", "", "echo"), (9, "redir", "echo {t} ", "2>&"), (9, "cmd-head", "echo {t} 2>&1 | ", "cat"), (9, "redir", "echo {t} 2>&1 | cat ", ">"),
+    (10, "cmd-head", "", "."), (10, "cmd-head", ". $HOME/{t}; ", "."),
+    (12, "cmd-head", "", "f"), (12, "cmd-head", "f( ) ", "x"),
+    (13, "cmd-head", "", "diff"), (13, "process-subst", "diff ", "<({t} a)"), (13, "process-subst", "diff <({t} a) ", "=(b)"), (13, "redir", "diff <({t} a) =(b) ", ">>"),
+    (14, "reserved-word", "", "[["), (14, "cmd-head", "[[ ! ( ", "-e"), (14, "cmd-head", "[[ ! ( -e {t} || ", "{t}"),
+    (15, "reserved-word", "", "(("), (15, "reserved-word", "(( {u} < 3 ", "))"), (15, "cmd-head", "(( {u} < 3 )) && ", "cat"), (15, "redir", "(( {u} < 3 )) && cat ={u} ", ">&"),
+    (16, "cmd-head", "", "unsetopt"), (16, "cmd-head", "unsetopt {t} -J;", "cat"),
+    (17, "precmd", "", "exec"), (17, "precmd", "exec -a {t} ", "builtin"), (17, "cmd-head", "exec -a {t} builtin ", "{t}_run"),
+    (18, "cmd-head", "", "["), (18, "cmd-head", "[ a && ", "b"), (18, "cmd-head", "[ a && b ] || ", "test"),
+    (19, "reserved-word", "", "[["), (19, "redir", "[[ a ", "<"), (19, "reserved-word", "[[ a <= b]] && ", "[["), (19, "redir", "[[ a <= b]] && [[ ", "<"),
+)
+#: Tests in them: line, what stands before, and what stands up to the end.
+SESSION_TESTS = (
+    (8, "if ", "if [[ -f /tmp/{u} && a < b ]]"), (14, "", "[[ ! ( -e {t} || {t} -nt x ) ]]"), (18, "", "[ a && b ]"), (18, "[ a && b ] || ", "[ a && b ] || test -f {t}"),
+    (19, "", "[[ a <= b]]"), (19, "[[ a <= b]] && ", "[[ a <= b]] && [[ <]]"),
+)
+#: Lines that set options, and lines that go on.
+SESSION_SETS, SESSION_OPEN = (4, 16), (4, 5)
+#: The first redirection of a line with what follows it, and what it is.
+SESSION_REDIRS = ((8, "<", "< word"), (9, "2>&1", ">& number"), (13, ">>log", ">> word"), (15, ">&p", ">& p"), (19, "<=", "< word"))
+#: Names known in the editor queries; options come from the table.
+KNOWN = {
+    "builtin": ("echo", "source", "cat", ".", "setopt", "unsetopt", "test", "[", "diff"), "precmd": ("noglob", "command", "exec", "builtin"), "shell_param": ("HOME", "x"),
+    "cond_op": ("-f", "-e", "<", "<=", "=", "-nt", "&&", "||", "!", "( -e", "a"), "redir": ("< word", "> word", ">> word", ">& number", ">& p"), "process_subst": ("<(...)", ">(...)", "=(...)"),
+    "complex_command": ("if", "[[", "function", "(("), "reserved_word": ("if", "then", "fi", "[[", "{", "function"),
+}
+
 
+def session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts(spark, sf_dir, SESSION)
 
-SCRIPTS_SQL = f"""SELECT user_id AS doc_id, row_number() OVER w - 1 AS line_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start, text
-FROM (SELECT user_id, event_id, {_line_sql()} AS text FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+
+def known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(category, id, seq, group_op) of KNOWN and an option `auto<type>` for every event type, and (id, flags) of the options: the first has -J, the last +K, all have +J."""
+    names = [(c, x, i, x.split(" ")[0] if c == "redir" else None) for c, listed in KNOWN.items() for i, x in enumerate(listed)]
+    types = table(spark, sf_dir, "events").select("event_type").distinct()
+    seq = F.row_number().over(Window.orderBy("event_type")) - 1  # a handful of types
+    options = types.select(F.lit("option").alias("category"), F.concat(F.lit("auto"), "event_type").alias("id"), seq.cast("long").alias("seq"), F.lit(None).cast("string").alias("group_op"))
+    ends = options.agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    flag = lambda char, on: F.struct(F.lit(char).alias("char"), F.lit(on).alias("on"))
+    first, last = F.col("id") == F.col("a"), F.col("id") == F.col("b")
+    flags = options.join(F.broadcast(ends)).select("id", F.concat(F.array(flag("J", "+")), F.when(first, F.array(flag("J", "-"))).otherwise(F.array()), F.when(last, F.array(flag("K", "+"))).otherwise(F.array())).alias("flags"))
+    return spark.createDataFrame(names, "category string, id string, seq long, group_op string").unionByName(options), flags
 
 
 #: A script that every event is a document of, by line; `{t}` stands for the event's type and `{u}` for its user.
@@ -211,3 +282,19 @@ tf(nth, line_no, kind, before, tpl, strength, precmds) AS (VALUES {_values((k, *
 f AS (SELECT doc_id, nth, l.line_no, kind, line_start, l.text AS line, length({_FILLED("before")})::BIGINT AS pos, {_FILLED("tf.tpl")} AS word, strength, precmds FROM l JOIN tf ON l.line_no = tf.line_no),
 tc(nth, ctx, la, ba, lb, bb) AS (VALUES {_values((k, *r) for k, r in enumerate(SHELL_CONTEXTS))}),
 c AS (SELECT a.doc_id, nth, ctx, a.line_start + length(replace(replace(ba, '{{t}}', a.event_type), '{{u}}', CAST(a.user_id AS VARCHAR)))::BIGINT AS span_start, b.line_start + length(replace(replace(bb, '{{t}}', b.event_type), '{{u}}', CAST(b.user_id AS VARCHAR)))::BIGINT AS span_end FROM tc JOIN l a ON a.line_no = la JOIN l b ON b.line_no = lb AND b.doc_id = a.doc_id)"""
+
+_T = "replace(replace({}, '{{t}}', event_type), '{{u}}', CAST(doc_id AS VARCHAR))".format
+_CUT_AT = r"""^((?:[^#'"`\\]|\\.|'[^']*'|"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`)*)#""".replace("'", "''")
+#: CTEs: `s`, the lines with their pattern `k` and end of code `cut`; `f`, the facts; `tst`, the tests, `sets`, the runs that set options, both by document and offset; `kn`, the names; `fl`, single-letter flags.
+SESSION_SQL = f"""WITH s0 AS (SELECT user_id AS doc_id, event_id, event_type, event_id % {len(SESSION)} AS k, {_line_sql(SESSION)} AS text FROM events),
+s1 AS (SELECT *, row_number() OVER w - 1 AS line_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start,
+    CASE WHEN regexp_matches(text, '{_CUT_AT}') THEN length(regexp_extract(text, '{_CUT_AT}', 1)) ELSE length(text) END AS cut FROM s0 WINDOW w AS (PARTITION BY doc_id ORDER BY event_id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY line_no) IN {SESSION_OPEN} THEN 0 ELSE 1 END AS opens FROM s1)),
+tf(k, kind, before, tpl) AS (VALUES {_values(SESSION_FACTS)}),
+f AS (SELECT doc_id, line_no, kind, length({_T("before")}) AS pos, {_T("tpl")} AS word FROM s JOIN tf USING (k)),
+tt(k, before, upto) AS (VALUES {_values(SESSION_TESTS)}),
+tst AS (SELECT doc_id, line_start + length({_T("before")}) AS a, line_start + length({_T("upto")}) AS b FROM s JOIN tt USING (k)),
+sets AS (SELECT doc_id, min(line_start) AS a, arg_max(line_start + cut, line_no) AS b FROM s GROUP BY doc_id, run HAVING arg_min(k, line_no) IN {SESSION_SETS}),
+op AS (SELECT 'option' AS category, 'auto' || event_type AS id, row_number() OVER (ORDER BY event_type) - 1 AS seq FROM (SELECT DISTINCT event_type FROM events)),
+kn AS (SELECT * FROM (VALUES {_values((c, x, i) for c, listed in KNOWN.items() for i, x in enumerate(listed))}) v(category, id, seq) UNION ALL SELECT * FROM op),
+fl AS (SELECT '-J' AS flag, min(id) AS id FROM op UNION ALL SELECT '+K', max(id) FROM op)"""

@@ -261,6 +261,7 @@ SHELL_CONTEXTS = (
 def shell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, line_start, text): the script of each event."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", F.col("user_id").cast("string").alias("user_id"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # a row becomes a document, so more tasks than files
     lines = F.array(*[F.lit(x) for x in SHELL])
     filled = F.transform(lines, lambda x: F.replace(F.replace(x, F.lit("{t}"), F.col("event_type")), F.lit("{u}"), F.col("user_id")))
     rows = rows.select("doc_id", filled.alias("_lines")).select("doc_id", "_lines", F.posexplode("_lines").alias("_at", "text"))

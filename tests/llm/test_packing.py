@@ -113,3 +113,12 @@ def test_the_program_is_solved_at_every_size(monkeypatch):
         packing.plan({int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True), strict=True)})
         assert calls
         calls.clear()
+
+
+def test_never_more_sequences_than_largest_first_alone():
+    rng = np.random.default_rng(5)
+    for n, times in ((300, 1), (3000, 1), (3000, 100)):
+        lengths = np.minimum(1023, np.maximum(2, rng.lognormal(6.3, 0.6, n).astype(int)))
+        histogram = {int(a): int(b) * times for a, b in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        alone = sum(t for _, t in packing.filled(sorted(histogram), dict(histogram), 1024))
+        assert sum(t for _, t in packing.plan(histogram)) <= alone

@@ -37,11 +37,12 @@ def first_wins(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return kept.select(*keys, seq, *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
-def merged_duplicates(rows: DataFrame, key: str, seq: str, kind: str, text: str, merged_kind: str) -> DataFrame:
+def merged_duplicates(rows: DataFrame, key: str | list[str], seq: str, kind: str, text: str, merged_kind: str) -> DataFrame:
     """One row a key: a key seen again becomes `merged_kind`, its texts joined by a blank line in order."""
     ordered = F.array_sort(F.collect_list(F.struct(seq, text)))
-    one = rows.groupBy(key).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("_n"), F.min_by(kind, seq).alias("_kind"), ordered.alias("_all"))
-    return one.select(key, seq, F.when(F.col("_n") > 1, merged_kind).otherwise(F.col("_kind")).alias(kind), F.array_join(F.transform("_all", lambda x: x[text]), "\n\n").alias(text))
+    key = [key] if isinstance(key, str) else key
+    one = rows.groupBy(*key).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("_n"), F.min_by(kind, seq).alias("_kind"), ordered.alias("_all"))
+    return one.select(*key, seq, F.when(F.col("_n") > 1, merged_kind).otherwise(F.col("_kind")).alias(kind), F.array_join(F.transform("_all", lambda x: x[text]), "\n\n").alias(text))
 
 
 def display_of(category: Column, id_: Column, display: Column) -> Column:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 #: Macros that stand for a character.
 CHARACTERS = {"AMP": "&", "DASH": "-", "HASH": "#", "LPAR": "(", "LSQUARE": "[", "PIPE": "|", "PLUS": "+", "RPAR": ")", "RSQUARE": "]", "SPACES": " "}
 #: Macros without text of their own.
@@ -203,13 +205,13 @@ def tokens(nodes: list) -> list[tuple[str, str]]:
 
 TOKENS = "array<struct<kind:string,text:string>>"
 SCHEMA = (
-    f"file string, pos long, kind string, header string, header_plain string, header_tokens {TOKENS}, indented boolean, body string, body_plain string, body_tokens {TOKENS}, "
+    f"manual string, file string, pos long, kind string, header string, header_plain string, header_tokens {TOKENS}, indented boolean, body string, body_plain string, body_tokens {TOKENS}, "
     "second string, section string, sect string, first_section boolean, first_sect boolean, item_depth int, sitem_depth int, item_list int, sitem_list int, item_list_sect int, sitem_list_sect int, sitem_list_file int"
 )
 
 
-def entries_of(file: str, source: str) -> Iterator[dict]:
-    """The rows of a file. Lists are numbered from 1 since the last heading, the last `sect` and the file's start."""
+def entries_of(file: str, source: str, manual: str = "") -> Iterator[dict]:
+    """The rows of a file of a manual. Lists are numbered from 1 since the last heading, the last `sect` and the file's start."""
     wrong, right = FIXES.get(file.rpartition("/")[2], ("", ""))
     nodes = parse(source.replace(wrong, right) if wrong else source)
     section = sect = ""
@@ -255,7 +257,7 @@ def entries_of(file: str, source: str) -> Iterator[dict]:
         whole = n.name in ("tt", "var") or n.name not in ("sect", "subsect", "item", "sitem", "xitem", "alias", "module", "zlecmd")
         head = [n] if whole else arg(0)
         yield {
-            "file": file, "pos": pos, "kind": "text" if whole else n.name, "header": header_text(head), "header_plain": plain(head), "header_tokens": tokens(head),
+            "manual": manual, "file": file, "pos": pos, "kind": "text" if whole else n.name, "header": header_text(head), "header_plain": plain(head), "header_tokens": tokens(head),
             "indented": bool(head) and isinstance(head[0], Macro) and head[0].name == "SPACES",
             "body": None if body is None else body_text(plain(body)), "body_plain": None if body is None else plain(body), "body_tokens": None if body is None else tokens(body),
             "second": header_text(arg(1)) if n.name in ("alias", "module") else None, "section": section, "sect": sect, "first_section": first_section, "first_sect": first_sect,
@@ -265,28 +267,45 @@ def entries_of(file: str, source: str) -> Iterator[dict]:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """Entry rows of files (file, value); the parser takes one file at a time."""
+    """Entry rows of files (file, value), and of which manual if they say so; the parser takes one file at a time."""
     names = [x.split(" ")[0] for x in SCHEMA.replace(TOKENS, "tokens").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for file, value in zip(batch["file"], batch["value"], strict=True) for row in entries_of(file, value or "")]
+            rows = [row for manual, file, value in zip(batch["manual"], batch["file"], batch["value"], strict=True) for row in entries_of(file, value or "", manual)]
             for row in rows:
                 for c in ("header_tokens", "body_tokens"):
                     row[c] = None if row[c] is None else [{"kind": k, "text": t} for k, t in row[c]]
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return files.select("file", "value").mapInPandas(run, SCHEMA)
+    manual = F.col("manual").cast("string") if "manual" in files.columns else F.lit("")
+    return files.select(manual.alias("manual"), "file", "value").mapInPandas(run, SCHEMA)
+
+
+def entry_table(files: DataFrame) -> DataFrame:
+    """The entries of files as a written table, a folder a file name: every file is parsed once, and each reader's filter on `file` prunes the folders that it does not need."""
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["manual", "file"] if "manual" in files.columns else ["file"]
+    return stored(entries(files.repartition(tasks, *keys)), "entries", ["file"])
 
 
 def read_manual(spark: SparkSession, path: str) -> DataFrame:
     """(file, value) of a folder of manual files."""
-    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.yo")
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
+    return read_manuals(spark, path).drop("manual")
+
+
+def read_manuals(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """(manual, file, value) of the manual files in a folder or, by a pattern, in several; a manual is named by its folder. `files` are the only names that are read.
+
+    Spark's own reader plans the files and so reaches every store that Spark reads; the filter is on file names, so other files are not opened.
+    """
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.yo").select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"))
+    rows = rows.where(F.col("file").isin(files)) if files else rows
+    return rows.select(F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1).alias("manual"), "file", "value")
 
 
-def alias_groups(rows: DataFrame, head: Column, scope: tuple[str, ...] = ("file",)) -> DataFrame:
+def alias_groups(rows: DataFrame, head: Column, scope: tuple[str, ...] = ("manual", "file")) -> DataFrame:
     """Entries under the next one that has a body: rows + `_head`, `_group` (its position), `_place` (0 the entry with the body, then its aliases in order).
 
     A row without a head ends a run; entries that no body follows are dropped.
@@ -305,8 +324,8 @@ def alias_groups(rows: DataFrame, head: Column, scope: tuple[str, ...] = ("file"
 
 
 def section_extents(rows: DataFrame) -> DataFrame:
-    """(file, level, name, start, end): headings and where they end: at the next of either level, or the next `sect`."""
+    """(manual, file, level, name, start, end, sect_end): headings and where they end: at the next of either level, or the next `sect`."""
     heads = rows.where(F.col("kind").isin("sect", "subsect"))
-    order = Window.partitionBy("file").orderBy("pos")
+    order = Window.partitionBy("manual", "file").orderBy("pos")
     sect_after = F.first(F.when(F.col("kind") == "sect", F.col("pos")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    return heads.select("file", F.col("kind").alias("level"), F.col("section").alias("name"), F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), F.when(F.col("kind") == "sect", sect_after).alias("sect_end"))
+    return heads.select("manual", "file", F.col("kind").alias("level"), F.col("section").alias("name"), F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), F.when(F.col("kind") == "sect", sect_after).alias("sect_end"))

@@ -32,11 +32,12 @@ def _said(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value)
 
 
-def option_refs(rows: DataFrame, key: list[str], column: str, names: DataFrame) -> DataFrame:
-    """`rows` with the option names in `column` set bold, outside fences, code spans and parameter references. names: (id).
+def option_refs(rows: DataFrame, key: list[str], column: str, names: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """`rows` with the option names in `column` set bold, outside fences, code spans and parameter references. names: (id), or (within, id), the names of each `within`.
 
-    Texts become words and gaps; words that look like options meet the names by equality, with and without a leading no.
+    Texts become words and gaps; words that look like options meet the names by equality, with and without a leading no. The work is linear in a text.
     """
+    within = within or []
     lines = rows.select(*key, F.posexplode(F.split(column, "\n", -1)).alias("_line", "_text"))
     w = Window.partitionBy(*key).orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
     fence = F.startswith("_text", F.lit("```"))
@@ -45,14 +46,20 @@ def option_refs(rows: DataFrame, key: list[str], column: str, names: DataFrame)
     is_code = lambda p: p.startswith("`") & p.endswith("`") & (F.length(p) > 2)
     cut = lambda p: F.when(is_code(p), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1)))
     bits = F.when(F.col("_fenced"), F.array("_text")).otherwise(F.flatten(F.transform(pieces, cut)))
-    long = lines.select(*key, "_line", "_fenced", bits.alias("_bits")).select(*key, "_line", "_fenced", "_bits", F.posexplode_outer("_bits").alias("_at", "_bit"))
-    before = F.get("_bits", F.col("_at") - 1)
-    looks = ~F.col("_fenced") & F.col("_bit").rlike("^[A-Z][A-Z0-9_]*$") & ~F.coalesce(before.endswith("$") | before.endswith("${"), F.lit(False))
-    long = long.withColumn("_k1", F.when(looks, option_name("_bit"))).withColumn("_k2", F.when(looks & F.col("_bit").rlike("^NO_?"), option_name(F.regexp_replace("_bit", "^NO_?", "")))).drop("_bits")
-    known = names.select(F.col("id")).distinct()
-    long = long.join(known.select(F.col("id").alias("_k1"), F.lit(1).alias("_h1")), "_k1", "left").join(known.select(F.col("id").alias("_k2"), F.lit(1).alias("_h2")), "_k2", "left")
-    shown = F.when(F.col("_h1").isNotNull() | F.col("_h2").isNotNull(), F.concat(F.lit("**`"), "_bit", F.lit("`**"))).otherwise(F.coalesce("_bit", F.lit("")))
-    per_line = long.withColumn("_s", shown).groupBy(*key, "_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda x: x["_s"]), "").alias("_s"))
+    long = lines.select(*key, "_line", "_fenced", F.posexplode_outer(bits).alias("_at", "_bit"))
+    before = F.lag("_bit").over(Window.partitionBy(*key).orderBy("_line", "_at"))
+    apart = (F.coalesce("_at", F.lit(0)) == 0) | ~F.coalesce(before.endswith("$") | before.endswith("${"), F.lit(False))
+    looks = ~F.col("_fenced") & F.col("_bit").rlike("^[A-Z][A-Z0-9_]*$") & F.col("_apart")
+    long = long.withColumn("_apart", apart)
+    long = long.withColumn("_k1", F.when(looks, option_name("_bit"))).withColumn("_k2", F.when(looks & F.col("_bit").rlike("^NO_?"), option_name(F.regexp_replace("_bit", "^NO_?", ""))))
+    known = names.select(*within, "id").distinct()
+    # One join finds both forms: a word is listed once for each name that it may be, and most words for none.
+    maybe = long.where("_k1 IS NOT NULL").select(*within, F.col("_bit").alias("_word"), F.explode(F.array_compact(F.array("_k1", "_k2"))).alias("id")).distinct()
+    hits = maybe.join(known, [*within, "id"]).select(*within, F.col("_word").alias("_bit"), F.lit(True).alias("_hit")).distinct()
+    long = long.join(hits, [*within, "_bit"], "left")
+    shown = F.when(F.col("_hit") & F.col("_k1").isNotNull(), F.concat(F.lit("**`"), "_bit", F.lit("`**"))).otherwise(F.coalesce("_bit", F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", shown.alias("_s"))))
+    per_line = long.groupBy(*key, "_line").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("_s"))
     text = per_line.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_s"))), lambda x: x["_s"]), "\n").alias("_new"))
     return rows.join(text, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
@@ -65,9 +72,13 @@ def _args() -> Column:
     return F.when(F.size("args") > 0, F.concat(F.lit(" (args: "), F.array_join("args", ", "), F.lit(")"))).otherwise("")
 
 
-def markdown(category: str) -> Column:
-    """A record's markdown, from the columns of its collection (options also need `alias_display`)."""
-    desc = F.col("desc") if category not in ("process_subst", "reserved_word") else None
+#: Stands for a description that is filled in later; no manual holds this character.
+SLOT = "\0"
+
+
+def markdown(category: str, desc: Column | None = None) -> Column:
+    """A record's markdown, from the columns of its collection (options also need `alias_display`); `desc` instead of its description, where it has one."""
+    desc = (F.col("desc") if desc is None else F.when(F.col("desc").isNotNull(), desc)) if category not in ("process_subst", "reserved_word") else None
     title = code(EXTRACTORS[category][1])
     if category == "option":
         name = F.lower("display")
@@ -127,20 +138,32 @@ def _labelled(command: str, arg: Column, state: str) -> Column:
 
 
 def rendered(entries: DataFrame) -> DataFrame:
-    """(category, id, seq, display, markdown) of all records."""
-    names = EXTRACTORS["option"][0](entries).select(F.col("name").alias("id"), "display")
+    """(manual, category, id, seq, display, markdown) of all records.
+
+    The descriptions of all collections meet the options' names together: one pass over their words, whatever the number of collections.
+    """
+    names = EXTRACTORS["option"][0](entries).select("manual", F.col("name").alias("id"), "display")
+    found = {category: extract(entries) for category, (extract, _, _) in EXTRACTORS.items()}
+    texts = None
+    for category in WITH_REFS:
+        part = found[category].select("manual", F.lit(category).alias("category"), "seq", "desc")
+        texts = part if texts is None else texts.unionByName(part)
+    texts = option_refs(texts, ["manual", "category", "seq"], "desc", names, ["manual"])
     out = None
-    for category, (extract, key, _) in EXTRACTORS.items():
-        rows = extract(entries)
+    for category, rows in found.items():
+        key = EXTRACTORS[category][1]
         if category == "option":
-            of = names.select(F.col("id").alias("_target"), F.col("display").alias("_shown"))
-            rows = rows.join(of, rows["alias_of.target"] == of["_target"], "left").withColumn("alias_display", F.coalesce("_shown", "alias_of.target")).drop("_target", "_shown")
-        if category in WITH_REFS:
-            rows = option_refs(rows, ["seq"], "desc", names)
+            of = names.select("manual", F.col("id").alias("_target"), F.col("display").alias("_shown"))
+            rows = rows.withColumn("_target", F.col("alias_of.target")).join(of, ["manual", "_target"], "left").withColumn("alias_display", F.coalesce("_shown", "alias_of.target")).drop("_target", "_shown")
         display = F.col("display") if category == "option" else F.col(key)
-        part = rows.select(F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), markdown(category).alias("markdown"))
+        # Where a description goes is left open until the texts are there.
+        desc = F.lit(SLOT) if category in WITH_REFS else None
+        shown = markdown(category, desc)
+        own = F.col("desc") if category in WITH_REFS else F.lit(None).cast("string")
+        part = rows.select("manual", F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), shown.alias("markdown"), own.isNotNull().alias("_open"))
         out = part if out is None else out.unionByName(part)
-    return out
+    out = out.join(texts, ["manual", "category", "seq"], "left")
+    return out.select("manual", "category", "id", "seq", "display", F.when(F.col("_open"), F.replace("markdown", F.lit(SLOT), F.col("desc"))).otherwise(F.col("markdown")).alias("markdown"))
 
 
 def ref_docs(docs: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 
 DEFAULT_LIMIT, MAX_LIMIT, BAND = 20, 500, 1000.0
-#: Searches asked at once.
-MAX_QUERIES = 10_000
 
 
 def clamp_limit(limit: float | None) -> int:
@@ -29,22 +27,50 @@ def _ranked(rows: DataFrame, query: Column) -> DataFrame:
     return rows.where((F.col("tier") < 2) | F.col("_score").isNotNull()).withColumn("score", F.when(F.col("_score").isNotNull(), F.least(F.col("_score") / BAND, F.lit(1.0))))
 
 
+def _keys(name: Column) -> Column:
+    """What an index of a lower-case name holds: each character, and each pair of characters of which the first stands somewhere before the second."""
+    places = F.transform(F.filter(F.array_distinct(F.split(name, "")), lambda c: c != ""), lambda c: F.struct(c.alias("c"), F.call_function("instr", name, c).alias("first"), (F.length(name) + 1 - F.call_function("instr", F.reverse(name), c)).alias("last")))
+    pairs = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda b: b["last"] > a["first"]), lambda b: F.concat(a["c"], b["c"]))))
+    return F.concat(F.transform(places, lambda p: p["c"]), pairs)
+
+
+def _asked_keys(query: Column) -> Column:
+    """The pairs of neighbours of a query, or its only character: all of them are keys of a name that has it as a subsequence."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(query) - 1), lambda i: F.substring(query, i, F.lit(2)))
+    return F.when(F.length(query) == 1, F.array(query)).otherwise(F.array_distinct(pairs))
+
+
 def search_many(pool: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, rank, category, id, display, sub_kind, tier, score, matches_total) for each of queries (query_id, query, limit), of which there may be MAX_QUERIES.
+    """(query_id, rank, category, id, display, sub_kind, tier, score, matches_total) for each of queries (query_id, query, limit), however many.
 
-    Each query is asked of the whole pool. Names that lack one of a query's characters are dropped inside the join, by sets of characters made once a
-    name and once a query; only what is left is scored.
+    Every kind of match has the query as a subsequence, so distinct names are indexed by their ordered pairs of characters, and a query looks up the one of its pairs that the
+    fewest names have. What that finds is tested on sets of characters, then scored. Limits are at most MAX_LIMIT. An empty query lists the pool, whose first rows are found once.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} searches at once")
-    asked = queries.withColumn("_asked", fuzzy.characters(F.lower(text.trim(F.col("query")))))
-    there = pool.withColumn("_there", fuzzy.characters(F.lower(F.concat(F.coalesce("id", F.lit("")), F.coalesce("display", F.lit(""))))))
-    lacks = F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there")))
-    rows = _ranked(there.join(F.broadcast(asked), lacks == 0), F.col("query"))
-    own = Window.partitionBy("query_id")
-    order = own.orderBy("tier", F.col("_score").desc_nulls_last(), "cat_ord", "seq", "id")
-    rows = rows.withColumn("matches_total", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(order))
-    return rows.where("rank <= limit").select("query_id", "rank", "category", "id", "display", "sub_kind", "tier", "score", "matches_total")
+    asked = queries.withColumn("_q", F.lower(text.trim(F.col("query"))))
+    names = pool.select("id", "display").distinct()
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in ("id", "display")]
+    keys = F.array_distinct(F.concat(_keys(low[0]), F.when(F.col("display").eqNullSafe(F.col("id")), F.array().cast("array<string>")).otherwise(_keys(low[1]))))
+    index = names.select("id", "display", F.explode(keys).alias("_key"))
+    frequency = index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = asked.where("_q <> ''").select("_q").distinct()
+    needed = distinct.select("_q", F.explode(_asked_keys(F.col("_q"))).alias("_key")).join(frequency, "_key", "left")
+    rarest = needed.groupBy("_q").agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_key"))
+    rarest = rarest.withColumn("_asked", fuzzy.characters(F.col("_q")))
+    there = index.withColumn("_there", fuzzy.characters(F.concat(*low)))
+    met = there.join(rarest, "_key").where(F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there"))) == 0)
+    found = _ranked(met.select("_q", "id", "display"), F.col("_q"))
+    found = found.select("_q", F.col("id").alias("_id"), F.col("display").alias("_display"), "tier", "_score", "score")
+    rows = found.join(asked.where("_q <> ''"), "_q").join(pool, F.col("_id").eqNullSafe(F.col("id")) & F.col("_display").eqNullSafe(F.col("display")))
+    rows = rows.select("query_id", "limit", "category", "cat_ord", "seq", "id", "display", "sub_kind", "tier", "_score", "score")
+    total = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches_total"))
+    order = Window.partitionBy("query_id").orderBy("tier", F.col("_score").desc_nulls_last(), "cat_ord", "seq", "id")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_LIMIT).where("rank <= limit").join(total, "query_id")
+
+    first = pool.orderBy("cat_ord", "seq", "id").limit(MAX_LIMIT).withColumn("rank", F.row_number().over(Window.orderBy("cat_ord", "seq", "id")))  # MAX_LIMIT rows
+    first = first.crossJoin(F.broadcast(pool.agg(F.count(F.lit(1)).alias("matches_total")))).withColumn("_q", F.lit(""))
+    listing = first.join(asked.where("_q = ''").select("query_id", "limit", "_q"), "_q").where("rank <= limit").withColumn("tier", F.lit(0)).withColumn("score", F.lit(None).cast("double"))
+    out = ["query_id", "rank", "category", "id", "display", "sub_kind", "tier", "score", "matches_total"]
+    return top.select(*out).unionByName(listing.select(*out))
 
 
 def search(pool: DataFrame, query: str = "", category: str | None = None, limit: float | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
@@ -15,6 +15,7 @@ from ..operators import facts as FA
 from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import textlines as L
+from ..sources.stored import stored
 from ..streaming import events as E
 from . import manual as M
 from . import tables as T
@@ -129,6 +130,21 @@ def search_many(spark, sf):
     return S.search_many(pool, spark.createDataFrame(SEARCHES, "query_id int, query string, limit int"))
 
 
+#: A search for each type of part, by its consonants, and one for each nation, by the end of its name.
+_MANY_SQL = """SELECT hash_id AS query_id, query, 25 AS lim FROM (SELECT 2 * row_number() OVER (ORDER BY p_type) AS hash_id, regexp_replace(p_type, '[AEIOUaeiou ]', '', 'g') AS query FROM (SELECT DISTINCT p_type FROM part)
+    UNION ALL SELECT 2 * n_nationkey + 1, lower(substr(n_name, 4)) FROM nation)"""
+_SEARCHED_SQL = SEARCH_SQL[SEARCH_SQL.index("pairs AS (") :]
+
+
+@query(f"WITH RECURSIVE corpus AS ({T.CORPUS_SQL}), dim AS ({DIM_SQL}), q AS ({_MANY_SQL}), {_SEARCHED_SQL}")
+def search_types(spark, sf):
+    types = T.table(spark, sf, "part").select("p_type").distinct()
+    place = F.row_number().over(Window.orderBy("p_type"))  # a hundred types or so
+    asked = types.select((2 * place).cast("int").alias("query_id"), F.regexp_replace("p_type", "[AEIOUaeiou ]", "").alias("query"))
+    nations = T.table(spark, sf, "nation").select((2 * F.col("n_nationkey") + 1).cast("int").alias("query_id"), F.lower(F.substring("n_name", 4, 99)).alias("query"))
+    return S.search_many(C.pool(T.corpus(spark, sf), _dim(spark)), asked.unionByName(nations).withColumn("limit", F.lit(25)))
+
+
 @query(f"{WITH} SELECT category, cat_ord::INTEGER AS cat_ord, seq, id, display, split_part(id, ' ', 1) AS sub_kind, 0 AS tier, NULL::DOUBLE AS score, count(*) OVER () AS matches_total FROM corpus JOIN dim USING (category) ORDER BY cat_ord, seq LIMIT 20")
 def search_listing(spark, sf):
     return S.search(C.pool(T.corpus(spark, sf), _dim(spark)))
@@ -465,9 +481,9 @@ def token_ranges(spark, sf):
     return editor.token_at(lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("char_no")), lines)
 
 
-@query(f"{M.RECORDS_SQL}, own AS (SELECT category, id FROM r) SELECT category, id AS raw, CASE WHEN category = 'history' THEN NULL WHEN id = '%number' THEN '%string' ELSE id END AS id FROM own UNION ALL SELECT category, '  ' || id || ' ', id FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op') UNION ALL SELECT category, 'zz top ' || id, NULL FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op')")
+@query(f"{M.RECORDS_SQL}, own AS (SELECT DISTINCT category, id FROM r) SELECT category, id AS raw, CASE WHEN category = 'history' THEN NULL WHEN id = '%number' THEN '%string' ELSE id END AS id FROM own UNION ALL SELECT category, '  ' || id || ' ', id FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op') UNION ALL SELECT category, 'zz top ' || id, NULL FROM own WHERE category IN ('builtin', 'cond_op', 'keymap', 'arith_op')")
 def resolve_tokens(spark, sf):
-    records = extract.corpus(markup.entries(M.manual(spark, sf))).select("category", "id")
+    records = stored(extract.corpus(markup.entry_table(M.manual(spark, sf))).select("category", "id").distinct(), "records")
     plain = records.where(F.col("category").isin("builtin", "cond_op", "keymap", "arith_op"))
     tokens = records.withColumnRenamed("id", "raw").union(plain.select("category", F.concat(F.lit("  "), "id", F.lit(" ")))).union(plain.select("category", F.concat(F.lit("zz top "), "id")))
     return R.resolve(tokens, records)
@@ -635,14 +651,21 @@ def _miniature(spark) -> DataFrame:
     return markup.entries(spark.createDataFrame(list(MINIATURE.items()), "file string, value string"))
 
 
-@query(f"{M.RECORDS_SQL} SELECT category, id, seq, sub_kind, payload FROM r")
+@query(f"{M.RECORDS_SQL} SELECT manual, category, id, seq, sub_kind, payload FROM r")
 def corpus_extract(spark, sf):
-    return extract.corpus(markup.entries(M.manual(spark, sf))).select("category", "id", "seq", "sub_kind", "payload")
+    return extract.corpus(markup.entry_table(M.manual(spark, sf))).select("manual", "category", "id", "seq", "sub_kind", "payload")
+
+
+@query(f"{M.RECORDS_SQL} SELECT manual, category, id, seq, sub_kind, payload FROM r")
+def manual_folder(spark, sf):
+    """The same from folders of files: the manuals are written as folders by manual and file, read back, and parsed once."""
+    files = stored(M.manual(spark, sf).select("manual", "file", "value"), "manuals", ["manual", "file"])
+    return extract.corpus(markup.entry_table(files)).select("manual", "category", "id", "seq", "sub_kind", "payload")
 
 
-@query(f"{M.RECORDS_SQL} SELECT category, id, seq, markdown FROM r")
+@query(f"{M.RECORDS_SQL} SELECT manual, category, id, seq, markdown FROM r")
 def render_all(spark, sf):
-    return render.rendered(markup.entries(M.manual(spark, sf))).select("category", "id", "seq", "markdown")
+    return render.rendered(markup.entry_table(M.manual(spark, sf))).select("manual", "category", "id", "seq", "markdown")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")

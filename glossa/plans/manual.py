@@ -15,6 +15,7 @@ EACH, ONCE = True, False
 #: file, text before, item, how often, text after.
 PARTS = (
     ("options.yo", "sect(Zle)\nstartitem()\n", "item(tt({L}) (tt(PLUS()q)) <D> <Z>)(\nTurn {l} on, see tt({L}) too.\n)\n", EACH, "enditem()\n"),
+    ("options.yo", "sect(History)\nstartitem()\n", "item(tt(MENDED))(\nAs `var(name)tt(=)var(pattern) (e.g. `tt(foo=*)') in {l}.\n)\n", ONCE, "enditem()\n"),
     ("cond.yo", "startitem()\n", "xitem(tt(-{l}) var(file))\nitem(var(a) tt(={l}) var(b))(Cond {l}.)\n", EACH, "enditem()\n"),
     ("builtins.yo", "startitem()\n", "item(tt({l}) [ tt(-x) ] var(arg))(Run {l}. The zsh/{l} Module)\n", EACH, "enditem()\n"),
     ("grammar.yo", "sect(Precommand Modifiers)\nstartitem()\n", "item(tt(noglob) var(command))(No globs in {l}.)\nitem(tt(exec) [ tt(-cl) ])(Replace {l}.)\n", ONCE, "enditem()\n"),
@@ -28,7 +29,7 @@ PARTS = (
     ("expn.yo", "sect(Parameter Expansion Flags)\nstartitem()\n", "item(tt({l}))(Flag {l}.)\n", EACH, "enditem()\n"),
     ("expn.yo", "sect(Event Designators)\nstartitem()\n", "item(tt(!{l}))(Event {l}.)\n", EACH, "enditem()\n"),
     ("expn.yo", "sect(Word Designators)\nstartsitem()\n", "sitem(tt(w{k}))(Word {l}.)\n", EACH, "endsitem()\n"),
-    ("expn.yo", "sect(Modifiers)\nstartitem()\n", "item(tt(m{l}))(Mod {l}.)\n", EACH, "enditem()\n"),
+    ("expn.yo", "sect(Modifiers)\nstartitem()\n", "item(tt(m{l}))(Mod {l}.)\n", EACH, "item(tt(mended))(Here `tt(%)' and `tt(#%) are not active.)\nenditem()\n"),
     ("expn.yo", "sect(Glob Operators)\nstartitem()\n", "item(tt(*{l}))(Glob {l}.)\n", EACH, "enditem()\n"),
     ("expn.yo", "sect(ksh-like Glob Operators)\nstartitem()\n", "item(tt(@{l}))(Ksh {l}.)\n", EACH, "enditem()\n"),
     ("expn.yo", "sect(Globbing Flags)\nstartitem()\n", "item(tt({l}))(Globbing {l}.)\n", EACH, "enditem()\n"),
@@ -47,6 +48,8 @@ PARTS = (
 RECORDS = (
     ("option", 0, EACH, "{l}", None, '{"name":"{l}","display":"{L}","flags":[{"char":"q","on":"+"}],"default_in":["csh","ksh","sh","zsh"],"category":"Zle","desc":"Turn {l} on, see {L} too."}',
      "`{L}`\n\n```zsh\n{on} # on\n{off} # off\nset +q               # on\nset -q               # off\n```\n\n**Default in zsh: `on`**\n\nTurn {l} on, see **`{L}`** too.\n\n_Option category:_ Zle"),
+    ("option", 1, ONCE, "mended", None, '{"name":"mended","display":"MENDED","flags":[],"default_in":[],"category":"History","desc":"As `name=pattern` (e.g. `foo=*`) in {l}."}',
+     "`MENDED`\n\n```zsh\nsetopt mended        # on\nunsetopt mended      # off\n```\n\n**Default in zsh: `off`**\n\nAs `name=pattern` (e.g. `foo=*`) in {l}.\n\n_Option category:_ History"),
     ("cond_op", 0, EACH, "={l}", "binary", '{"op":"={l}","operands":["a","b"],"desc":"Cond {l}.","arity":"binary"}', "*a* `={l}` *b*\n\nCond {l}."),
     ("cond_op", 0, EACH, "-{l}", "unary", '{"op":"-{l}","operands":["file"],"desc":"Cond {l}.","arity":"unary"}', "`-{l}` *file*\n\nCond {l}."),
     ("builtin", 0, EACH, "{l}", None, '{"name":"{l}","synopsis":["{l} [ -x ] arg"],"desc":"Run {l}. The zsh/{l} Module","module":"zsh/{l}"}', "`{l}`\n\n```zsh\n{l} [ -x ] arg\n```\n\nRun {l}. The zsh/{l} Module\n\n_Module:_ `zsh/{l}`"),
@@ -74,6 +77,7 @@ RECORDS = (
     ("history", 0, EACH, "!{l}", "event-designator", '{"key":"!{l}","sig":"!{l}","desc":"Event {l}.","section":"Event Designators","kind":"event-designator"}', "`!{l}`\n\nEvent {l}.\n\n_Role:_ history event designator"),
     ("history", 1, EACH, "w{k}", "word-designator", '{"key":"w{k}","sig":"w{k}","desc":"Word {l}.","section":"Word Designators","kind":"word-designator"}', "`w{k}`\n\nWord {l}.\n\n_Role:_ history word designator"),
     ("history", 2, EACH, "m{l}", "modifier", '{"key":"m{l}","sig":"m{l}","desc":"Mod {l}.","section":"Modifiers","kind":"modifier"}', "`m{l}`\n\nMod {l}.\n\n_Role:_ history modifier"),
+    ("history", 3, ONCE, "mended", "modifier", '{"key":"mended","sig":"mended","desc":"Here `%` and `#%` are not active.","section":"Modifiers","kind":"modifier"}', "`mended`\n\nHere `%` and `#%` are not active.\n\n_Role:_ history modifier"),
     ("glob_op", 0, EACH, "*{l}", "standard", '{"op":"*{l}","sig":"*{l}","desc":"Glob {l}.","section":"Glob Operators","kind":"standard"}', "`*{l}`\n\nGlob {l}.\n\n_Role:_ glob operator (standard)"),
     ("glob_op", 1, EACH, "@{l}", "ksh-like", '{"op":"@{l}","sig":"@{l}","desc":"Ksh {l}.","section":"ksh-like Glob Operators","kind":"ksh-like"}', "`@{l}`\n\nKsh {l}.\n\n_Role:_ glob operator (ksh-like)"),
     ("glob_flag", 0, EACH, "{l}", None, '{"flag":"{l}","args":[],"sig":"{l}","desc":"Globbing {l}.","section":"Globbing Flags"}', "`{l}`\n\nGlobbing {l}.\n\n_Role:_ glob flag"),
@@ -98,10 +102,10 @@ _DIGITS = ("0123456789", "ABCDEFGHIJ")
 
 
 def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, value): the manual's files."""
+    """(manual, file, value): the files of a manual for each region, which tells of its nations."""
     display = F.translate("n_name", *_DIGITS)
-    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), display.alias("display"), F.lower(F.translate(display, "_", "")).alias("name"))
-    one = names.agg(F.array_sort(F.collect_list(F.struct("k", "display", "name"))).alias("names"))
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("manual"), F.col("n_nationkey").cast("long").alias("k"), display.alias("display"), F.lower(F.translate(display, "_", "")).alias("name"))
+    one = names.groupBy("manual").agg(F.array_sort(F.collect_list(F.struct("k", "display", "name"))).alias("names"))
 
     def text(before: str, item: str, each: bool, after: str):
         listed = F.col("names") if each else F.slice("names", 1, 1)
@@ -110,7 +114,7 @@ def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = dict.fromkeys(p[0] for p in PARTS)
     rows = F.array(*[F.struct(F.lit(f).alias("file"), F.concat(*[text(*p[1:]) for p in PARTS if p[0] == f]).alias("value")) for f in files])
-    return one.select(F.explode(rows).alias("r")).select("r.file", "r.value")
+    return one.select("manual", F.explode(rows).alias("r")).select("manual", "r.file", "r.value")
 
 
 def _values(rows) -> str:
@@ -125,9 +129,9 @@ def _filled(column: str) -> str:
     return out
 
 
-#: CTE `r`: category, id, seq, sub_kind, payload and markdown of every record.
-RECORDS_SQL = f"""WITH n0 AS (SELECT CAST(n_nationkey AS BIGINT) AS k, translate(n_name, '{_DIGITS[0]}', '{_DIGITS[1]}') AS d FROM nation),
-n AS (SELECT k, d, lower(replace(d, '_', '')) AS l, row_number() OVER (ORDER BY k) AS i FROM n0),
+#: CTE `r`: manual, category, id, seq, sub_kind, payload and markdown of every record.
+RECORDS_SQL = f"""WITH n0 AS (SELECT 'r' || n_regionkey AS manual, CAST(n_nationkey AS BIGINT) AS k, translate(n_name, '{_DIGITS[0]}', '{_DIGITS[1]}') AS d FROM nation),
+n AS (SELECT manual, k, d, lower(replace(d, '_', '')) AS l, row_number() OVER (PARTITION BY manual ORDER BY k) AS i FROM n0),
 t(nth, category, run, each_, id, sub, payload, md) AS (VALUES {_values((k, *r) for k, r in enumerate(RECORDS))}),
-r AS (SELECT category, {_filled("id")} AS id, row_number() OVER (PARTITION BY category ORDER BY run, CASE WHEN each_ THEN i END, nth) - 1 AS seq, sub AS sub_kind, {_filled("payload")} AS payload, {_filled("md")} AS markdown
+r AS (SELECT manual, category, {_filled("id")} AS id, row_number() OVER (PARTITION BY manual, category ORDER BY run, CASE WHEN each_ THEN i END, nth) - 1 AS seq, sub AS sub_kind, {_filled("payload")} AS payload, {_filled("md")} AS markdown
     FROM t JOIN n ON each_ OR i = 1)"""

@@ -17,6 +17,7 @@ from ..operators import search as S
 from ..operators import textlines as L
 from ..sources.stored import stored
 from ..streaming import events as E
+from ..streaming import settings as ST
 from . import manual as M
 from . import tables as T
 
@@ -424,6 +425,55 @@ def diagnostics_upsert(spark, sf):
     return E.diagnostics(results, events.groupBy(F.col("user_id").alias("doc_key")).agg(F.count(F.lit(1)).alias("n_lines")))
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_id % 23 = 0 AS shut FROM events),
+r AS (SELECT *, coalesce(sum(shut::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, shut::INTEGER ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+o AS (SELECT user_id, min(ts) FILTER (WHERE NOT shut) AS opened, max(ts) FILTER (WHERE shut) AS closed FROM r GROUP BY user_id, run),
+c AS (SELECT event_id AS change_id, ts, event_id % 3 <> 0 AS enabled FROM events WHERE event_type = 'signup' AND event_id % 4 <> 1)
+SELECT change_id, 'check' AS action, user_id FROM c JOIN o ON opened <= ts AND (closed IS NULL OR ts < closed) WHERE enabled UNION ALL SELECT change_id, 'clear', NULL FROM c WHERE NOT enabled""")
+def settings_rechecks(spark, sf):
+    events = T.table(spark, sf, "events")
+    kinds = events.select("user_id", "ts", F.when(F.col("event_id") % 23 == 0, "close").otherwise("change").alias("kind"))
+    changes = events.where("event_type = 'signup'").select(F.col("event_id").alias("change_id"), "ts", (F.col("event_id") % 4 != 1).alias("affects"), (F.col("event_id") % 3 != 0).alias("enabled"))
+    return ST.rechecks(ST.open_spans(kinds, "user_id", "ts", "kind"), changes, "user_id")
+
+
+#: What may be set, and what is there: the name that is looked up, a program, and a file that may not be run.
+SETTINGS, PROGRAMS = ("off", "", "bin/zsh", "/bin/zsh", "/opt/none", "/etc/zsh"), (("zsh", "/usr/bin/zsh", True), ("/bin/zsh", "/bin/zsh", True), ("/etc/zsh", "/etc/zsh", False))
+#: Mode, binary and error of each setting, by hand.
+SET_TO = (("disabled", None, "DISABLED"), ("available", "/usr/bin/zsh", None), ("invalid-config", None, "EINVAL"), ("available", "/bin/zsh", None), ("unavailable", "/opt/none", "ENOENT"), ("unavailable", "/etc/zsh", "EACCES"))
+
+
+def settings_and_runs(spark, sf):
+    """(user_id, event_id, ts, kind, mode, binary, err): every seventh event sets the path, all others run the program; some find it gone."""
+    events = T.table(spark, sf, "events").select("user_id", "event_id", "ts")
+    raw = F.get(F.array(*map(F.lit, SETTINGS)), (F.floor(F.col("event_id") / 7) % len(SETTINGS)).cast("int"))
+    sets = ST.probed(events.where("event_id % 7 = 0").withColumn("raw", raw), spark.createDataFrame(PROGRAMS, "name string, path string, executable boolean"))
+    err = F.when(F.col("event_id") % 11 == 0, "ENOENT").when(F.col("event_id") % 13 == 0, "EACCES").when(F.col("event_id") % 5 == 0, "ETIMEDOUT")
+    runs = events.where("event_id % 7 <> 0").select("user_id", "event_id", "ts", F.lit("run").alias("kind"), F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("binary"), err.alias("err"))
+    return sets.select("user_id", "event_id", "ts", F.lit("set").alias("kind"), "mode", "binary", "err").unionByName(runs)
+
+
+@query(f"""WITH sv(n, m, b, e) AS (VALUES {", ".join(f"({i}, {', '.join(_sql_text(x) for x in v)})" for i, v in enumerate(SET_TO))}),
+ev AS (SELECT user_id, event_id, ts, event_id % 7 = 0 AS sets, CASE WHEN event_id % 11 = 0 THEN 'ENOENT' WHEN event_id % 13 = 0 THEN 'EACCES' WHEN event_id % 5 = 0 THEN 'ETIMEDOUT' END AS err FROM events),
+ls AS (SELECT a.*, (SELECT max((ts, event_id)) FROM ev s WHERE s.user_id = a.user_id AND s.sets AND (s.ts, s.event_id) <= (a.ts, a.event_id)) AS upto FROM ev a),
+st AS (SELECT ls.*, m, b, e FROM ls LEFT JOIN ev s ON s.user_id = ls.user_id AND s.event_id = struct_extract(upto, 2) LEFT JOIN sv ON n = (s.event_id // 7) % {len(SETTINGS)}),
+gn AS (SELECT st.*, (SELECT arg_min(err, (ts, event_id)) FROM ev g WHERE g.user_id = st.user_id AND NOT g.sets AND g.err IN ('ENOENT', 'EACCES') AND st.m = 'available' AND (g.ts, g.event_id) > st.upto AND (g.ts, g.event_id) < (st.ts, st.event_id)) AS gone FROM st)
+SELECT user_id, event_id, CASE WHEN m IS NULL THEN 'disabled' WHEN gone IS NOT NULL THEN 'unavailable' ELSE m END AS mode, b AS binary, CASE WHEN NOT sets THEN CASE WHEN m IS NULL THEN 'DISABLED' WHEN gone IS NOT NULL THEN gone WHEN m = 'available' THEN err ELSE e END END AS met FROM gn""")
+def settings_modes(spark, sf):
+    return ST.modes(settings_and_runs(spark, sf), "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("mode_at").alias("mode"), F.col("binary_at").alias("binary"), "met")
+
+
+@query("""SELECT event_id, 'HOME=/h' || user_id || CASE WHEN event_id % 3 = 0 THEN ',LANG=' || event_type ELSE ',LANG=C' END || CASE WHEN event_id % 2 = 0 THEN ',X=1' ELSE '' END AS env FROM events""")
+def program_environments(spark, sf):
+    events = T.table(spark, sf, "events")
+    source = F.create_map(F.lit("HOME"), F.concat(F.lit("/h"), "user_id"), F.lit("LANG"), F.lit("C"), F.lit("ENV"), F.lit("e"), F.lit("SECRET"), F.col("event_type"))
+    none = F.lit(None).cast("string")
+    extra = F.create_map(F.lit("X"), F.when(F.col("event_id") % 2 == 0, "1").otherwise(none), F.lit("ZDOTDIR"), F.lit("/z"))
+    extra = F.when(F.col("event_id") % 3 == 0, F.map_concat(extra, F.create_map(F.lit("LANG"), F.col("event_type")))).otherwise(extra)
+    entries = F.array_sort(F.transform(F.map_entries(ST.environment(source, extra)), lambda x: F.concat(x["key"], F.lit("="), x["value"])))
+    return events.select("event_id", F.array_join(entries, ",").alias("env"))
+
+
 # -- facts, markup, rendering ------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,8 @@ from ..operators import facts as FA
 from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import textlines as L
-from ..sources.stored import stored
+from ..sources import artifacts as A
+from ..sources.stored import shared_folder, stored
 from ..streaming import events as E
 from ..streaming import settings as ST
 from . import manual as M
@@ -718,6 +720,30 @@ def render_all(spark, sf):
     return render.rendered(markup.entry_table(M.manual(spark, sf))).select("manual", "category", "id", "seq", "markdown")
 
 
+_FILE_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, (f, _) in A.FILES.items()) + " END"
+_CAMEL_SQL = "[" + "array_to_string([CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END FOR w, i IN string_split(k, '_')], '') FOR k IN json_keys(payload)]"
+
+
+@query(f"""{M.RECORDS_SQL} SELECT manual, {_FILE_SQL} AS file, seq AS nth, markdown, array_to_string(list_sort(list_append({_CAMEL_SQL}, 'markdown')), ',') AS keys, coalesce(json_extract_string(payload, '$.desc'), '') AS "desc",
+    coalesce(json_extract_string(payload, '$.module'), '') AS module, '' AS args, CASE WHEN json_type(payload, '$.args') IS NULL THEN 'absent' ELSE 'there' END AS args_state FROM r""")
+def json_artifacts(spark, sf):
+    """Artifacts of the manuals written, and their records read back loosely."""
+    path = f"{shared_folder(spark)}/glossa/artifacts-{uuid.uuid4().hex}"
+    A.write_artifacts(markup.entry_table(M.manual(spark, sf)), path, "1.0", "5.9")
+    rows = A.read_artifacts(spark, f"{path}/*")
+    r = F.col("record")
+    keys = F.array_join(F.array_sort(F.json_object_keys(F.to_json(r))), ",")
+    return rows.select("manual", "file", "nth", A.text_field(r, "markdown").alias("markdown"), keys.alias("keys"), A.text_field(r, "desc").alias("desc"), A.text_field(r, "module").alias("module"), A.text_field(r, "args").alias("args"), A.field_state(r, "args").alias("args_state"))
+
+
+@query(f"""{M.RECORDS_SQL} SELECT manual, category, id, f AS field, CASE WHEN json_type(payload, '$.' || f) = 'VARCHAR' THEN json_extract_string(payload, '$.' || f) ELSE '' END AS value, CASE WHEN json_type(payload, '$.' || f) IS NULL THEN 'absent' WHEN json_type(payload, '$.' || f) = 'NULL' THEN 'null' ELSE 'there' END AS state
+FROM r, (SELECT unnest(['desc', 'sig', 'module', 'flags', 'order_in_group', 'is_special', 'tied']) AS f)""")
+def loose_fields(spark, sf):
+    rows = extract.corpus(markup.entry_table(M.manual(spark, sf))).select("manual", "category", "id", F.parse_json("payload").alias("r"))
+    fields = [F.struct(F.lit(f).alias("field"), A.text_field(F.col("r"), f).alias("value"), A.field_state(F.col("r"), f).alias("state")) for f in ("desc", "sig", "module", "flags", "order_in_group", "is_special", "tied")]
+    return rows.select("manual", "category", "id", F.inline(F.array(*fields)))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
 def small_corpus(spark, sf):
     return extract.corpus(_miniature(spark)).select("category", "id", "seq", "sub_kind")

@@ -167,14 +167,14 @@ def rendered(entries: DataFrame) -> DataFrame:
 
 
 def ref_docs(docs: DataFrame) -> DataFrame:
-    """(kind, id, heading, md, ord): categories in order, records in theirs, shell parameters by name as dictionaries sort it."""
+    """(manual, kind, id, heading, md, ord): each manual's categories in order, records in theirs, shell parameters by name as dictionaries sort it."""
     place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
     name = F.when(F.col("category") == "shell_param", F.collate(F.col("id"), "UNICODE"))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(place, name, "seq")) - 1
-    return docs.select(F.col("category").alias("kind"), "id", F.col("display").alias("heading"), F.col("markdown").alias("md"), order.cast("long").alias("ord"))
+    order = F.row_number().over(Window.partitionBy("manual").orderBy(place, name, "seq")) - 1
+    return docs.select("manual", F.col("category").alias("kind"), "id", F.col("display").alias("heading"), F.col("markdown").alias("md"), order.cast("long").alias("ord"))
 
 
-#: Rules of suspicious markdown: name and pattern; that of backticks is a count.
+#: Rules of suspicious markdown, name and pattern; that of backticks is a count.
 SUSPICIOUS = (
     ("empty ref", r"\b(?:See|see|described in|noted in) (?:\\ )?\."),
     ("dangling continuation", r"(?m)\\$"),
@@ -201,17 +201,25 @@ def suspicious(docs: DataFrame, id_: str = "id", md: str = "md") -> DataFrame:
     return docs.select(F.col(id_).alias("id"), F.explode(found).alias("h")).select("id", F.col("h.ord").alias("ord"), "h.rule")
 
 
+def suspicious_counts(docs: DataFrame, id_: str = "id", md: str = "md") -> DataFrame:
+    """(ord, rule, n): texts that fail each rule, and with nulls the failures in all."""
+    hits = suspicious(docs, id_, md)
+    return hits.rollup("ord").agg(F.when(F.grouping("ord") == 0, F.first("rule")).alias("rule"), F.count(F.lit(1)).alias("n")).select("ord", "rule", "n")
+
+
 def dump_text(refs: DataFrame, preambles: dict[str, str] | None = None) -> DataFrame:
-    """(file, text): a file of all records, one a category, and one of what the rules found."""
+    """(manual, file, text): a manual's file of all records, one a category, and one of what the rules found."""
     shown = F.concat(F.lit("## "), "heading", F.lit(GAP), "md")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("s")))), lambda x: x["s"]), "\n\n---\n\n")
-    rows = refs.rollup("kind").agg(joined.alias("body"), F.grouping("kind").alias("_all"))
+    rows = refs.groupingSets([["manual", "kind"], ["manual"]], "manual", "kind").agg(joined.alias("body"), F.grouping("kind").alias("_all"))
     before = F.lit("")
     for kind, text in (preambles or {}).items():
         before = F.when((F.col("kind") == kind) & (F.col("_all") == 0), f"<!-- preamble for category -->{GAP}{text}{GAP}---{GAP}").otherwise(before)
-    files = rows.select(F.when(F.col("_all") == 1, "all.md").otherwise(F.concat("kind", F.lit(".md"))).alias("file"), F.concat(before, "body", F.lit("\n")).alias("text"))
-    hits = suspicious(refs.withColumn("id", F.concat_ws(":", "kind", "id")))
+    files = rows.select("manual", F.when(F.col("_all") == 1, "all.md").otherwise(F.concat("kind", F.lit(".md"))).alias("file"), F.concat(before, "body", F.lit("\n")).alias("text"))
+    named = F.struct("manual", F.concat_ws(":", "kind", "id").alias("id"))
+    hits = suspicious(refs.withColumn("id", named)).select("id.manual", "id.id", "ord", "rule")
     line = F.concat(F.lit("- "), "id", F.lit(" — "), "rule")
     listed = F.array_sort(F.collect_list(F.struct("id", "ord", line.alias("s"))))
-    report = hits.agg(F.array_join(F.transform(listed, lambda x: F.concat(x["s"], F.lit("\n"))), "").alias("text")).select(F.lit("suspicious.md").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    report = hits.groupBy("manual").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["s"], F.lit("\n"))), "").alias("text"))
+    report = refs.select("manual").distinct().join(report, "manual", "left").select("manual", F.lit("suspicious.md").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
     return files.unionByName(report)

@@ -240,6 +240,20 @@ def template_keys(spark, sf):
     return users.join(tokens).select("user_id", "category", "raw", F.nullif(keys, F.lit("")).alias("keys"))
 
 
+_EVENT_TOKENS = ("history", "'!' || event_id", "'!n'"), ("history", "'!-' || event_id", "'!-n'"), ("history", "'!' || event_type", "'!str'"), ("history", "'!?' || event_type || '?'", "'!?str[?]'"), ("history", "'^' || event_type || '^' || user_id", "'!!'"), ("history", "'!!' || event_id", "NULL"), (
+    "job_spec", "'%' || user_id", "'%number'"), ("job_spec", "'%' || event_type", "'%string'"), ("job_spec", "'%?' || event_type", "'%?string'"), ("special_function", "'TRAP' || upper(event_type)", "'TRAP' || upper(event_type) || ',TRAPNAL'"), ("param_flag", "'(' || event_type || ')'", "'(' || event_type || '),' || event_type"), (
+    "glob_flag", "'(#' || event_type || ')'", "'(#' || event_type || '),' || event_type"), ("glob_qualifier", "'(#q' || event_type || ')'", "'(#q' || event_type || '),' || event_type"), ("option", "'NO_' || event_type", "'no' || event_type || ',' || event_type"), ("builtin", "' ' || event_type || ' '", "event_type")
+_PICK = lambda k: "CASE event_id % " + str(len(_EVENT_TOKENS)) + " " + " ".join(f"WHEN {i} THEN {t[k]}" for i, t in enumerate(_EVENT_TOKENS)) + " END"
+
+
+@query("SELECT event_id, CASE event_id % " + str(len(_EVENT_TOKENS)) + " " + " ".join(f"WHEN {i} THEN '{t[0]}'" for i, t in enumerate(_EVENT_TOKENS)) + f" END AS category, {_PICK(1)} AS raw, {_PICK(2)} AS keys FROM events")
+def event_keys(spark, sf):
+    category = F.get(F.array(*[F.lit(t[0]) for t in _EVENT_TOKENS]), (F.col("event_id") % len(_EVENT_TOKENS)).cast("int"))
+    rows = T.table(spark, sf, "events").select("event_id", category.alias("category"), F.expr(_PICK(1)).alias("raw"))
+    keys = F.array_join(F.transform(X.candidate_keys("category", "raw"), lambda k: k["key"]), ",")
+    return rows.select("event_id", "category", "raw", F.nullif(keys, F.lit("")).alias("keys"))
+
+
 @query("""WITH f AS (SELECT c_name AS id, unnest([substr(c_mktsegment, 1, 1) || (c_custkey % 97), substr(c_mktsegment, 2, 1) || (c_custkey % 89)]) AS char, unnest(['on', 'off']) AS sign FROM customer)
 SELECT char, sign AS "on", any_value(id) AS id FROM f GROUP BY char, sign HAVING count(*) = 1""")
 def flag_unique_index(spark, sf):
@@ -699,8 +713,14 @@ MINIATURE = {
 MINIATURE_IDS = [("option", "beep", 0, None), ("option", "ring", 1, None), ("redir", "< word", 0, None), ("redir", ">& number", 1, None), ("process_subst", "<(...)", 0, None), ("process_subst", ">(...)", 1, None), ("process_subst", "=(...)", 2, None), ("history", "!!", 0, "event-designator"), ("history", "!n", 1, "event-designator"), ("arith_op", "+", 0, "overloaded"), ("arith_op", "-", 1, "overloaded"), ("job_spec", "%number", 0, "number"), ("job_spec", "%string", 1, "string")]
 
 
-def _miniature(spark) -> DataFrame:
-    return markup.entries(spark.createDataFrame(list(MINIATURE.items()), "file string, value string"))
+def _miniature(spark, sf=None) -> DataFrame:
+    """Its entries; with a data folder, of a manual for each region, whose first option is named after it."""
+    files = spark.createDataFrame(list(MINIATURE.items()), "file string, value string")
+    if sf is None:
+        return markup.entries(files)
+    regions = T.table(spark, sf, "region").select("r_name", F.translate("r_name", "0123456789 ", "ABCDEFGHIJ_").alias("name"))
+    dealt = F.inline(F.array(*[F.struct(F.lit(f).alias("file"), F.lit(v).alias("value")) for f, v in MINIATURE.items()]))
+    return markup.entry_table(regions.select(F.col("r_name").alias("manual"), "name", dealt).select("manual", "file", F.replace("value", F.lit("BEEP"), F.col("name")).alias("value")))
 
 
 @query(f"{M.RECORDS_SQL} SELECT manual, category, id, seq, sub_kind, payload FROM r")
@@ -744,18 +764,25 @@ def loose_fields(spark, sf):
     return rows.select("manual", "category", "id", F.inline(F.array(*fields)))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
+_REGION_SQL = "(SELECT r_name AS manual, translate(r_name, '0123456789 ', 'ABCDEFGHIJ_') AS d FROM region)"
+
+
+@query(f"SELECT manual, category, CASE WHEN id = 'beep' THEN lower(replace(d, '_', '')) ELSE id END AS id, seq, sub_kind FROM {_REGION_SQL}, (VALUES " + ", ".join(f"({_sql_text(c)}, {_sql_text(i)}, {s}, {_sql_text(k)})" for c, i, s, k in MINIATURE_IDS) + ") v(category, id, seq, sub_kind)")
 def small_corpus(spark, sf):
-    return extract.corpus(_miniature(spark)).select("category", "id", "seq", "sub_kind")
+    return extract.corpus(_miniature(spark, sf)).select("manual", "category", "id", "seq", "sub_kind")
 
 
 _BEEP = "`BEEP`\n\n```zsh\nsetopt beep          # on\nunsetopt beep        # off\nset +b               # on\nset -b               # off\nset +B               # on\nset -B               # off\n```\n\n**Default in zsh: `on`**\n\nBeep. See **`NO_BEEP`** and $BEEP.\n\n_Option category:_ Zle"
 _RING = "`RING`\n\n```zsh\nsetopt ring          # on\nunsetopt ring        # off\n```\n\n**Default in zsh: `off`**\n\n**`BEEP`**\n\n_Alias of:_ `BEEP`\n\n_Option category:_ Option Aliases"
 
 
-@query(f"SELECT * FROM (VALUES ('beep', 'BEEP', {_sql_text(_BEEP)}), ('ring', 'RING', {_sql_text(_RING)})) v(id, display, markdown)")
+_LABELS_SQL = "rpad('{0} ' || lower(d), CAST(greatest(20, length('{0} ' || d)) AS INTEGER), ' ')"
+
+
+@query(f"""SELECT manual, lower(replace(d, '_', '')) AS id, d AS display, replace(replace(replace(replace({_sql_text(_BEEP)}, 'setopt beep          # on' || chr(10) || 'unsetopt beep       ', '@'), '@', {_LABELS_SQL.format("setopt")} || ' # on' || chr(10) || {_LABELS_SQL.format("unsetopt")}), 'BEEP', d), chr(0), '') AS markdown FROM {_REGION_SQL}
+UNION ALL SELECT manual, 'ring', 'RING', replace({_sql_text(_RING)}, 'BEEP', d) FROM {_REGION_SQL}""")
 def render_option(spark, sf):
-    return render.rendered(_miniature(spark)).where("category = 'option'").select("id", "display", "markdown")
+    return render.rendered(_miniature(spark, sf)).where("category = 'option'").select("manual", "id", "display", "markdown")
 
 
 @query("""WITH n AS (SELECT DISTINCT n_name FROM nation) SELECT o_orderkey AS k, 'see ' || CASE WHEN n_name IS NULL THEN t ELSE '**`' || t || '`**' END || ' not `' || t || '` or $' || t || ' here' AS body
@@ -766,15 +793,41 @@ def option_refs(spark, sf):
     return render.option_refs(rows, ["k"], "body", T.options(spark, sf))
 
 
-@query(r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+#: What is put before every document's text, by its number: each breaks one rule, or none.
+FLAWS = ("", "see .", "goes on \\", "a tt(b)", "one ` tick", "call name+(x)", "a, , b", "```\nodd ` in a fence\n```", "noted in \\ .")
+_FLAWED_SQL = "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in FLAWS) + f"][doc_id % {len(FLAWS)} + 1] || chr(10) || text"
+_QA_SQL = rf"""WITH d AS (SELECT doc_id, {_FLAWED_SQL} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 f AS (SELECT doc_id, line, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM l),
 o AS (SELECT doc_id, bool_or(NOT fence AND NOT inside AND (length(line) - length(replace(line, '`', ''))) % 2 = 1) AS odd FROM f GROUP BY doc_id),
-r AS (SELECT doc_id, [regexp_matches(text, '\b(?:See|see|described in|noted in) (?:\\ )?\.'), regexp_matches(text, '(?m)\\$'), regexp_matches(text, '\b(?:tt|var|example|manref|noderef)\('), odd, regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]+\+\('), regexp_matches(text, ',\s*,')] AS hits FROM documents JOIN o USING (doc_id))
-SELECT doc_id AS id, (i - 1)::INTEGER AS ord FROM (SELECT doc_id, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM r) WHERE h""")
+r AS (SELECT doc_id, [regexp_matches(text, '\b(?:See|see|described in|noted in) (?:\\ )?\.'), regexp_matches(text, '(?m)\\$'), regexp_matches(text, '\b(?:tt|var|example|manref|noderef)\('), odd, regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]+\+\('), regexp_matches(text, ',\s*,')] AS hits FROM d JOIN o USING (doc_id)),
+h AS (SELECT doc_id AS id, (i - 1)::INTEGER AS ord FROM (SELECT doc_id, unnest(hits) AS h, generate_subscripts(hits, 1) AS i FROM r) WHERE h)"""
+
+
+def _flawed(spark, sf):
+    docs = T.table(spark, sf, "documents")
+    flaw = F.get(F.array(*map(F.lit, FLAWS)), (F.col("doc_id") % len(FLAWS)).cast("int"))
+    return docs.select("doc_id", F.concat(flaw, F.lit("\n"), "text").alias("text"))
+
+
+@query(f"{_QA_SQL} SELECT id, ord FROM h")
 def qa_suspicious(spark, sf):
-    return render.suspicious(T.table(spark, sf, "documents"), "doc_id", "text").select("id", "ord")
+    return render.suspicious(_flawed(spark, sf), "doc_id", "text").select("id", "ord")
+
+
+@query(f"{_QA_SQL} SELECT ord, count(*) AS n FROM h GROUP BY ROLLUP (ord)")
+def qa_counts(spark, sf):
+    return render.suspicious_counts(_flawed(spark, sf), "doc_id", "text").select("ord", "n")
+
+
+_DUMP_SQL = f"""{M.RECORDS_SQL}, cats(category, o) AS (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(C.CATEGORIES))}),
+x AS (SELECT manual, category, o, CASE WHEN category = 'shell_param' THEN lower(id) ELSE '' END AS name, seq, '## ' || CASE WHEN category = 'option' THEN replace(string_split(markdown, chr(10))[1], '`', '') ELSE id END || chr(10) || chr(10) || markdown AS t FROM r JOIN cats USING (category))
+SELECT manual, category || '.md' AS file, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY name, seq) || chr(10) AS text FROM x GROUP BY manual, category
+UNION ALL SELECT manual, 'all.md', string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY o, name, seq) || chr(10) FROM x GROUP BY manual
+UNION ALL SELECT manual, 'suspicious.md', coalesce(string_agg('- ' || category || ':' || id || ' — unbalanced inline backticks' || chr(10), '' ORDER BY category || ':' || id) FILTER (WHERE false), '') FROM r GROUP BY manual"""
 
 
-@query()
+@query(_DUMP_SQL)
 def dump_files(spark, sf):
-    return render.dump_text(render.ref_docs(render.rendered(_miniature(spark))))
+    """Dump files of each region's manual; parameters sort as dictionaries do, which for these names is the order of their small letters."""
+    docs = stored(render.rendered(markup.entry_table(M.manual(spark, sf))), "rendered")
+    return render.dump_text(render.ref_docs(docs))

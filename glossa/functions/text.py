@@ -207,8 +207,21 @@ def is_setopt(command: Column | str) -> Column:
     return head.isin("setopt", "unsetopt") | ((head == "set") & flags)
 
 
+#: The tools that prose may name.
+TOOLS = ("zsh_classify", "zsh_search", "zsh_describe", "zsh_lookup_option")
+
+
 def subcommand_name(x: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(x), "^zsh_", ""), "_", "-")
+    """A tool's name as a subcommand."""
+    return F.regexp_replace(_col(x), "^zsh_", "")
+
+
+def cli_prose(x: Column | str, program: str) -> Column:
+    """Prose in which tools are named as a program's subcommands."""
+    text = _col(x)
+    for tool in TOOLS:
+        text = F.replace(text, F.lit(tool), F.concat(F.lit(f"{program} "), subcommand_name(F.lit(tool))))
+    return text
 
 
 def arity_signature(op: Column | str, operands: Column | str, arity: Column | str) -> Column:

@@ -398,6 +398,18 @@ def setopt_commands(spark, sf):
     return T.table(spark, sf, "events").select("event_id", X.is_setopt(F.expr(SETOPTS)).alias("is_setopt"))
 
 
+@query("""SELECT event_id, 'Ask gloss classify for ' || event_type || ', gloss lookup_option or zsh_other, not gloss searchgloss describe.' AS prose, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup_option' ELSE 'xzsh_info' END AS sub FROM events""")
+def tool_prose(spark, sf):
+    text = F.concat(F.lit("Ask zsh_classify for "), "event_type", F.lit(", zsh_lookup_option or zsh_other, not zsh_searchzsh_describe."))
+    name = F.when(F.col("event_id") % 3 == 0, "zsh_search").when(F.col("event_id") % 3 == 1, "zsh_lookup_option").otherwise("xzsh_info")
+    return T.table(spark, sf, "events").select("event_id", X.cli_prose(text, "gloss").alias("prose"), X.subcommand_name(name).alias("sub"))
+
+
+@query(f"""{M.RECORDS_SQL} SELECT '1.2' || chr(10) || 'zsh upstream: 5.9 (01234567, 2022-05-14)' || chr(10) || count(*) || ' records across 22 categories' AS text FROM r""")
+def version_text(spark, sf):
+    return A.version_text(extract.corpus(markup.entry_table(M.manual(spark, sf))), "1.2", "5.9", "2022-05-14", "0123456789abcdef")
+
+
 # -- events ------------------------------------------------------------------------------------------------------------
 
 

@@ -169,10 +169,11 @@ def index_row(corpus: DataFrame, version: str, upstream: str) -> DataFrame:
     return counts.agg(F.map_from_entries(entries).alias("counts")).select(F.lit(version).alias("version"), F.lit(upstream).alias("upstream"), "counts", lit(CATEGORIES).alias("categories"), lit(CLASSIFY_ORDER).alias("classify_order"))
 
 
-def version_line(corpus: DataFrame, version: str, upstream: str, commit: str) -> DataFrame:
-    """One row `line`: what a version command prints."""
+def version_text(corpus: DataFrame, version: str, tag: str, date: str, commit: str = "") -> DataFrame:
+    """One row `text`: what a version command prints: the version, what manual of which commit, and how many records in how many categories."""
+    upstream = f"zsh upstream: {tag} ({commit[:8]}, {date})" if commit else f"zsh upstream: {tag} ({date})"
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
-    return n.select(F.concat_ws(" ", F.lit(version), F.lit(f"({upstream} {commit[:8]},"), F.col("n").cast("string"), F.lit("records)")).alias("line"))
+    return n.select(F.concat(F.lit(f"{version}\n{upstream}\n"), F.col("n").cast("string"), F.lit(f" records across {len(CATEGORIES)} categories")).alias("text"))
 
 
 def schema_json(df: DataFrame) -> str:

@@ -67,8 +67,10 @@ def search_many(pool: DataFrame, queries: DataFrame) -> DataFrame:
     top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_LIMIT).where("rank <= limit").join(total, "query_id")
 
     first = pool.orderBy("cat_ord", "seq", "id").limit(MAX_LIMIT).withColumn("rank", F.row_number().over(Window.orderBy("cat_ord", "seq", "id")))  # MAX_LIMIT rows
-    every = pool.agg(F.count(F.lit(1)).alias("matches_total")).withColumn("_q", F.lit(""))
-    listing = first.withColumn("_q", F.lit("")).join(every, "_q").join(asked.where("_q = ''").select("query_id", "limit", "_q"), "_q").where("rank <= limit").withColumn("tier", F.lit(0)).withColumn("score", F.lit(None).cast("double"))
+    ranks = lambda most: F.explode(F.sequence(F.lit(1), most)).alias("rank")
+    every = pool.agg(F.count(F.lit(1)).alias("matches_total")).select("matches_total", ranks(F.lit(MAX_LIMIT)))
+    blank = asked.where("_q = '' AND limit > 0").select("query_id", ranks(F.least(F.col("limit"), F.lit(MAX_LIMIT))))
+    listing = blank.join(first.join(every, "rank"), "rank").withColumn("tier", F.lit(0)).withColumn("score", F.lit(None).cast("double"))
     out = ["query_id", "rank", "category", "id", "display", "sub_kind", "tier", "score", "matches_total"]
     return top.select(*out).unionByName(listing.select(*out))
 

@@ -22,6 +22,7 @@ from ..streaming import events as E
 from ..streaming import settings as ST
 from . import manual as M
 from . import tables as T
+from . import tools
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -752,6 +753,90 @@ def render_all(spark, sf):
     return render.rendered(markup.entry_table(M.manual(spark, sf))).select("manual", "category", "id", "seq", "markdown")
 
 
+#: Bodies of builtins in the manual's notation, one a nation in turn, and as they read, by hand.
+BODIES = (
+    ("First line\nsecond  line .\n\n\nNext `{l}' , here .", "First line second line.\n\nNext `{l}`, here."),
+    ("As described in\n\n{L} and `tt(so on)'.", "As described in {L} and `so on`."),
+    ("Text\nexample(a  b\n\n{l})\nMore.", "Text\n\n```zsh\na  b\n\n{l}\n```\n\nMore."),
+    ("goes on \\\nwith {l}\n\\\nlast", "goes on with {l}\n\nlast"),
+    ("Plain {l} ; manref(zsh)(1) ( see ) LPAR()x+RPAR()cindex(gone) .", "Plain {l}; zsh(1) ( see ) (x)."),
+)
+
+
+@query("SELECT 'r' || n_regionkey AS manual, l AS name, l || chr(10) || '[ -x ] arg' AS synopsis, replace(replace(CASE n_nationkey % 5 " + " ".join(f"WHEN {i} THEN {_sql_text(b)}" for i, (_, b) in enumerate(BODIES)) + " END, '{l}', l), '{L}', d) AS body FROM (SELECT n_regionkey, n_nationkey, translate(n_name, '0123456789', 'ABCDEFGHIJ') AS d, lower(replace(translate(n_name, '0123456789', 'ABCDEFGHIJ'), '_', '')) AS l FROM nation)")
+def manual_bodies(spark, sf):
+    display = F.translate("n_name", "0123456789", "ABCDEFGHIJ")
+    body = F.get(F.array(*[F.lit(x) for x, _ in BODIES]), (F.col("n_nationkey") % len(BODIES)).cast("int"))
+    rows = T.table(spark, sf, "nation").select("n_regionkey", "n_nationkey", display.alias("d"), F.lower(F.translate(display, "_", "")).alias("l"), body.alias("b"))
+    item = F.concat(F.lit("item(tt("), "l", F.lit(") \\\n[   tt(-x)  ] var(arg))(\n"), F.replace(F.replace("b", F.lit("{l}"), F.col("l")), F.lit("{L}"), F.col("d")), F.lit("\n)\n"))
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"]), "")
+    files = rows.groupBy("n_regionkey").agg(items.alias("i")).select(F.concat(F.lit("r"), "n_regionkey").alias("manual"), F.lit("builtins.yo").alias("file"), F.concat(F.lit("startitem()\n"), "i", F.lit("enditem()\n")).alias("value"))
+    return extract.builtins(markup.entry_table(files)).select("manual", "name", F.array_join("synopsis", "|").alias("synopsis"), F.col("desc").alias("body"))
+
+
+@query("SELECT r_name AS name, 'p' || (r_regionkey + 100) AS prefix, 'x//' || r_regionkey || '|/* ' || r_name || ' */' AS body, '- `' || r_name || '`: d, ' || (r_regionkey + 100) AS line FROM region")
+def snippet_assets(spark, sf):
+    """A commented JSON file of snippets, each name twice, read, keyed by name and listed."""
+    one = F.concat(F.lit('  // of '), "r_name", F.lit('\n  {"name": "'), "r_name", F.lit('", "prefix": "p'), "n", F.lit('", "body": ["x//'), "r_regionkey", F.lit('", "/* '), "r_name", F.lit(' */",], /* two\nlines */ "description": "d, '), "n", F.lit('",}'))
+    rows = T.table(spark, sf, "region").select("r_name", "r_regionkey", F.explode(F.array("r_regionkey", F.col("r_regionkey") + 100)).alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", one.alias("s")))), lambda x: x["s"]), ",\n")
+    path = f"{shared_folder(spark)}/glossa/snippets-{uuid.uuid4().hex}"
+    rows.agg(F.concat(F.lit("[ // names\n"), text, F.lit(",\n]")).alias("value")).coalesce(1).write.text(path)
+    read = A.read_commented(spark, path, "struct<name:string,prefix:string,body:array<string>,description:string>")
+    read = read.withColumn("place", F.substring("prefix", 2, 9).cast("int"))
+    kept = A.snippet_map(read).select(F.explode("snippets").alias("name", "s")).select("name", "s.*")
+    lines = A.bullet_list(kept, "name", "description").select(F.explode(F.split("md", "\n")).alias("line"))
+    return kept.join(lines, F.startswith("line", F.concat(F.lit("- `"), "name", F.lit("`:")))).select("name", "prefix", F.array_join("body", "|").alias("body"), "line")
+
+
+@query(f"""{M.RECORDS_SQL}, k(category, name) AS (VALUES {", ".join(f"('{c}', '{n}')" for c, (_, n) in A.FILES.items())}), m AS (SELECT DISTINCT manual FROM r)
+SELECT m.manual, '1.0' AS version, '5.9' AS upstream, 22 AS files, 'options.json' AS file_13, name, (SELECT count(*) FROM r WHERE r.manual = m.manual AND r.category = k.category) AS n FROM m, k""")
+def artifact_index(spark, sf):
+    path = f"{shared_folder(spark)}/glossa/artifacts-{uuid.uuid4().hex}"
+    A.write_artifacts(markup.entry_table(M.manual(spark, sf)), path, "1.0", "5.9")
+    rows = A.read_json_arrays(spark, f"{path}/*/index.json", "version int, packageVersion string, zshUpstream string, files array<string>, counts map<string,long>, docCategories array<string>, classifyOrder array<string>")
+    rows = rows.withColumn("manual", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/index\.json$", 1))
+    same = (F.array_sort("files") == F.col("files")) & (F.size("docCategories") == 22) & (F.size("classifyOrder") == 22)
+    rows = rows.where(same).select("manual", F.col("packageVersion").alias("version"), F.col("zshUpstream").alias("upstream"), F.size("files").alias("files"), F.get("files", F.lit(10)).alias("file_13"), F.explode("counts").alias("name", "n"))
+    return rows
+
+
+@query(r"""SELECT n_name || ' says' || chr(10) || ' "' || n_nationkey || '"' AS text FROM nation""")
+def markdown_files(spark, sf):
+    """Texts written as files of their own and read back without white space at the end."""
+    path = f"{shared_folder(spark)}/glossa/markdown-{uuid.uuid4().hex}"
+    text = F.concat("n_name", F.lit(" says\n \""), "n_nationkey", F.lit("\" \n\t\n"))
+    A.write_files(T.table(spark, sf, "nation").select(F.concat("n_name", F.lit(".md")).alias("file"), text.alias("text")), path)
+    return A.read_markdown(spark, f"{path}/*").select("text")
+
+
+@query("SELECT event_id, event_type || '|' || user_id || '| ' AS lines, 2 + 1 AS n FROM events")
+def output_lines(spark, sf):
+    text = F.concat(F.lit("\n"), "event_type", F.lit("\n\n"), "user_id", F.lit("\n \n"))
+    return T.table(spark, sf, "events").select("event_id", F.array_join(X.nonempty_lines(text), "|").alias("lines"), F.size(X.nonempty_lines(text)).alias("n"))
+
+
+_TOOL_SQL = f"""n AS (SELECT DISTINCT {NORM.format(x="n_name")} AS id, n_name AS display FROM nation), t AS (SELECT o_orderkey AS tok_id, 'NO_NATION_' || (o_custkey % 40) AS raw FROM orders)"""
+
+
+@query(f"""WITH {_TOOL_SQL} SELECT 'lookup_option' AS tool, tok_id, id, display, negated::VARCHAR AS more FROM t LEFT JOIN n ON 'no' || id = {NORM.format(x="raw")}
+UNION ALL SELECT 'classify', tok_id, id, display, CASE WHEN id IS NOT NULL THEN 'option' END FROM (SELECT t.*, n.*, id IS NOT NULL AS negated FROM t LEFT JOIN n ON 'no' || id = {NORM.format(x="raw")})
+UNION ALL SELECT 'describe', n_nationkey, {NORM.format(x="n_name")}, n_name, '**' || n_name || '**' FROM nation UNION ALL SELECT 'info', NULL, category, NULL, n::VARCHAR FROM (SELECT unnest({list(C.CATEGORIES)}) AS category), (SELECT count(*) AS c FROM n), (SELECT 0 AS z), LATERAL (SELECT CASE WHEN category = 'option' THEN c ELSE z END AS n)""".replace(", id IS NOT NULL AS negated FROM t", " FROM t").replace("negated::VARCHAR AS more", "CASE WHEN id IS NOT NULL THEN 'true' END AS more"))
+def tool_calls(spark, sf):
+    """Tools by name, each on its own table of inputs."""
+    options = T.options(spark, sf)
+    corpus = options.select(F.lit("option").alias("category"), "id", "display", F.concat(F.lit("**"), "display", F.lit("**")).alias("markdown"))
+    dim = C.category_dim(spark)
+    tokens = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tok_id"), F.concat(F.lit("NO_NATION_"), F.col("o_custkey") % 40).alias("raw"))
+    keys = T.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("tok_id"), F.lit("option").alias("category"), F.lower(F.translate("n_name", "_", "")).alias("id"))
+    row = lambda df, tool, tok, id_, display, more: df.select(F.lit(tool).alias("tool"), tok.cast("long").alias("tok_id"), id_.alias("id"), display.alias("display"), more.cast("string").alias("more"))
+    none, c = F.lit(None).cast("string"), F.col
+    found = row(tools.dispatch("lookup_option", tokens, corpus, dim), "lookup_option", c("tok_id"), c("id"), c("display"), c("negated"))
+    found = found.unionByName(row(tools.dispatch("classify", tokens, corpus, dim), "classify", c("tok_id"), c("id"), c("display"), c("category")))
+    found = found.unionByName(row(tools.dispatch("describe", keys, corpus, dim), "describe", c("tok_id"), c("id"), c("display"), c("markdown")))
+    return found.unionByName(row(tools.dispatch("info", keys, corpus, dim), "info", none, c("category"), none, c("n")))
+
+
 _FILE_SQL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, (f, _) in A.FILES.items()) + " END"
 _CAMEL_SQL = "[" + "array_to_string([CASE WHEN i = 1 THEN w ELSE upper(w[1]) || w[2:] END FOR w, i IN string_split(k, '_')], '') FOR k IN json_keys(payload)]"
 

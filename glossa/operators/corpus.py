@@ -23,6 +23,13 @@ def category_dim(spark: SparkSession, categories=CATEGORIES, classify_order=CLAS
     return spark.createDataFrame(rows, "category string, cat_ord int, classify_ord int")
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, by names of columns; paired up, so that the plans that are looked at while this is built do not grow one by one."""
+    while len(parts) > 1:
+        parts = [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + parts[len(parts) // 2 * 2 :]
+    return parts[0]
+
+
 def last_wins(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """One row a key: the values of its last row, at the place of its first."""
     rest = [c for c in rows.columns if c not in keys and c != seq]

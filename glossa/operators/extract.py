@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import closed, flag_args, option_name
-from .corpus import last_wins, merged_duplicates
+from .corpus import last_wins, merged_duplicates, united
 from .markup import alias_groups
 
 #: Sections of options.
@@ -370,12 +370,11 @@ def sub_kind(category: str) -> Column:
 
 def corpus(entries: DataFrame) -> DataFrame:
     """(manual, category, id, seq, display, sub_kind, group_op, payload): all records, keyed, each record whole as JSON in `payload`."""
-    out = None
+    parts = []
     for category, (extract, key, _) in EXTRACTORS.items():
         rows = extract(entries)
         group_op = F.col("group_op") if category == "redir" else F.lit(None).cast("string")
         display = F.col("display") if category == "option" else F.col(key)
         payload = F.to_json(F.struct(*[c for c in rows.columns if c not in ("seq", "manual")]))
-        part = rows.select("manual", F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), sub_kind(category).alias("sub_kind"), group_op.alias("group_op"), payload.alias("payload"))
-        out = part if out is None else out.unionByName(part)
-    return last_wins(out, ["manual", "category", "id"])
+        parts.append(rows.select("manual", F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), sub_kind(category).alias("sub_kind"), group_op.alias("group_op"), payload.alias("payload")))
+    return last_wins(united(parts), ["manual", "category", "id"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import option_name
-from .corpus import CATEGORIES
+from .corpus import CATEGORIES, united
 from .extract import EXTRACTORS
 
 #: What dumps call the roles of special functions.
@@ -144,12 +144,9 @@ def rendered(entries: DataFrame) -> DataFrame:
     """
     names = EXTRACTORS["option"][0](entries).select("manual", F.col("name").alias("id"), "display")
     found = {category: extract(entries) for category, (extract, _, _) in EXTRACTORS.items()}
-    texts = None
-    for category in WITH_REFS:
-        part = found[category].select("manual", F.lit(category).alias("category"), "seq", "desc")
-        texts = part if texts is None else texts.unionByName(part)
+    texts = united([found[c].select("manual", F.lit(c).alias("category"), "seq", "desc") for c in WITH_REFS])
     texts = option_refs(texts, ["manual", "category", "seq"], "desc", names, ["manual"])
-    out = None
+    parts = []
     for category, rows in found.items():
         key = EXTRACTORS[category][1]
         if category == "option":
@@ -160,9 +157,8 @@ def rendered(entries: DataFrame) -> DataFrame:
         desc = F.lit(SLOT) if category in WITH_REFS else None
         shown = markdown(category, desc)
         own = F.col("desc") if category in WITH_REFS else F.lit(None).cast("string")
-        part = rows.select("manual", F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), shown.alias("markdown"), own.isNotNull().alias("_open"))
-        out = part if out is None else out.unionByName(part)
-    out = out.join(texts, ["manual", "category", "seq"], "left")
+        parts.append(rows.select("manual", F.lit(category).alias("category"), F.col(key).alias("id"), "seq", display.alias("display"), shown.alias("markdown"), own.isNotNull().alias("_open")))
+    out = united(parts).join(texts, ["manual", "category", "seq"], "left")
     return out.select("manual", "category", "id", "seq", "display", F.when(F.col("_open"), F.replace("markdown", F.lit(SLOT), F.col("desc"))).otherwise(F.col("markdown")).alias("markdown"))
 
 

@@ -14,7 +14,8 @@ from pyspark.sql.types import StructType
 from pyspark.sql import Column, Window
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType
 
-from ..operators.corpus import CATEGORIES, CLASSIFY_ORDER
+from ..operators.corpus import CATEGORIES, CLASSIFY_ORDER, united
+from .stored import stored
 
 CORPUS = "category string, id string, seq long, display string, sub_kind string, group_op string, payload string, markdown string"
 
@@ -73,16 +74,15 @@ def artifact_lines(entries: DataFrame) -> DataFrame:
     from ..operators.extract import EXTRACTORS
     from ..operators.render import rendered
 
-    shown = rendered(entries).select("manual", "category", "seq", "markdown")
-    rows = None
+    shown = stored(rendered(entries).select("manual", "category", "seq", "markdown"), "rendered")
+    parts = []
     for category, (extract, _, _) in EXTRACTORS.items():
         records = extract(entries)
         own = records.schema
         fields = StructType([f for f in own.fields if f.name not in ("manual", "seq")])
         body = json_text(F.struct(*fields.names), fields, 2)
-        part = records.select("manual", F.lit(category).alias("category"), "seq", body.alias("body"))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.join(shown, ["manual", "category", "seq"])
+        parts.append(records.select("manual", F.lit(category).alias("category"), "seq", body.alias("body")))
+    rows = united(parts).join(shown, ["manual", "category", "seq"])
     said = json_text(F.struct("markdown"), StructType().add("markdown", "string"), 2)
     # The markdown is the last field: the record's closing brace goes behind it.
     both = F.concat(F.lit("  "), F.expr("left(body, length(body) - 4)"), F.lit(",\n"), F.expr("substring(said, 3)"))

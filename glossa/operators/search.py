@@ -47,18 +47,20 @@ def search_many(pool: DataFrame, queries: DataFrame) -> DataFrame:
     fewest names have. What that finds is tested on sets of characters, then scored. Limits are at most MAX_LIMIT. An empty query lists the pool, whose first rows are found once.
     """
     asked = queries.withColumn("_q", F.lower(text.trim(F.col("query"))))
-    names = pool.select("id", "display").distinct()
+    # Keys and scores cost much and their rows are short, so they are dealt by number of tasks, not of bytes.
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = pool.select("id", "display").distinct().repartition(tasks, "id", "display")
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in ("id", "display")]
     keys = F.array_distinct(F.concat(_keys(low[0]), F.when(F.col("display").eqNullSafe(F.col("id")), F.array().cast("array<string>")).otherwise(_keys(low[1]))))
-    index = names.select("id", "display", F.explode(keys).alias("_key"))
+    # The sets of characters are made once a name, before names are listed by key.
+    index = names.select("id", "display", fuzzy.characters(F.concat(*low)).alias("_there"), keys.alias("_keys")).select("id", "display", "_there", F.explode("_keys").alias("_key"))
     frequency = index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     distinct = asked.where("_q <> ''").select("_q").distinct()
     needed = distinct.select("_q", F.explode(_asked_keys(F.col("_q"))).alias("_key")).join(frequency, "_key", "left")
     rarest = needed.groupBy("_q").agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_key"))
     rarest = rarest.withColumn("_asked", fuzzy.characters(F.col("_q")))
-    there = index.withColumn("_there", fuzzy.characters(F.concat(*low)))
-    met = there.join(rarest, "_key").where(F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there"))) == 0)
-    found = _ranked(met.select("_q", "id", "display"), F.col("_q"))
+    met = index.join(rarest, "_key").where(F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there"))) == 0)
+    found = _ranked(met.select("_q", "id", "display").repartition(tasks, "_q", "id", "display"), F.col("_q"))
     found = found.select("_q", F.col("id").alias("_id"), F.col("display").alias("_display"), "tier", "_score", "score")
     rows = found.join(asked.where("_q <> ''"), "_q").join(pool, F.col("_id").eqNullSafe(F.col("id")) & F.col("_display").eqNullSafe(F.col("display")))
     rows = rows.select("query_id", "limit", "category", "cat_ord", "seq", "id", "display", "sub_kind", "tier", "_score", "score")

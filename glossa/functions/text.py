@@ -199,12 +199,20 @@ def nonempty_lines(x: Column | str) -> Column:
     return F.filter(F.split(_col(x), "\n"), lambda l: l != "")
 
 
+def let(value: Column, f) -> Column:
+    """`f` of a value that is computed once, however often `f` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_setopt(command: Column | str) -> Column:
     """Whether a command sets options: setopt, unsetopt, or set with a flag of either sign."""
-    words = F.split(trim(command), r"\s+")
-    head = F.element_at(words, 1)
-    flags = F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: w.rlike("^[-+][A-Za-z0-9]"))
-    return head.isin("setopt", "unsetopt") | ((head == "set") & flags)
+
+    def sets(words: Column) -> Column:
+        head = F.element_at(words, 1)
+        flags = F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: w.rlike("^[-+][A-Za-z0-9]"))
+        return head.isin("setopt", "unsetopt") | ((head == "set") & flags)
+
+    return let(F.split(trim(command), r"\s+"), sets)
 
 
 #: The tools that prose may name.

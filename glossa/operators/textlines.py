@@ -18,10 +18,15 @@ def doc_lines(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataF
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), start.alias("line_start"), "text")
 
 
+def goes_on(text: Column | str) -> Column:
+    """Whether a line ends in a backslash, blanks after it aside."""
+    return (F.col(text) if isinstance(text, str) else text).rlike(rf"\\{X.BLANK}*\z")
+
+
 def with_blocks(lines: DataFrame) -> DataFrame:
     """`lines` with `_block`, which numbers a document's runs of continued lines: a line goes on if it ends in a backslash, blanks after it aside."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    opens = F.coalesce(~F.lag("text").over(w).rlike(rf"\\{X.BLANK}*\z"), F.lit(True))
+    opens = F.coalesce(~goes_on(F.lag("text").over(w)), F.lit(True))
     return lines.withColumn("_opens", opens).withColumn("_block", F.sum(F.when(F.col("_opens"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .facts import SYMBOL_EDGES, TOKEN_ENDS, WORD, active, with_facts
+from .facts import SYMBOL_EDGES, TOKEN_ENDS, WORD, active, binned, with_facts
 from .resolve import begun, flag_index, resolve
 from .textlines import function_docs, function_index, matched, name_tokens
 
@@ -48,21 +48,21 @@ def _lengths(symbols: DataFrame) -> DataFrame:
 def symbol_spans(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """(doc_id, line_no, start, end, id, seq): every place of a symbol (id, seq) in the active text that ends or brackets, or blanks, surround.
 
-    Texts of the symbols' lengths from every such edge on meet the symbols by equality: as many as there are lengths, whatever the number of symbols.
+    Texts of the symbols' lengths from every such edge on meet the symbols by equality: as many as there are lengths, whatever the number of symbols. The symbols go to the texts, which
+    are many more: they are the operators of a language.
     """
     rows = with_facts(lines, pieces=True).where("edges IS NOT NULL").crossJoin(F.broadcast(_lengths(symbols)))
     rows = rows.select("doc_id", "line_no", F.inline(_windows(F.col("_lengths")))).withColumnRenamed("text", "id")
-    return rows.join(symbols.select("id", "seq"), "id").select("doc_id", "line_no", "start", "end", "id", "seq")
+    return rows.join(F.broadcast(symbols.select("id", "seq")), "id").select("doc_id", "line_no", "start", "end", "id", "seq")
 
 
 def longest_symbol_at(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(points.*, id, start, end): the longest symbol around each (doc_id, line_no, char_no), then the first of the dictionary, then the leftmost; or nulls."""
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))))
-    asked = points.withColumn("_bin", F.floor(F.col("char_no") / BIN))
-    inside = (F.col("char_no") >= F.col("start")) & (F.col("char_no") < F.col("end"))
-    hit = asked.join(binned, ["doc_id", "line_no", "_bin"]).where(inside).groupBy("doc_id", "line_no", "char_no")
-    best = hit.agg(F.min_by(F.struct("id", "start", "end"), F.struct(F.col("start") - F.col("end"), F.col("seq"), F.col("start"))).alias("_b"))
-    return points.join(best, ["doc_id", "line_no", "char_no"], "left").select(*points.columns, "_b.id", "_b.start", "_b.end")
+    of = F.struct((F.col("start") - F.col("end")).alias("size"), "seq", F.col("start").alias("at"), "id", "start", "end")
+    found = binned(spans, ["doc_id", "line_no"], F.col("start"), F.col("end") - 1, of, BIN)
+    rows = points.withColumn("_bin", F.floor(F.col("char_no") / BIN)).join(found, ["doc_id", "line_no", "_bin"], "left")
+    rows = rows.withColumn("_b", F.array_min(F.filter("_spans", lambda x: (F.col("char_no") >= x["start"]) & (F.col("char_no") < x["end"]))))
+    return rows.select(*points.columns, "_b.id", "_b.start", "_b.end")
 
 
 def _probes(lines: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def hovered(points: DataFrame, lines: DataFrame, contexts: DataFrame, corpus: Da
     a precommand, a builtin, the line's first redirection, its first process substitution; a complex command, a reserved word. `start` and `end` are places in the line, null where no token gives a range.
 
     lines: (doc_id, line_no, line_start, text); contexts: spans of `analyzed`, kind ctx; corpus: (category, id, seq, group_op); flags: (id, flags) of the options.
-    Every distinct name is resolved once, in one join. All spans and contexts meet the places in one join, and one aggregate decides.
+    Every distinct name is resolved once, in one join. A place meets the spans of its part of the line, and then the contexts of its part of the document, as one row each.
     """
     symbols = corpus.where((F.col("category") == "cond_op") & F.col("id").rlike(f"[{TOKEN_ENDS}]")).select("id", "seq")
     probes = _probes(lines, symbols)
@@ -107,30 +107,27 @@ def hovered(points: DataFrame, lines: DataFrame, contexts: DataFrame, corpus: Da
     answers = answers.unionByName(letters)
     found = probes.where(~F.col("category").isin("token", "function")).join(answers, ["category", "raw"]).withColumn("body", F.lit(None).cast("string"))
     docs = function_docs(function_index(lines)).select("doc_id", F.col("name").alias("raw"), F.col("doc_text").alias("body"))
-    own = probes.where("category = 'function'").join(docs, ["doc_id", "raw"]).withColumn("id", F.col("raw")).withColumn("seq", F.lit(0).cast("long"))
-    bare = probes.where("category = 'token'").select("doc_id", "line_start", "start", "end", "need")
+    own = probes.where("category = 'function'").join(docs.hint("merge"), ["doc_id", "raw"]).withColumn("id", F.col("raw")).withColumn("seq", F.lit(0).cast("long"))
+    bare = probes.where("category = 'token'").select("doc_id", "line_no", "start", "end", "need")
 
     longer = F.col("pri").isin(3, 4).cast("int")
     category = F.when(F.col("category") == "flag", "option").otherwise(F.col("category"))
     answer = F.struct("pri", category.alias("category"), "id", F.when(F.col("pri") != 8, F.col("start")).alias("start"), F.when(F.col("pri") != 8, F.col("end") - longer).alias("end"), "body")
     rank = F.struct("pri", (F.when(F.col("need") == "symbol", F.col("start") - F.col("end")).otherwise(0)).alias("longest"), "seq", "start")
-    place = [(F.col("line_start") + F.col("start")).alias("a"), (F.col("line_start") + F.col("end")).alias("b"), "need"]
-    spans = found.unionByName(own).select("doc_id", *place, rank.alias("rank"), answer.alias("answer"))
-    spans = spans.unionByName(bare.select("doc_id", *place, F.struct("start", "end").alias("range")), allowMissingColumns=True)
-    ctx = contexts.select("doc_id", F.col("span_start").alias("a"), (F.col("span_end") + 1).alias("b"), F.concat(F.lit("in "), "ctx").alias("need"))
-    spans = spans.unionByName(ctx, allowMissingColumns=True)
-    spans = spans.where("a < b").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor((F.col("b") - 1) / BIN))))
-
-    at = points.select("doc_id", "line_no", "char_no").join(lines.select("doc_id", "line_no", "line_start"), ["doc_id", "line_no"])
-    at = at.withColumn("_at", F.col("line_start") + F.col("char_no")).withColumn("_bin", F.floor(F.col("_at") / BIN))
-    met = at.join(spans, ["doc_id", "_bin"], "left")
-    inside = (F.col("_at") >= F.col("a")) & (F.col("_at") < F.col("b"))
-    is_ = lambda name: inside & (F.col("need") == name)
-    best = lambda need: F.min_by(F.col("answer"), F.when(need & F.col("answer").isNotNull(), F.col("rank")))
-    place = met.groupBy("doc_id", "line_no", "char_no").agg(
-        F.max(F.when(is_("in setopt"), 2).when(is_("in cond"), 1).otherwise(0)).alias("_ctx"), F.max(F.when(is_("token"), F.col("range"))).alias("_token"),
-        best(is_("setopt")).alias("_setopt"), best(is_("cond")).alias("_cond"), best(is_("symbol")).alias("_symbol"), best(inside & F.col("need").isNull()).alias("_any"),
+    place = ["doc_id", "line_no", "start", "end", "need"]
+    spans = found.unionByName(own).select(*place, rank.alias("rank"), answer.alias("answer"))
+    spans = spans.unionByName(bare.select(*place, F.struct("start", "end").alias("range")), allowMissingColumns=True).where("start < end")
+    spans = binned(spans, ["doc_id", "line_no"], F.col("start"), F.col("end") - 1, F.struct("start", "end", "need", "rank", "answer", "range"), BIN)
+
+    at = points.select("doc_id", "line_no", "char_no").withColumn("_bin", F.floor(F.col("char_no") / BIN)).join(spans, ["doc_id", "line_no", "_bin"], "left")
+    at = at.withColumn("_in", F.coalesce(F.filter("_spans", lambda x: (F.col("char_no") >= x["start"]) & (F.col("char_no") < x["end"])), F.array())).drop("_spans", "_bin")
+    best = lambda need: F.array_min(F.transform(F.filter("_in", lambda x: need(x["need"]) & x["answer"].isNotNull()), lambda x: F.struct(x["rank"].alias("rank"), x["answer"].alias("answer"))))["answer"]
+    is_ = lambda name: lambda need: need.eqNullSafe(name)
+    place = at.select(
+        "doc_id", "line_no", "char_no", F.array_max(F.transform(F.filter("_in", lambda x: x["need"].eqNullSafe("token")), lambda x: x["range"])).alias("_token"),
+        best(is_("setopt")).alias("_setopt"), best(is_("cond")).alias("_cond"), best(is_("symbol")).alias("_symbol"), best(lambda need: need.isNull()).alias("_any"),
     )
+    place = _in_contexts(place, lines, contexts)
     tested = F.when(F.col("_token").isNotNull(), F.col("_cond")).otherwise(F.col("_symbol"))
     place = place.withColumn("_a", F.coalesce(F.when(F.col("_ctx") == 2, F.col("_setopt")), F.when(F.col("_ctx") == 1, tested), F.col("_any")))
     source = F.when(F.col("_a.category") == "function", "function").when(F.col("_a").isNotNull(), "corpus")
@@ -141,23 +138,26 @@ def hovered(points: DataFrame, lines: DataFrame, contexts: DataFrame, corpus: Da
 def word_at(points: DataFrame, lines: DataFrame) -> DataFrame:
     """(points.*, typed): the word that each place (doc_id, line_no, char_no) is in or at the end of, comments included; empty without one."""
     spans = matched(lines, ["doc_id", "line_no"], F.col("text"), WORD)
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
-    asked = points.withColumn("_bin", F.floor(F.col("char_no") / BIN)).alias("p")
-    hit = (F.col("p.char_no") >= F.col("s.start")) & (F.col("p.char_no") <= F.col("s.end"))
-    on = (F.col("p.doc_id") == F.col("s.doc_id")) & (F.col("p.line_no") == F.col("s.line_no")) & (F.col("p._bin") == F.col("s._bin")) & hit
-    return asked.join(binned.alias("s"), on, "left").select(*[F.col(f"p.{c}") for c in points.columns], F.coalesce("s.word", F.lit("")).alias("typed"))
+    found = binned(spans, ["doc_id", "line_no"], F.col("start"), F.col("end"), F.struct("start", "end", "word"), BIN)
+    rows = points.withColumn("_bin", F.floor(F.col("char_no") / BIN)).join(found, ["doc_id", "line_no", "_bin"], "left")
+    hit = F.filter("_spans", lambda x: (F.col("char_no") >= x["start"]) & (F.col("char_no") <= x["end"]))
+    return rows.select(*points.columns, F.coalesce(F.get(hit, F.lit(0))["word"], F.lit("")).alias("typed"))  # words do not touch
+
+
+def _in_contexts(points: DataFrame, lines: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(points.*, _ctx) of places (doc_id, line_no, char_no) in lines: 2 in option settings, 1 in tests, else 0; contexts cover their end too."""
+    pri = F.when(F.col("ctx") == "setopt", 2).otherwise(1)
+    spans = binned(contexts.where(F.col("ctx").isin("setopt", "cond")), ["doc_id"], F.col("span_start"), F.col("span_end"), F.struct(F.col("span_start").alias("a"), F.col("span_end").alias("b"), pri.alias("pri")), BIN)
+    rows = points.join(lines.select("doc_id", "line_no", "line_start").hint("merge"), ["doc_id", "line_no"]).withColumn("_at", F.col("line_start") + F.col("char_no"))
+    rows = rows.withColumn("_bin", F.floor(F.col("_at") / BIN)).join(spans, ["doc_id", "_bin"], "left")
+    hit = F.transform(F.filter("_spans", lambda x: (F.col("_at") >= x["a"]) & (F.col("_at") <= x["b"])), lambda x: x["pri"])
+    return rows.select(*points.columns, F.coalesce(F.array_max(hit), F.lit(0)).alias("_ctx"))
 
 
 def routed(points: DataFrame, lines: DataFrame, contexts: DataFrame) -> DataFrame:
     """(doc_id, line_no, char_no, route, typed): what is asked at each place: options, the operators of tests, or general code; arithmetic is general."""
-    spans = contexts.where(F.col("ctx").isin("setopt", "cond")).select("doc_id", F.col("span_start").alias("a"), F.col("span_end").alias("b"), "ctx")
-    spans = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("a") / BIN), F.floor(F.col("b") / BIN))))
-    asked = word_at(points.select("doc_id", "line_no", "char_no"), lines).join(lines.select("doc_id", "line_no", "line_start"), ["doc_id", "line_no"])
-    asked = asked.withColumn("_at", F.col("line_start") + F.col("char_no")).withColumn("_bin", F.floor(F.col("_at") / BIN))
-    inside = (F.col("_at") >= F.col("a")) & (F.col("_at") <= F.col("b"))
-    route = F.max(F.when(inside & (F.col("ctx") == "setopt"), 2).when(inside, 1).otherwise(0))
-    rows = asked.join(spans, ["doc_id", "_bin"], "left").groupBy("doc_id", "line_no", "char_no", "typed").agg(route.alias("_r"))
-    return rows.select("doc_id", "line_no", "char_no", F.when(F.col("_r") == 2, "setopt").when(F.col("_r") == 1, "cond").otherwise("general").alias("route"), "typed")
+    rows = _in_contexts(word_at(points.select("doc_id", "line_no", "char_no"), lines), lines, contexts)
+    return rows.select("doc_id", "line_no", "char_no", F.when(F.col("_ctx") == 2, "setopt").when(F.col("_ctx") == 1, "cond").otherwise("general").alias("route"), "typed")
 
 
 def completions(asks: DataFrame, lines: DataFrame, corpus: DataFrame) -> DataFrame:

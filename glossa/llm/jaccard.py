@@ -14,6 +14,10 @@ meet, the tree's most central member, the one with the most fellows over all its
 apart is packed into R-trees: points in order of tree, size and interleaved coordinates are cut into leaves and tiles, tiles of a tree meet by a join on box bounds, and a task goes
 through two tiles' leaves and points. Boxes of one component are passed over. No link is left out, and no links, points or components reach the driver.
 
+Summed minima are loose for sets that nearly link: shingles that differ but fall into one group count as shared. Each set thus has PARITY bits too, each telling whether an odd number of its
+shingles falls there. Two sets differ in at least as many shingles as bits, so pairs of a tree whose bits tell them apart go where they are met, and groups of texts that are
+near but below the threshold, which meet in most of their trees, are not listed pair by pair in each of them.
+
 Cases: null texts and texts without words have an empty set and are linked with nothing, as are rows with a null id (`component_id` null). Rows that share an id are
 one document and linked. Repeated rows are one node; an empty table gives no rows; other columns are ignored.
 """
@@ -35,6 +39,8 @@ from .vector import U, groups, mix
 SHINGLE, THRESHOLD = 3, 90
 #: Coordinates of a point.
 GROUPS = 64
+#: Bits of a set that tell odd counts.
+PARITY = 2048
 #: Points of a leaf, leaves of a tile.
 LEAF, FANOUT = 32, 32
 #: Sizes of a class grow by this factor, in halves.
@@ -96,7 +102,7 @@ def tree_keys(key: np.ndarray, doc: np.ndarray, size: np.ndarray, threshold: int
 
 
 def signatures(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, point, trees): the set's size, a 128-bit fingerprint, its counts by group, and the trees it is dealt to."""
+    """(doc_id, n_shingles, f1, f2, point, bits, trees): the set's size, a 128-bit fingerprint, its counts by group, their parities by finer groups, and the trees it is dealt to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,36 +112,46 @@ def signatures(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                 for a, b in groups(texts):
                     key, doc, size = _sets(texts[a:b], n)
                     point = np.bincount(doc * GROUPS + (mix(key) >> U(58)).astype(np.int64), minlength=(b - a) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+                    odd = np.bincount(doc * PARITY + (mix(key + U(_OTHER)) % U(PARITY)).astype(np.int64), minlength=(b - a) * PARITY).reshape(-1, PARITY) & 1
                     f1, f2 = np.zeros(b - a, U), np.zeros(b - a, U)
                     np.add.at(f1, doc, key)
                     np.add.at(f2, doc, mix(key ^ U(_OTHER)))
                     trees, count = tree_keys(key, doc, size, threshold)
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(trees, pa.int64()))
-                    cols = [ids.slice(at + a, b - a), pa.array(size), pa.array(f1.astype(np.int64)), pa.array(f2.astype(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), lists]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "point", "trees"])
+                    cols = [ids.slice(at + a, b - a), pa.array(size), pa.array(f1.astype(np.int64)), pa.array(f2.astype(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), pa.array([p.tobytes() for p in np.packbits(odd.astype(np.uint8), axis=1)], pa.binary()), lists]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "f1", "f2", "point", "bits", "trees"])
                 at += 256
 
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, point binary, trees array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, point binary, bits binary, trees array<long>")
 
 
 def _points(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
 
 
+def _odd(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U).reshape(-1, PARITY // 64)
+
+
+def _like(bits: np.ndarray, bits2: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs of sets, with so many members together, differ in few enough bits to reach the threshold."""
+    return (100 + threshold) * np.bitwise_count(bits ^ bits2).sum(axis=1, dtype=np.int64) <= (100 - threshold) * sizes
+
+
 def bounded(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (x, y) whose summed coordinate minima can reach the threshold."""
-    side = lambda name: reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("point").alias(f"p{name}"))
+    """The pairs (x, y) whose summed coordinate minima and bits can reach the threshold."""
+    side = lambda name: reps.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("point").alias(f"p{name}"), F.col("bits").alias(f"b{name}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").where(100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = np.minimum(_points(batch.column("px")), _points(batch.column("py"))).sum(axis=1)
             size = np.asarray(batch.column("nx")) + np.asarray(batch.column("ny"))
-            yes = pa.array((100 + threshold) * shared >= threshold * size)
+            yes = pa.array(((100 + threshold) * shared >= threshold * size) & _like(_odd(batch.column("bx")), _odd(batch.column("by")), size, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(yes) for c in ("x", "y")], names=["x", "y"])
 
-    return both.select("x", "y", "nx", "ny", "px", "py").mapInArrow(run, pairs.select("x", "y").schema).distinct()
+    return both.select("x", "y", "nx", "ny", "px", "py", "bx", "by").mapInArrow(run, pairs.select("x", "y").schema).distinct()
 
 
 def _interleaved(points: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -150,8 +166,9 @@ def _interleaved(points: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def placed(open_: DataFrame, reps: DataFrame) -> DataFrame:
-    """(tree, band, code, node, label, size, point) of the members (tree, node, label): where each stands in its tree's order."""
-    rows = open_.join(reps.select("node", F.col("n_shingles").alias("size"), "point"), "node").select("tree", "node", "label", "size", "point")
+    """(tree, band, code, node, label, size, point, bits) of the members (tree, node, label): where each stands in its tree's order. Without `bits` in `reps`, points alone decide."""
+    bits = F.col("bits") if "bits" in reps.columns else F.lit(None).cast("binary").alias("bits")
+    rows = open_.join(reps.select("node", F.col("n_shingles").alias("size"), "point", bits), "node").select("tree", "node", "label", "size", "point", "bits")
     kind = rows.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +176,13 @@ def placed(open_: DataFrame, reps: DataFrame) -> DataFrame:
             size = np.asarray(batch.column("size"))
             band = (np.log(np.maximum(size, 1)) * 16).astype(np.int64)  # sizes within some 6 percent
             code = _interleaved(_points(batch.column("point")), size)
-            yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array(band), pa.array(code), *[batch.column(c) for c in ("node", "label", "size", "point")]], names=["tree", "band", "code", "node", "label", "size", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array(band), pa.array(code), *[batch.column(c) for c in ("node", "label", "size", "point", "bits")]], names=["tree", "band", "code", "node", "label", "size", "point", "bits"])
 
-    return rows.mapInArrow(run, f"tree long, band long, code long, node {kind}, label {kind}, size long, point binary")
+    return rows.mapInArrow(run, f"tree long, band long, code long, node {kind}, label {kind}, size long, point binary, bits binary")
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """(tree, tile, lo, hi, n_lo, n_hi, one, nodes, labels, sizes, points): runs of at most LEAF * FANOUT points of one tree in its order, with their box; `one` is their label if they have one alone.
+    """(tree, tile, lo, hi, n_lo, n_hi, one, nodes, labels, sizes, points, bits): runs of at most LEAF * FANOUT points of one tree in its order, with their box; `one` is their label if they have one alone.
 
     Ranges of the order go to partitions, so a large tree spreads over tasks.
     """
@@ -180,15 +197,15 @@ def tiles(rows: DataFrame) -> DataFrame:
             nonlocal made
             t = pa.Table.from_batches(parts).combine_chunks()
             points, size = _points(t.column("point").combine_chunks()), np.asarray(t.column("size"))
-            label = t.column("label").combine_chunks()
+            label, bits = t.column("label").combine_chunks(), t.column("bits")
             one = label[0] if len(label.unique()) == 1 else None
             lists = lambda c: pa.array([t.column(c).to_pylist()], pa.list_(t.schema.field(c).type))
             made += 1
             cols = [
                 t.column("tree").combine_chunks().slice(0, 1), pa.array([(part << 32) + made], pa.int64()), pa.array([points.min(axis=0).tolist()], pa.list_(pa.int32())), pa.array([points.max(axis=0).tolist()], pa.list_(pa.int32())),
-                pa.array([size.min()], pa.int64()), pa.array([size.max()], pa.int64()), pa.array([one.as_py() if one is not None else None], label.type), lists("node"), lists("label"), lists("size"), pa.array([points.tobytes()], pa.binary()),
+                pa.array([size.min()], pa.int64()), pa.array([size.max()], pa.int64()), pa.array([one.as_py() if one is not None else None], label.type), lists("node"), lists("label"), lists("size"), pa.array([points.tobytes()], pa.binary()), pa.array([None if bits.null_count else b"".join(bits.to_pylist())], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(cols, names=["tree", "tile", "lo", "hi", "n_lo", "n_hi", "one", "nodes", "labels", "sizes", "points"])
+            return pa.RecordBatch.from_arrays(cols, names=["tree", "tile", "lo", "hi", "n_lo", "n_hi", "one", "nodes", "labels", "sizes", "points", "bits"])
 
         for batch in batches:
             tree = np.asarray(batch.column("tree"))
@@ -204,8 +221,8 @@ def tiles(rows: DataFrame) -> DataFrame:
         if held:
             yield tile(held)
 
-    schema = f"tree long, tile long, lo array<int>, hi array<int>, n_lo long, n_hi long, one {kind}, nodes array<{kind}>, labels array<{kind}>, sizes array<long>, points binary"
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "node", "label", "size", "point").mapInArrow(run, schema)
+    schema = f"tree long, tile long, lo array<int>, hi array<int>, n_lo long, n_hi long, one {kind}, nodes array<{kind}>, labels array<{kind}>, sizes array<long>, points binary, bits binary"
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "node", "label", "size", "point", "bits").mapInArrow(run, schema)
 
 
 def _boxes(points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -214,9 +231,9 @@ def _boxes(points: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _met(p: tuple, q: tuple | None, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of two tiles (or, without q, of one) that different labels, sizes and summed minima leave, by leaves. p, q: (points, sizes, label numbers)."""
+    """Places of the pairs of two tiles (or, without q, of one) that different labels, sizes, summed minima and bits leave, by leaves. p, q: (points, sizes, label numbers, bits or none)."""
     one, q = q is None, q or p
-    (points, size, label), (points2, size2, label2) = p, q
+    (points, size, label, bits), (points2, size2, label2, bits2) = p, q
     (lo, hi, small, big), (lo2, hi2, small2, big2) = _boxes(points, size), _boxes(points2, size2)
     for i in range(len(lo)):
         shared = np.minimum(hi[i], hi2).sum(axis=1)
@@ -234,6 +251,9 @@ def _met(p: tuple, q: tuple | None, threshold: int) -> Iterator[tuple[np.ndarray
             a, b = rows[a], cols[b]
             if one:
                 a, b = a[a < b], b[a < b]
+            if bits is not None and bits2 is not None and len(a):
+                like = _like(bits[a], bits2[b], size[a] + size2[b], threshold)
+                a, b = a[like], b[like]
             if len(a):
                 yield a, b
 
@@ -246,7 +266,7 @@ def tree_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     shared = F.aggregate(F.zip_with("hi", "hi_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, x: s + x)
     able = (F.col("tile") < F.col("tile_y")) & (100 * F.col("n_hi") >= threshold * F.col("n_lo_y")) & (100 * F.col("n_hi_y") >= threshold * F.col("n_lo"))
     able = able & ((100 + threshold) * shared >= threshold * (F.col("n_lo") + F.col("n_lo_y"))) & F.coalesce(F.col("one") != F.col("one_y"), F.lit(True))
-    names = ["nodes", "labels", "sizes", "points"]
+    names = ["nodes", "labels", "sizes", "points", "bits"]
     two = packed.join(other, "tree").where(able).select(*names, *[f"{c}_y" for c in names])
     alone = packed.where("one IS NULL").select(*names, *[F.lit(None).cast(packed.schema[c].dataType).alias(f"{c}_y") for c in names])
 
@@ -254,15 +274,17 @@ def tree_pairs(rows: DataFrame, threshold: int) -> DataFrame:
         if batch.column(f"nodes{end}")[i].as_py() is None:
             return None
         points = np.frombuffer(batch.column(f"points{end}")[i].as_py(), np.int32).reshape(-1, GROUPS)
-        return points, np.asarray(batch.column(f"sizes{end}")[i].values), batch.column(f"labels{end}")[i].values, batch.column(f"nodes{end}")[i].values
+        bits = batch.column(f"bits{end}")[i].as_py()
+        bits = None if bits is None else np.frombuffer(bits, U).reshape(-1, PARITY // 64)
+        return points, np.asarray(batch.column(f"sizes{end}")[i].values), batch.column(f"labels{end}")[i].values, batch.column(f"nodes{end}")[i].values, bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 p, q = side(batch, i, ""), side(batch, i, "_y")
                 number = pa.concat_arrays([p[2], q[2]] if q else [p[2]]).dictionary_encode().indices.to_numpy()
-                one = (p[0], p[1], number[: len(p[0])])
-                two_ = (q[0], q[1], number[len(p[0]) :]) if q else None
+                one = (p[0], p[1], number[: len(p[0])], p[4])
+                two_ = (q[0], q[1], number[len(p[0]) :], q[4]) if q else None
                 for a, b in _met(one, two_, threshold):
                     yield pa.RecordBatch.from_arrays([p[3].take(pa.array(a)), (q or p)[3].take(pa.array(b))], names=["x", "y"])
 
@@ -277,7 +299,7 @@ def joined(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> Dat
     classes = written(live.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node")), "classes")
     # The first row of a class by id stands for it; rows that share its id and set are equal.
     reps = live.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "n_shingles", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "f1", "f2"])
-    reps = written(reps.select(F.col("doc_id").alias("node"), "n_shingles", "point", "trees"), "points")
+    reps = written(reps.select(F.col("doc_id").alias("node"), "n_shingles", "point", "bits", "trees"), "points")
 
     dealt = reps.select(F.explode("trees").alias("tree"), "node")
     shared = dealt.groupBy("tree").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("held")).where("least <> most")

@@ -97,6 +97,35 @@ def test_tree_pairs_against_all_points(spark, monkeypatch):
     assert got == want and want
 
 
+def test_near_texts_below_the_threshold_are_not_listed_in_each_tree(spark, monkeypatch):
+    """Texts that differ in some 12 percent of their shingles meet in many trees, but their bits tell all of them apart there."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(600)]
+    docs = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 600, 4), 13):
+            words[at] = f"e{i}-{at}"
+        docs.append((i, " ".join(words)))
+    listed = []
+    plain = jaccard.tree_pairs
+    monkeypatch.setattr(jaccard, "tree_pairs", lambda rows, threshold: listed.append((plain(rows, threshold).count(), rows.count())) or plain(rows, threshold))
+    same(spark, docs)
+    assert len({c for _, c in brute(docs).values()}) == 60
+    assert listed[0][0] <= 60 < listed[0][1]
+
+
+def test_bits_never_drop_a_link():
+    """Sets at the threshold have few bits that differ, whatever their size."""
+    rng = np.random.default_rng(5)
+    for size in [10, 19, 100, 1000, 20_000]:
+        most = jaccard.differing(size, size, 90)
+        a = rng.integers(1, 2**63, size, dtype=np.uint64)
+        b = np.concatenate((a[most // 2 :], rng.integers(1, 2**63, most // 2, dtype=np.uint64)))
+        bits = [np.packbits((np.bincount((jaccard.mix(x) % np.uint64(jaccard.PARITY)).astype(np.int64), minlength=jaccard.PARITY) & 1).astype(np.uint8)).view(np.uint64)[None] for x in (a, b)]
+        assert jaccard._like(*bits, np.array([2 * size]), 90).all()
+
+
 def test_linked_sets_share_a_tree():
     """Sets at the threshold, of all sizes, always have a group with equal content."""
     rng = np.random.default_rng(2)

@@ -32,36 +32,30 @@ def _said(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value)
 
 
+#: What texts are made of: fenced regions (to the end of their last line or of the text), code spans, words, ends of lines, gaps, and single backticks. The group is a word that may name an option.
+PIECES = r"(?<![^\n])```(?s:.*?)(?:\n```[^\n]*|\z)|`[^`\n]+`|(?<!\$)(?<!\$\{)([A-Z][A-Z0-9_]*+(?![a-z]))|[A-Za-z0-9_]+|\n|[^A-Za-z0-9_`\n]+|`"
+
+
 def option_refs(rows: DataFrame, key: list[str], column: str, names: DataFrame, within: list[str] | None = None) -> DataFrame:
     """`rows` with the option names in `column` set bold, outside fences, code spans and parameter references. names: (id), or (within, id), the names of each `within`.
 
-    Texts become words and gaps; words that look like options meet the names by equality, with and without a leading no. The work is linear in a text.
+    Texts are cut into pieces where they are; only words that look like options leave them, with their places, meet the names by equality, with and without a leading no, and come back as one row a text.
+    The work is linear in a text.
     """
     within = within or []
-    lines = rows.select(*key, F.posexplode(F.split(column, "\n", -1)).alias("_line", "_text"))
-    w = Window.partitionBy(*key).orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.startswith("_text", F.lit("```"))
-    lines = lines.withColumn("_fenced", fence | (F.sum(F.when(fence, 1).otherwise(0)).over(w) % 2 == 1))
-    pieces = F.regexp_extract_all("_text", F.lit("(`[^`\n]+`|[^`]+|`)"), F.lit(1))
-    is_code = lambda p: p.startswith("`") & p.endswith("`") & (F.length(p) > 2)
-    cut = lambda p: F.when(is_code(p), F.array(p)).otherwise(F.regexp_extract_all(p, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1)))
-    bits = F.when(F.col("_fenced"), F.array("_text")).otherwise(F.flatten(F.transform(pieces, cut)))
-    long = lines.select(*key, "_line", "_fenced", F.posexplode_outer(bits).alias("_at", "_bit"))
-    before = F.lag("_bit").over(Window.partitionBy(*key).orderBy("_line", "_at"))
-    apart = (F.coalesce("_at", F.lit(0)) == 0) | ~F.coalesce(before.endswith("$") | before.endswith("${"), F.lit(False))
-    looks = ~F.col("_fenced") & F.col("_bit").rlike("^[A-Z][A-Z0-9_]*$") & F.col("_apart")
-    long = long.withColumn("_apart", apart)
-    long = long.withColumn("_k1", F.when(looks, option_name("_bit"))).withColumn("_k2", F.when(looks & F.col("_bit").rlike("^NO_?"), option_name(F.regexp_replace("_bit", "^NO_?", ""))))
-    known = names.select(*within, "id").distinct()
-    # One join finds both forms: a word is listed once for each name that it may be, and most words for none.
-    maybe = long.where("_k1 IS NOT NULL").select(*within, F.col("_bit").alias("_word"), F.explode(F.array_compact(F.array("_k1", "_k2"))).alias("id")).distinct()
-    hits = maybe.join(known, [*within, "id"]).select(*within, F.col("_word").alias("_bit"), F.lit(True).alias("_hit")).distinct()
-    long = long.join(hits, [*within, "_bit"], "left")
-    shown = F.when(F.col("_hit") & F.col("_k1").isNotNull(), F.concat(F.lit("**`"), "_bit", F.lit("`**"))).otherwise(F.coalesce("_bit", F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", shown.alias("_s"))))
-    per_line = long.groupBy(*key, "_line").agg(F.array_join(F.transform(ordered, lambda x: x["_s"]), "").alias("_s"))
-    text = per_line.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", "_s"))), lambda x: x["_s"]), "\n").alias("_new"))
-    return rows.join(text, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+    words = rows.select(*dict.fromkeys([*key, *within]), F.posexplode(F.regexp_extract_all(column, F.lit(PIECES), F.lit(1))).alias("_at", "_word")).where("_word <> ''")
+    other = F.when(F.col("_word").rlike("^NO_?"), option_name(F.regexp_replace("_word", "^NO_?", "")))
+    asked = words.select(*dict.fromkeys([*key, *within]), "_at", F.explode(F.array_compact(F.array(option_name("_word"), other))).alias("id"))
+    hits = asked.join(names.select(*within, "id").distinct(), [*within, "id"])
+    places = hits.groupBy(*key).agg(F.array_sort(F.collect_set("_at")).alias("_at"))
+    bits, at = F.col("_bits"), F.col("_at")
+    upto = lambda a, k: F.array_join(F.slice(bits, a + 1, k), "")
+    # What stands before each place, from the one before it on, and the word; then the rest.
+    since = lambda j: F.coalesce(F.get(at, j - 1) + 1, F.lit(0))
+    bold = F.transform(at, lambda a, j: F.concat(upto(since(j), a - since(j)), F.lit("**`"), F.get(bits, a), F.lit("`**")))
+    text = F.concat(F.array_join(bold, ""), upto(F.element_at(at, -1) + 1, F.size(bits) - F.element_at(at, -1) - 1))
+    rows = rows.join(places, key, "left").withColumn("_bits", F.when(at.isNotNull(), F.regexp_extract_all(column, F.lit(PIECES), F.lit(0))))
+    return rows.withColumn(column, F.when(at.isNotNull(), text).otherwise(F.col(column))).drop("_bits", "_at")
 
 
 #: Categories whose descriptions have their option names set bold.

@@ -43,9 +43,14 @@ def fuzzy_score(pattern: Column, name: Column) -> Column:
     return F.when(fits, F.when(p == h, F.lit(MOST)).otherwise(walked))
 
 
+#: The characters that sets of characters tell.
+CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789" + BREAKS
+N_CHARACTERS = len(CHARACTERS)
+
+
 def characters(name: Column) -> Column:
     """Which lower-case letters, digits and breaks a text has, a bit each."""
-    bits = [F.when(F.contains(name, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789" + BREAKS)]
+    bits = [F.when(F.contains(name, F.lit(c)), F.lit(1 << k).cast("long")).otherwise(F.lit(0)) for k, c in enumerate(CHARACTERS)]
     out = bits[0].cast("long")
     for b in bits[1:]:
         out = out.bitwiseOR(b.cast("long"))

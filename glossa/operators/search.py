@@ -27,39 +27,43 @@ def _ranked(rows: DataFrame, query: Column) -> DataFrame:
     return rows.where((F.col("tier") < 2) | F.col("_score").isNotNull()).withColumn("score", F.when(F.col("_score").isNotNull(), F.least(F.col("_score") / BAND, F.lit(1.0))))
 
 
-def _keys(name: Column) -> Column:
-    """What an index of a lower-case name holds: each character, and each pair of characters of which the first stands somewhere before the second."""
-    places = F.transform(F.filter(F.array_distinct(F.split(name, "")), lambda c: c != ""), lambda c: F.struct(c.alias("c"), F.call_function("instr", name, c).alias("first"), (F.length(name) + 1 - F.call_function("instr", F.reverse(name), c)).alias("last")))
-    pairs = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda b: b["last"] > a["first"]), lambda b: F.concat(a["c"], b["c"]))))
-    return F.concat(F.transform(places, lambda p: p["c"]), pairs)
+#: The key under which an index of sets lists all of them.
+ALL = -1
 
 
-def _asked_keys(query: Column) -> Column:
-    """The pairs of neighbours of a query, or its only character: all of them are keys of a name that has it as a subsequence."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(query) - 1), lambda i: F.substring(query, i, F.lit(2)))
-    return F.when(F.length(query) == 1, F.array(query)).otherwise(F.array_distinct(pairs))
+def _members(set_: Column) -> Column:
+    """The numbers of a set of characters, as `fuzzy.characters` makes it."""
+    return F.filter(F.sequence(F.lit(0), F.lit(fuzzy.N_CHARACTERS - 1)), lambda b: F.getbit(set_, b) == 1)
+
+
+def _in_order(query: Column) -> Column:
+    """A pattern, linear in a name, for the names that have a query's characters in order."""
+    one = lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), c).otherwise(F.concat(F.lit("\\"), c))
+    return F.concat(F.lit("^"), F.array_join(F.transform(F.filter(F.split(query, ""), lambda c: c != ""), lambda c: F.concat(F.lit("[^"), one(c), F.lit("]*+"), one(c))), ""))
 
 
 def search_many(pool: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, category, id, display, sub_kind, tier, score, matches_total) for each of queries (query_id, query, limit), however many.
 
-    Every kind of match has the query as a subsequence, so distinct names are indexed by their ordered pairs of characters, and a query looks up the one of its pairs that the
-    fewest names have. What that finds is tested on sets of characters, then scored. Limits are at most MAX_LIMIT. An empty query lists the pool, whose first rows are found once.
+    Every kind of match has the query as a subsequence. Very many names share few sets of characters, so those sets are indexed by character, and a query looks up the one of its
+    characters that the fewest names have. Sets that hold all of a query's lead to their names, which are tested for order, then scored. Limits are at most MAX_LIMIT. An empty query lists
+    the pool, whose first rows are found once.
     """
     asked = queries.withColumn("_q", F.lower(text.trim(F.col("query"))))
-    # Keys and scores cost much and their rows are short, so they are dealt by number of tasks, not of bytes.
+    # Sets and scores cost much and their rows are short, so they are dealt by number of tasks, not of bytes.
     tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = pool.select("id", "display").distinct().repartition(tasks, "id", "display")
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in ("id", "display")]
-    keys = F.array_distinct(F.concat(_keys(low[0]), F.when(F.col("display").eqNullSafe(F.col("id")), F.array().cast("array<string>")).otherwise(_keys(low[1]))))
-    # The sets of characters are made once a name, before names are listed by key.
-    index = names.select("id", "display", fuzzy.characters(F.concat(*low)).alias("_there"), keys.alias("_keys")).select("id", "display", "_there", F.explode("_keys").alias("_key"))
-    frequency = index.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    distinct = asked.where("_q <> ''").select("_q").distinct()
-    needed = distinct.select("_q", F.explode(_asked_keys(F.col("_q"))).alias("_key")).join(frequency, "_key", "left")
-    rarest = needed.groupBy("_q").agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_key"))
-    rarest = rarest.withColumn("_asked", fuzzy.characters(F.col("_q")))
-    met = index.join(rarest, "_key").where(F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there"))) == 0)
+    names = names.withColumn("_there", fuzzy.characters(F.concat(*low)))
+    sets = names.groupBy("_there").agg(F.count(F.lit(1)).alias("_n"))
+    index = sets.select("_there", "_n", F.explode(F.concat(F.array(F.lit(ALL)), _members(F.col("_there")))).alias("_key"))
+    frequency = index.groupBy("_key").agg(F.sum("_n").alias("_n"))
+    distinct = asked.where("_q <> ''").select("_q").distinct().withColumn("_asked", fuzzy.characters(F.col("_q")))
+    # Characters that sets do not tell leave a query with ALL.
+    needed = distinct.select("_q", "_asked", F.explode(F.concat(F.array(F.lit(ALL)), _members(F.col("_asked")))).alias("_key")).join(frequency, "_key", "left")
+    rarest = needed.groupBy("_q", "_asked").agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("k"))).alias("_key"))
+    may = index.join(rarest, "_key").where(F.col("_asked").bitwiseAND(F.bitwise_not(F.col("_there"))) == 0).select("_there", "_q", _in_order(F.col("_q")).alias("_order"))
+    met = names.join(may, "_there").where(F.rlike(low[0], F.col("_order")) | F.rlike(low[1], F.col("_order")))
     found = _ranked(met.select("_q", "id", "display").repartition(tasks, "_q", "id", "display"), F.col("_q"))
     found = found.select("_q", F.col("id").alias("_id"), F.col("display").alias("_display"), "tier", "_score", "score")
     rows = found.join(asked.where("_q <> ''"), "_q").join(pool, F.col("_id").eqNullSafe(F.col("id")) & F.col("_display").eqNullSafe(F.col("display")))

@@ -6,13 +6,18 @@ kept as spans with their answers; places meet spans by equality of document and
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .facts import SYMBOL_EDGES, TOKEN_ENDS, WORD, active, binned, with_facts
+from .facts import REMEMBERED, SYMBOL_EDGES, TOKEN_ENDS, WORD, active, binned, by_document, comment_start, contexts, gathered, present, text_contexts, with_facts
 from .resolve import begun, flag_index, resolve
-from .textlines import function_docs, function_index, matched, name_tokens
+from .textlines import NAME, function_docs, function_index, matched, name_tokens
 
 #: What ends a token, as a class.
 DELIMITERS = r"\s;&|()<>{}\"'`$="
@@ -20,6 +25,8 @@ DELIMITERS = r"\s;&|()<>{}\"'`$="
 GENERAL = ("builtin", "reserved_word", "precmd", "shell_param")
 #: Characters of a bin.
 BIN = 256
+#: Lines whose answers are made at once, and the most beginnings of names that go to every task; a larger corpus meets places by joins.
+LINES_AT_ONCE, MOST_BEGINNINGS = 20_000, 200_000
 
 
 def token_at(points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -189,3 +196,90 @@ def completions(asks: DataFrame, lines: DataFrame, corpus: DataFrame) -> DataFra
     used = name_tokens(lines).select("doc_id", F.lit(0).alias("part"), (F.row_number().over(first) - 1).cast("long").alias("seq"), F.col("token").alias("label"), F.lit("document").alias("category"), F.lit(None).cast("string").alias("id"))
     own = general.join(beginnings(used, general), ["doc_id", "key"]).where("label <> typed").select(*shown)
     return setopt.unionByName(cond).unionByName(known).unionByName(own)
+
+
+def _small(corpus: DataFrame) -> bool:
+    """Whether all beginnings of a corpus's names may go to every task."""
+    return (corpus.agg(F.sum(F.length("id") + 1)).first()[0] or 0) <= MOST_BEGINNINGS
+
+
+def columns_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, char_no): every place of every line."""
+    return lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("char_no"))
+
+
+#: The patterns of words, names between white space, comments and declarations, as columns have them.
+_WORDS, _NAMES = re.compile(WORD), re.compile(NAME, re.ASCII)
+
+
+def _ranges(starts: list[int], texts: list[str], scan) -> list[list[tuple[int, int, int]]]:
+    """Of each line, the (from, to, 2 or 1) of its places in option settings and in tests, ends included; found by the lines' starts."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for kind, a, b in text_contexts(starts, texts, scan):
+        if kind != "arith":
+            k = max(bisect_left(starts, a + 1) - 1, 0)
+            while k < len(texts) and starts[k] <= b:
+                out[k].append((max(a - starts[k], 0), min(b - starts[k], len(texts[k])), 2 if kind == "setopt" else 1))
+                k += 1
+    return out
+
+
+_ROUTES = ("general", "cond", "setopt")
+
+
+def _asks(starts: list[int], texts: list[str], scan) -> list[dict]:
+    """What is asked at all places of a document, each (route, typed) once, with the document's own names that may be typed, by first use."""
+    asked: dict[tuple[int, str], None] = {}
+    for text, spans in zip(texts, _ranges(starts, texts, scan), strict=True):
+        code = bytearray(len(text) + 1)
+        for a, b, pri in sorted(spans, key=lambda x: x[2]):
+            code[a : b + 1] = bytes((pri,)) * (b + 1 - a)
+        at = 0
+        for m in _WORDS.finditer(text):
+            a, b = m.span()
+            asked.update(((k, ""), None) for k in set(code[at:a]))
+            asked.update(((k, m.group()), None) for k in set(code[a : b + 1]))
+            at = b + 1
+        asked.update(((k, ""), None) for k in set(code[at:]))
+    seq = {x: k for k, x in enumerate(dict.fromkeys(x for text in texts for x in _NAMES.findall(text)))}
+    names, out = sorted(seq), []
+    for k, typed in asked:
+        own, at = [], bisect_left(names, typed) if k == 0 else len(names)
+        while at < len(names) and names[at].startswith(typed):
+            if names[at] != typed:
+                own.append({"seq": seq[names[at]], "label": names[at]})
+            at += 1
+        out.append({"route": _ROUTES[k], "typed": typed, "own": own})
+    return out
+
+
+def completions_everywhere(lines: DataFrame, corpus: DataFrame) -> DataFrame:
+    """As `completions` of what is asked at every place of every line (`routed`).
+
+    A document is one row: what is asked there and its own names are found in one pass over its lines, and no place becomes a row. The corpus's names go to all tasks by their beginnings if they are few enough.
+    """
+    if not _small(corpus):
+        return completions(routed(columns_of(lines), lines, contexts(lines)), lines, corpus)
+    one = pa.struct([("route", pa.string()), ("typed", pa.string()), ("own", pa.list_(pa.struct([("seq", pa.int64()), ("label", pa.string())])))])
+
+    def answer(some: pa.RecordBatch, scan) -> pa.Array:
+        return pa.array([_asks(*own, scan) for own in present(some.column("lines"))], pa.list_(one))
+
+    asks = by_document(gathered(lines), "array<struct<route:string,typed:string,own:array<struct<seq:long,label:string>>>>", answer, most=LINES_AT_ONCE).select("doc_id", F.inline("_made"))
+
+    names = corpus.select("category", "id", "seq")
+    name = lambda route, part, rows, shown, label: rows.select(F.lit(route).alias("route"), shown.alias("_shown"), F.struct(part.alias("part"), "seq", label.alias("label"), "category", "id").alias("_item"))
+    options, of = names.where("category = 'option'"), F.col("id")
+    listed = names.where(F.col("category").isin(*GENERAL)).where(X.is_word("id"))
+    part = F.array_position(F.array(*map(F.lit, GENERAL)), F.col("category")).cast("int")
+    offered = name("setopt", F.lit(0), options, of, of).unionByName(name("setopt", F.lit(1), options, F.concat(F.lit("no"), of), F.concat(F.lit("no_"), of)))
+    offered = offered.unionByName(name("general", part, listed, of, of)).unionByName(name("cond", F.lit(0), names.where("category = 'cond_op'"), F.lit(""), of))
+    begun_ = F.explode(F.transform(F.sequence(F.lit(0), F.length("_shown")), lambda n: F.left("_shown", n)))
+    offered = offered.select("route", begun_.alias("_key"), "_item").groupBy("route", "_key").agg(F.collect_list("_item").alias("_items"))
+
+    key = F.when(F.col("route") == "setopt", X.option_name("typed")).when(F.col("route") == "cond", "").otherwise(F.col("typed"))
+    rows = asks.withColumn("_key", key).join(F.broadcast(offered), ["route", "_key"], "left")  # their size is checked
+    kind = "array<struct<part:int,seq:long,label:string,category:string,id:string>>"
+    known = F.filter(F.coalesce("_items", F.array().cast(kind)), lambda x: (F.col("route") != "general") | (x["label"] != F.col("typed")))
+    own = F.transform("own", lambda x: F.struct(F.lit(0).alias("part"), x["seq"].alias("seq"), x["label"].alias("label"), F.lit("document").alias("category"), F.lit(None).cast("string").alias("id")))
+    return rows.select("doc_id", "route", "typed", F.inline(F.concat(known.cast(kind), own.cast(kind))))

@@ -94,3 +94,18 @@ def test_editor_words(spark):
     lines = textlines.doc_lines(spark.createDataFrame([(1, "a.b -1.5e3x .5 foo-bar_1 $x=\"y\"\n\n3. -é")], "doc_id long, text string"))
     got = [(r.line_no, r.start, r.word) for r in textlines.editor_words(lines).orderBy("line_no", "start").collect()]
     assert got == [(0, 0, "a"), (0, 2, "b"), (0, 4, "-1.5e3x"), (0, 12, ".5"), (0, 15, "foo-bar_1"), (0, 26, "x"), (0, 29, "y"), (2, 0, "3"), (2, 3, "-é")]
+
+
+TEXTS = [t for t, *_ in HOVERS] + ["cdx cd one-two\nsetopt no_au \\\n  x -y\n[[ -f ]] && cd cdx\n(( cd ))\n", "", "- --a b- \u0085c", "[ a && b ] || test -f cd\n\n# cd cdy\nsetopt NO_A"]
+
+
+@pytest.mark.parametrize("most", [editor.MOST_BEGINNINGS, 0])
+def test_completions_of_all_places(spark, monkeypatch, most):
+    """As the completions of each place, for a small corpus and for one that does not go to the tasks."""
+    lines = textlines.doc_lines(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    corpus = spark.createDataFrame(CORPUS, "category string, id string, seq long, group_op string")
+    routes = editor.routed(editor.columns_of(lines), lines, facts.contexts(lines))
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(editor.completions(routes, lines, corpus))
+    monkeypatch.setattr(editor, "MOST_BEGINNINGS", most)
+    assert key(editor.completions_everywhere(lines, corpus)) == want

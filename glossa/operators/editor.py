@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .facts import REMEMBERED, SYMBOL_EDGES, TOKEN_ENDS, WORD, active, binned, by_document, comment_start, contexts, gathered, present, text_contexts, with_facts
+from .facts import REMEMBERED, SYMBOL_EDGES, TOKEN_ENDS, WORD, active, binned, by_document, contexts, gathered, present, text_contexts, trim, with_facts
 from .resolve import begun, flag_index, resolve
 from .textlines import NAME, function_docs, function_index, matched, name_tokens
 
@@ -224,6 +224,14 @@ def _ranges(starts: list[int], texts: list[str], scan) -> list[list[tuple[int, i
     return out
 
 
+def _codes(text: str, ranges: list[tuple[int, int, int]]) -> bytearray:
+    """Of each place of a line: 2 in option settings, 1 in tests, else 0."""
+    code = bytearray(len(text) + 1)
+    for a, b, pri in sorted(ranges, key=lambda x: x[2]):
+        code[a : b + 1] = bytes((pri,)) * (b + 1 - a)
+    return code
+
+
 _ROUTES = ("general", "cond", "setopt")
 
 
@@ -231,10 +239,7 @@ def _asks(starts: list[int], texts: list[str], scan) -> list[dict]:
     """What is asked at all places of a document, each (route, typed) once, with the document's own names that may be typed, by first use."""
     asked: dict[tuple[int, str], None] = {}
     for text, spans in zip(texts, _ranges(starts, texts, scan), strict=True):
-        code = bytearray(len(text) + 1)
-        for a, b, pri in sorted(spans, key=lambda x: x[2]):
-            code[a : b + 1] = bytes((pri,)) * (b + 1 - a)
-        at = 0
+        code, at = _codes(text, spans), 0
         for m in _WORDS.finditer(text):
             a, b = m.span()
             asked.update(((k, ""), None) for k in set(code[at:a]))
@@ -283,3 +288,196 @@ def completions_everywhere(lines: DataFrame, corpus: DataFrame) -> DataFrame:
     known = F.filter(F.coalesce("_items", F.array().cast(kind)), lambda x: (F.col("route") != "general") | (x["label"] != F.col("typed")))
     own = F.transform("own", lambda x: F.struct(F.lit(0).alias("part"), x["seq"].alias("seq"), x["label"].alias("label"), F.lit("document").alias("category"), F.lit(None).cast("string").alias("id")))
     return rows.select("doc_id", "route", "typed", F.inline(F.concat(known.cast(kind), own.cast(kind))))
+
+
+#: As columns have them: white space in a line, and what a comment and a declaration look like.
+_END, _EDGE, _TAIL = (re.compile(x, re.ASCII) for x in (f"[{TOKEN_ENDS}]", f"[{SYMBOL_EDGES}]", f"[^{TOKEN_ENDS}]*"))
+_COMMENT, _COMMENT_MARK, _NUMBER, _FLAG = re.compile(r"\s*#", re.ASCII), re.compile(r"\s*# ?", re.ASCII), re.compile("[0-9]+"), re.compile("[+-][A-Za-z0-9]")
+_DECLARED = (re.compile(rf"\s*({WORD})\s*\(\)", re.ASCII), re.compile(rf"\s*function\s+({WORD})", re.ASCII))
+_NO = re.compile("no_?", re.IGNORECASE | re.ASCII)
+
+
+class _Known:
+    """What a task knows: a corpus's names (category, id, seq, group_op) and the flags (raw, id) that name one option. Answers are as those of `resolve`."""
+
+    def __init__(self, names: list[tuple], letters: list[tuple]):
+        self.seq: dict[tuple[str, str], int] = {}
+        self.by_op: dict[str, list[tuple[str, str]]] = {}
+        for category, id_, seq, op in names:
+            self.seq[category, id_] = min(seq, self.seq.get((category, id_), seq))
+            if category == "redir" and op:
+                self.by_op.setdefault(op, []).append((id_, id_[len(op) :].lstrip(" ")))
+        self.letters = dict(letters)
+        self.lengths = sorted({len(x) for c, x in self.seq if c == "cond_op" and _END.search(x)})
+        self.longest = max(map(len, self.by_op), default=0)
+
+    def answer(self, category: str, raw: str) -> tuple[int, str] | None:
+        """(seq, id) of a raw name in a category."""
+        if category == "flag":
+            return (0, self.letters[raw]) if raw in self.letters else None
+        text = trim(raw)
+        keys = [text]
+        if category == "option":
+            no = _NO.match(text)
+            keys = [trim(x).replace("_", "").lower() for x in ([text, text[no.end() :]] if no else [text])]
+        elif category == "redir":
+            keys = [self._redir(text)]
+        return next(((self.seq[category, k], k) for k in keys if k and (category, k) in self.seq), None)
+
+    def _redir(self, text: str) -> str | None:
+        number = _NUMBER.match(text)
+        body = text[number.end() :] if number else text
+        op = next((body[:n] for n in range(min(self.longest, len(body)), 0, -1) if body[:n] in self.by_op), None)
+        if op is None:
+            return None
+        docs, rest = self.by_op[op], body[len(op) :]
+        kind = "number" if _NUMBER.fullmatch(rest) else rest if rest in ("-", "p", "") else "word"
+        same = docs if len(docs) == 1 else [d for d in docs if d[1] == kind]
+        return same[0][0] if len(same) == 1 else None
+
+
+def _line_answers(text: str, scan, known: _Known) -> tuple[list, list, list]:
+    """(tokens, words, answers) of a line: the ranges of its tokens, its words, and what is known of its spans, as (need, from, to, rank, (category, id, start, end)); `need` is 2 in option settings, 1 for a token and -1 for a symbol in tests, 0 anywhere."""
+    cut, facts, tokens, words, edges = scan.one(text)
+    out = []
+
+    def ask(need: int, start: int, end: int, pri: int, category: str, raw: str, more: int = 0) -> None:
+        if start < end + more and (hit := known.answer(category, raw)):
+            out.append((need, start, end + more, (pri, start - end if need < 0 else 0, hit[0], start), ("option" if category == "flag" else category, hit[1], *((None, None) if pri == 8 else (start, end)))))
+
+    for start, end, word, precmd, head, reserved in tokens:
+        ask(2, start, end, 0, "option", word)
+        if _FLAG.fullmatch(word):
+            ask(2, start, end, 1, "flag", word)
+        ask(1, start, end, 2, "cond_op", word)
+        if precmd:
+            ask(0, start, end, 5, "precmd", word)
+        if head:
+            ask(0, start, end, 6, "builtin", word)
+        if reserved:
+            ask(0, start, end, 9, "complex_command", word)
+            ask(0, start, end, 10, "reserved_word", word)
+    for start in edges:
+        for n in known.lengths:
+            if start + n <= cut and ("cond_op", sign := text[start : start + n]) in known.seq and _END.search(sign) and (start + n == len(text) or _EDGE.match(text, start + n)) and trim(sign) == sign:
+                ask(-1, start, start + n, 2, "cond_op", sign)
+    for start, end, word in words:
+        ask(0, start, end, 4, "shell_param", word, 1)
+    if redir := next((f for f in facts if f["kind"] == "redir"), None):
+        tail = _TAIL.match(text, redir["span_end"], cut).group()
+        ask(0, redir["span_start"], redir["span_end"] + len(tail), 7, "redir", redir["text"] + tail)
+    if subst := next((f for f in facts if f["kind"] == "process-subst"), None):
+        ask(0, 0, len(text) + 1, 8, "process_subst", subst["text"][:2] + "...)")
+    return [(a, b) for a, b, *_ in tokens], words, out
+
+
+def _documented(numbers: list[int], texts: list[str]) -> dict[str, str]:
+    """The functions of a document that have a comment, as `function_docs`."""
+    above, below, names, run = {}, {}, [], []
+    for number, text in zip([*numbers, None], [*texts, ""], strict=True):
+        if number is not None and _COMMENT.match(text):
+            run.append((number, _COMMENT_MARK.sub("", text, count=1)))
+            continue
+        if run:
+            above[run[-1][0] + 1] = below[run[0][0] - 1] = "\n".join(x for _, x in run)
+            run = []
+        if number is not None and (m := (_DECLARED[0].match(text) if "(" in text else None) or (_DECLARED[1].match(text) if "function" in text else None)):
+            names.append((number, m[1]))
+    return {name: doc for number, name in names if (doc := above.get(number) or below.get(number))}
+
+
+def _order(x: tuple) -> tuple:
+    return (x[3], x[4] if x[4][2] is not None else (*x[4][:2], -1, -1))
+
+
+def _line_hovers(text: str, ranges: list[tuple[int, int, int]], of: tuple[list, list, list], docs: dict[str, str]) -> list[tuple]:
+    """(from, to, source, category, id, start, end, body) of a line's places, those that stand together and know the same as one."""
+    tokens, words, answers = of
+    if docs:
+        answers = answers + [(0, a, b + 1, (3, 0, 0, a), ("function", w, a, b)) for a, b, w in words if w in docs]
+    if not ranges:
+        answers = [x for x in answers if x[0] == 0]
+    by_token = bool(ranges) or any(x[4][2] is None for x in answers)
+    edges = {0, len(text) + 1, *(x[k] for x in answers for k in (1, 2)), *(a for a, _, _ in ranges), *(b + 1 for _, b, _ in ranges)}
+    edges = sorted(edges.union(*tokens) if by_token else edges)
+    answers, code = sorted(answers, key=lambda x: x[1]), _codes(text, ranges) if ranges else None
+    out: list[tuple] = []
+    here: list[tuple] = []  # what covers the place, so the work is linear in a line
+    k = t = 0
+    for a, end in zip(edges, edges[1:]):
+        here = [x for x in here if x[2] > a]
+        while k < len(answers) and answers[k][1] <= a:
+            here.append(answers[k])
+            k += 1
+        token = None
+        if by_token:
+            while t < len(tokens) and tokens[t][1] <= a:
+                t += 1
+            token = tokens[t] if t < len(tokens) and tokens[t][0] <= a else None
+        ctx = code[a] if code else 0
+        need = 2 if ctx == 2 else (1 if token else -1) if ctx == 1 else None
+        best = min((x for x in here if x[0] == need), key=_order, default=None) or min((x for x in here if x[0] == 0), key=_order, default=None)
+        if best is None:
+            found = (None,) * 6
+        else:
+            category, id_, start, stop = best[4]
+            if start is None:
+                start, stop = token or (None, None)
+            own = category == "function"
+            found = ("function" if own else "corpus", None if own else category, id_, start, stop, docs[id_] if own else None)
+        if out and out[-1][2:] == found:
+            out[-1] = (out[-1][0], end - 1, *found)
+        else:
+            out.append((a, end - 1, *found))
+    return out
+
+
+def hovered_in(points: DataFrame, lines: DataFrame, corpus: DataFrame, flags: DataFrame) -> DataFrame:
+    """As `hovered`, in the contexts of the lines themselves.
+
+    A document is one row: its contexts, its commented functions and what is known of its lines are found in one pass, and places that stand together and know the same are one span. A place meets the
+    spans of its part of the line as one row, and no name, context or function is joined. The corpus's names go to all tasks if they are few enough.
+    """
+    if not _small(corpus):
+        return hovered(points, lines, contexts(lines), corpus, flags)
+    names = [tuple(r) for r in corpus.where("id IS NOT NULL").select("category", "id", "seq", "group_op").collect()]  # their size is checked
+    letters = [tuple(r) for r in flag_index(flags).select(F.concat("on", "char"), "id").collect()]
+    span = pa.struct([("a", pa.int64()), ("z", pa.int64()), ("source", pa.string()), ("category", pa.string()), ("id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("body", pa.string())])
+    held: dict = {}
+
+    def answer(some: pa.RecordBatch, scan) -> pa.Array:
+        if not held:
+            held.update(known=_Known(names, letters), lines={})
+        known, seen = held["known"], held["lines"]
+        flat = pc.list_flatten(some.column("lines"))
+        numbers = [n for n, x in zip(flat.field("line_no").to_pylist(), flat.field("text").is_valid().to_pylist(), strict=True) if x]
+        of, bins, sizes, upto, columns, at = [], [], [0], [0], [[] for _ in span], 0
+        for starts, texts in present(some.column("lines")):
+            own, at = numbers[at : at + len(texts)], at + len(texts)
+            docs = _documented(own, texts)
+            for number, text, ranges in zip(own, texts, _ranges(starts, texts, scan), strict=True):
+                if text not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[text] = _line_answers(text, scan, known) if text else ([], [], [])
+                last = None
+                for row in _line_hovers(text, ranges, seen[text], docs):
+                    for bin_ in range(row[0] // BIN, row[1] // BIN + 1):
+                        if bin_ != last:
+                            if last is not None:
+                                upto.append(len(columns[0]))
+                            of.append(number)
+                            bins.append(last := bin_)
+                        for column, value in zip(columns, row, strict=True):
+                            column.append(value)
+                upto.append(len(columns[0]))
+            sizes.append(len(of))
+        spans = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span, strict=True)], fields=list(span))
+        rows = pa.StructArray.from_arrays([pa.array(of, pa.int64()), pa.array(bins, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), spans)], names=["line_no", "_bin", "_spans"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+
+    kind = "array<struct<line_no:long,_bin:long,_spans:array<struct<a:long,z:long,source:string,category:string,id:string,start:long,end:long,body:string>>>>"
+    found = by_document(gathered(lines), kind, answer, pieces=True, most=LINES_AT_ONCE).select("doc_id", F.inline("_made"))
+    at = points.select("doc_id", "line_no", "char_no").withColumn("_bin", F.floor(F.col("char_no") / BIN)).join(found.hint("merge"), ["doc_id", "line_no", "_bin"], "left")
+    at = at.withColumn("_a", F.get(F.filter("_spans", lambda x: (F.col("char_no") >= x["a"]) & (F.col("char_no") <= x["z"])), F.lit(0)))
+    return at.select("doc_id", "line_no", "char_no", *(F.col(f"_a.{c}") for c in ("source", "category", "id", "start", "end", "body")))

@@ -1,5 +1,6 @@
 """What an editor asks, in cases worked out by hand."""
 
+import time
 from itertools import product
 
 import pytest
@@ -109,3 +110,24 @@ def test_completions_of_all_places(spark, monkeypatch, most):
     want = key(editor.completions(routes, lines, corpus))
     monkeypatch.setattr(editor, "MOST_BEGINNINGS", most)
     assert key(editor.completions_everywhere(lines, corpus)) == want
+
+
+@pytest.mark.parametrize("most", [editor.MOST_BEGINNINGS, 0])
+def test_hovers_of_all_places(spark, monkeypatch, most):
+    """As the hover of each place, for a small corpus and for one that does not go to the tasks."""
+    more = ["# a\n#  b\nf() { }\nf() { f }\n# c\nf() { }\n\n #x\nfunction g h\ng f", "[[ a <= b]] && [[ <]] # HOME", "setopt NO_notify +J \\\n -J <(a) no__autocd # x\ncd >&p 12>&1 >&- > w", "ls <(a b) =(c) noglob HOME; while cd", "cd HOME; [[ -f x ]]; " * 40]
+    lines = textlines.doc_lines(spark.createDataFrame(list(enumerate(TEXTS + more)), "doc_id long, text string"))
+    corpus = spark.createDataFrame(CORPUS, "category string, id string, seq long, group_op string")
+    flags = spark.createDataFrame([("autocd", [("J", "-"), ("B", "-")]), ("notify", [("J", "-"), ("J", "+")])], "id string, flags array<struct<char:string,on:string>>")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(editor.hovered(editor.columns_of(lines), lines, facts.contexts(lines), corpus, flags))
+    monkeypatch.setattr(editor, "MOST_BEGINNINGS", most)
+    assert key(editor.hovered_in(editor.columns_of(lines), lines, corpus, flags)) == want
+
+
+def test_hovers_of_a_long_line_take_time_in_proportion():
+    known, scan = editor._Known([tuple(x) for x in CORPUS], []), facts._Scan(pieces=True)
+    text = "cd HOME <(a); while [[ -f x ]]; do " * 3_000
+    began = time.perf_counter()
+    rows = editor._line_hovers(text, editor._ranges([0], [text], scan)[0], editor._line_answers(text, scan, known), {})
+    assert rows[0][0] == 0 and rows[-1][1] == len(text) and time.perf_counter() - began < 20
